@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from piperack.llm import bpe, decontamination, token_counts
+from piperack.llm import bpe, decontamination, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts)}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.components(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op9_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
