@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from piperack.llm import bpe, decontamination, simhash, token_counts
+from piperack.llm import bpe, decontamination, quality, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.components(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op9_simhash_near_dedup)}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(scored.doc_id).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "p_toxic", "severity", "grade", "toxic")
+
+
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op6_quality_classifier, op9_simhash_near_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
