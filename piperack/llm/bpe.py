@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from piperack.llm.textcut import by_bytes, safe_chunks
 
 #: Pre-token encodings that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Stands between pre-tokens; no byte is mapped to it.
+_BREAK = "⁇"
 
 
 def byte_characters() -> list[str]:
@@ -85,38 +87,45 @@ class Codec:
         spelled = [self.pieces.id_to_piece(i) for i in range(1, self.pieces.get_piece_size())]
         self.bytes_of = [bytes(map(_BYTE.__getitem__, map(ord, p))) for p in spelled]
         self.rank_of = {p: r for r, p in enumerate(spelled)}
-        self.leading: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def _encode_pieces(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of each chunk, whose pre-tokens are encoded separately; a whole piece of the vocabulary is one id."""
-        spelled = [[t.encode().decode("latin-1").translate(_CHARACTER) for t in self.find(c)] for c in chunks]
-        rest = list({t for ts in spelled for t in ts if t not in self.rank_of})
-        found = {t: np.asarray(ids, np.int32) - 1 for t, ids in zip(rest, self.pieces.encode(rest, num_threads=1), strict=True)} if rest else {}
-        one = self.rank_of
-        return [b"".join((struct.pack("=i", one[t]) if t in one else found[t].astype(np.int32).tobytes()) for t in ts) for ts in spelled]
+        self.caches: tuple[dict[str, bytes], ...] = ({}, {}, {})  # packed ids of first chunks, of chunks after a space, of pre-tokens
+
+    def _encode_tokens(self, tokens: list[str]) -> None:
+        """Remembers the packed ids of pre-tokens. They go to the library in long runs, parted by a character that no
+        vocabulary piece holds, so that none merges with its neighbour; a whole piece of the vocabulary is one id."""
+        packed = self.caches[2]
+        for group in by_bytes(tokens, 1 << 16):
+            mapped = _BREAK.join([t.encode().decode("latin-1") for t in group]).translate(_CHARACTER)
+            ids = np.array(self.pieces.encode(mapped), np.int32)
+            breaks = np.flatnonzero(ids == 0)
+            flat = (ids - 1).tobytes()
+            ends = (breaks * 4).tolist() + [len(flat)]
+            starts = [0, *((breaks + 1) * 4).tolist()]
+            for t, spelled, low, high in zip(group, mapped.split(_BREAK), starts, ends, strict=True):
+                whole = self.rank_of.get(spelled) if high - low > 4 else None
+                packed[t] = flat[low:high] if whole is None else struct.pack("=i", whole)
 
     def _learn(self, cache: dict[str, bytes], wanted: Iterable[str], lead: str) -> None:
         new = [w for w in dict.fromkeys(wanted) if w not in cache]
-        for w, packed in zip(new, self._encode_pieces([lead + w for w in new]), strict=True):
-            cache[w] = packed
+        tokens = [[lead + w] if w.isalpha() else self.find(lead + w) for w in new]
+        packed = self.caches[2]
+        self._encode_tokens([t for t in dict.fromkeys(t for ts in tokens for t in ts) if t not in packed])
+        for w, ts in zip(new, tokens, strict=True):
+            cache[w] = packed[ts[0]] if len(ts) == 1 else b"".join([packed[t] for t in ts])
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as packed 32-bit integers."""
-        if len(self.spaced) + len(self.leading) > REMEMBERED:
-            self.leading.clear()
-            self.spaced.clear()
+        if sum(map(len, self.caches)) > REMEMBERED:
+            for cache in self.caches:
+                cache.clear()
+        leading, spaced, _ = self.caches
         cut = [safe_chunks(t) for t in texts]
-        self._learn(self.leading, (c[0] for c in cut), "")
-        get = self.spaced.get
-        out = []
-        for head, *rest in cut:
-            packed = [get(c) for c in rest]
-            if None in packed:
-                self._learn(self.spaced, (c for c, p in zip(rest, packed, strict=True) if p is None), " ")
-                packed = [get(c) for c in rest]
-            out.append(self.leading[head] + b"".join(packed))
-        return out
+        self._learn(leading, (c[0] for c in cut), "")
+        get, gaps = spaced.get, []
+        for _, *rest in cut:
+            gaps += [c for c in rest if c not in spaced]
+        if gaps:
+            self._learn(spaced, gaps, " ")
+        return [leading[head] + b"".join(map(get, rest)) for head, *rest in cut]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -160,7 +169,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", to: st
     @F.arrow_udf("binary")
     def bytes_of(lists: pa.Array) -> pa.Array:
         codec = _codec(model, pattern)
-        return pa.array([codec.decode(x or ()) for x in (lists[i].as_py() for i in range(len(lists)))], pa.binary())
+        lists = lists.fill_null([]) if lists.null_count else lists
+        flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+        return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
     return encoded.withColumn(to, bytes_of(F.col(ids)))
 
