@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from piperack.llm.textcut import by_bytes, safe_chunks
 
 #: Part counts that a worker remembers before it starts anew, and characters in a batch for the library.
-REMEMBERED, BATCH = 400_000, 1 << 16
+REMEMBERED, BATCH = 1_000_000, 1 << 16
 
 
 class Counter:
