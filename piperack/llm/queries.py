@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piperack.llm import ann, bpe, chat, decontamination, quality, simhash, token_counts, toxicity
+from piperack.llm import ann, bpe, chat, decontamination, passages, pii, quality, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,14 @@ def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op5_chat_formatting, op6_quality_classifier, op8_inverted_multi_index, op9_simhash_near_dedup, op10_toxicity)}
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(_table(spark, sf_dir, "documents"), "piperack")
+    return done.select("doc_id", "text", "n_replaced", "kinds")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op5_chat_formatting, op6_quality_classifier, op7_substring_dedup, op8_inverted_multi_index, op9_simhash_near_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_chat_formatting": chat.ORACLE}
