@@ -176,10 +176,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", to: st
     return encoded.withColumn(to, bytes_of(F.col(ids)))
 
 
-def digest(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Counts and digests of ids and of decoded bytes."""
+def digest(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and digests of ids and of decoded bytes, beside doc_id and the columns of ``keep``."""
     return encoded.select(
         "doc_id",
+        *keep,
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col(decoded), 256).alias("decoded_sha256"),

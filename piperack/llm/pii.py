@@ -180,6 +180,11 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def length_after(text: str, n_chars: str) -> Column:
+    """The length of a text that may have been changed, in the place of ``n_chars``; null stays null."""
+    return F.when(F.col(n_chars).isNotNull(), F.length(text)).cast("long")
+
+
 def colliding(units: DataFrame, key: str) -> DataFrame:
     """kind, value, nonce of the units whose nonce isn't 0, once all surrogates are distinct and none is a unit of the corpus.
 

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir; a temporary folder is set only where that is unset."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one, set for the session."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
