@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from piperack.llm.textcut import by_bytes, safe_chunks
 
 #: Pre-token encodings that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Stands between pre-tokens; no byte is mapped to it.
 _BREAK = "⁇"
 
@@ -170,8 +170,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", to: st
     def bytes_of(lists: pa.Array) -> pa.Array:
         codec = _codec(model, pattern)
         lists = lists.fill_null([]) if lists.null_count else lists
-        flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
-        return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+        return pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
     return encoded.withColumn(to, bytes_of(F.col(ids)))
 
