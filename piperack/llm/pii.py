@@ -143,7 +143,7 @@ def surrogate(kind: Column, value: Column, nonce: Column, key: str) -> Column:
 
 def _in_case(template: Column, text: Column) -> Column:
     """``text`` in capitals, or title case, where ``template`` is."""
-    return F.when((template == F.upper(template)) & (template != F.lower(template)), F.upper(text)).when(template.rlike(r"^\p{Lu}"), F.initcap(text)).otherwise(text)
+    return F.when((template == F.upper(template)) & (template != F.lower(template)), F.upper(text)).when(template.rlike(r"^\p{Lu}"), F.array_join(F.transform(F.split(text, "-"), F.initcap), "-")).otherwise(text)
 
 
 def _placed(template: Column, digits: Column) -> Column:
