@@ -13,3 +13,15 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+class Grown:
+    """The union of tables that are cut already; it is cut itself only now and then, so that plans stay short."""
+
+    def __init__(self, first: DataFrame, every: int = 12):
+        self.whole, self.every, self.parts = first, every, 1
+
+    def add(self, more: DataFrame) -> None:
+        self.whole, self.parts = self.whole.union(more), self.parts + 1
+        if self.parts >= self.every:
+            self.whole, self.parts = cut(self.whole), 1

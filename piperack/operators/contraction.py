@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import cut
+from piperack.checkpoints import Grown, cut
 from piperack.functions.plant import type_of_tag
 
 
@@ -42,7 +42,7 @@ def walks(terminals: DataFrame, segments: DataFrame) -> DataFrame:
     ends = terminals.select(F.col("id").alias("to"), F.col("tag").alias("other"))
     empty = F.array().cast("array<string>")
     front = terminals.select(F.col("id").alias("start"), F.col("tag").alias("tag"), F.col("id").alias("at"), empty.alias("lines"), empty.alias("sources"), F.lit(False).alias("forward"), F.lit(False).alias("backward"))
-    seen, found = cut(front.select("start", "at")), None
+    seen, found = Grown(front.select("start", "at")), None
     while True:
         step = front.withColumnRenamed("lines", "had").join(hops, "at")
         voted = F.col("direction") != 0
@@ -52,14 +52,14 @@ def walks(terminals: DataFrame, segments: DataFrame) -> DataFrame:
             F.when(voted, F.array_sort(F.array_union("sources", F.array(F.coalesce("source", F.lit("")))))).otherwise(F.col("sources")).alias("sources"),
             (F.col("forward") | (F.col("direction") > 0)).alias("forward"), (F.col("backward") | (F.col("direction") < 0)).alias("backward"),
         )
-        fresh = step.join(seen, ["start", "at"], "left_anti").groupBy("start", "tag", "at").agg(F.min(F.struct("lines", "sources", "forward", "backward")).alias("w"))
+        fresh = step.join(seen.whole, ["start", "at"], "left_anti").groupBy("start", "tag", "at").agg(F.min(F.struct("lines", "sources", "forward", "backward")).alias("w"))
         fresh = cut(fresh.select("start", "tag", "at", "w.*"))
         if fresh.isEmpty():
             break
-        seen = cut(seen.union(fresh.select("start", "at")))
+        seen.add(fresh.select("start", "at"))
         placed = fresh.join(ends.withColumnRenamed("to", "at"), "at", "left")
         reached = placed.where("other is not null and other <> tag").select(F.col("tag").alias("start"), "other", "lines", "sources", "forward", "backward")
-        found = cut(reached if found is None else found.union(reached))
+        found = reached if found is None else found.union(reached)
         front = placed.where("other is null").drop("other")
     return found if found is not None else front.where("false").select(F.col("tag").alias("start"), F.col("tag").alias("other"), "lines", "sources", "forward", "backward")
 

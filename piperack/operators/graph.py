@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import cut
+from piperack.checkpoints import Grown, cut
 from piperack.functions.plant import IN_LINE, ISOLATING, PASS_THROUGH, RELIEF_BLOCKING
 
 
@@ -38,24 +38,46 @@ def closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None)
     """
     steps = edges.select("src", "dst")
     front = starts.select("start", F.col("start").alias("node")).distinct()
-    seen = cut(front.where("false"))
-    first = True
+    seen = None
     while True:
-        walked = front if first or stop is None else front.join(stop, "node", "left_anti")
+        walked = front if seen is None or stop is None else front.join(stop, "node", "left_anti")
         front = walked.join(steps, walked.node == steps.src).select("start", F.col("dst").alias("node")).distinct()
-        front = cut(front.join(seen, ["start", "node"], "left_anti"))
-        first = False
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front))
+        front = cut(front if seen is None else front.join(seen.whole, ["start", "node"], "left_anti"))
+        if seen is None:
+            seen = Grown(front)
+        elif front.isEmpty():
+            return seen.whole
+        else:
+            seen.add(front)
+
+
+def flagged_closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """start, node, verified: the closure over all edges and, flagged, the closure over verified ones, in one run of levels.
+
+    A node comes up once for its first way, and once more if a verified way to it is found later.
+    """
+    steps = edges.select("src", "dst", F.col("verified").alias("sure"))
+    front = starts.select("start", F.col("start").alias("node"), F.lit(True).alias("verified")).distinct()
+    seen = None
+    while True:
+        walked = front if seen is None or stop is None else front.join(stop, "node", "left_anti")
+        front = walked.join(steps, walked.node == steps.src).groupBy("start", F.col("dst").alias("node")).agg(F.bool_or(F.col("verified") & F.col("sure")).alias("verified"))
+        if seen is not None:
+            known = seen.whole.select("start", "node", F.col("verified").alias("had"))
+            front = front.join(known.where("had"), ["start", "node"], "left_anti").join(known, ["start", "node"], "left").where("had is null or verified").select("start", "node", "verified").distinct()
+        front = cut(front)
+        if seen is None:
+            seen = Grown(front)
+        elif front.isEmpty():
+            return seen.whole.groupBy("start", "node").agg(F.bool_or("verified").alias("verified"))
+        else:
+            seen.add(front)
 
 
 def reach(graph: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
     """start, node, verified: nodes reached, the start left out; verified if a way of verified edges leads there."""
     steps = graph if forward else graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "verified")
-    every, sure = closure(steps, starts), closure(steps.where("verified"), starts)
-    flagged = every.join(sure.withColumn("verified", F.lit(True)), ["start", "node"], "left")
-    return flagged.where("start <> node").select("start", "node", F.coalesce("verified", F.lit(False)).alias("verified"))
+    return flagged_closure(steps, starts).where("start <> node")
 
 
 def _of_types(nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -65,10 +87,7 @@ def _of_types(nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
 def relief_paths(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, verified: relief valves that flow reaches without passing what would block it."""
     blocked = _of_types(nodes, RELIEF_BLOCKING)
-    drawn = closure(graph, starts, blocked)
-    sure = closure(graph.where("verified"), starts, blocked).withColumn("verified", F.lit(True))
-    valves = drawn.where("start <> node").join(_of_types(nodes, ("relief_valve",)), "node", "left_semi")
-    return valves.join(sure, ["start", "node"], "left").select("start", "node", F.coalesce("verified", F.lit(False)).alias("verified"))
+    return flagged_closure(graph, starts, blocked).where("start <> node").join(_of_types(nodes, ("relief_valve",)), "node", "left_semi").select("start", "node", "verified")
 
 
 def isolation_boundary(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
@@ -86,25 +105,30 @@ def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int = 12) -> DataFra
     targets, walked backwards first, prune every other branch.
     """
     back = ends.select(F.col("target").alias("goal"), F.col("target").alias("node"), F.lit(0).alias("far")).distinct()
-    near = front = cut(back)
+    front = cut(back)
+    far = Grown(front)
     for k in range(1, cutoff):
         front = front.join(graph, front.node == graph.dst).select("goal", F.col("src").alias("node"), F.lit(k).alias("far")).distinct()
-        front = cut(front.join(near, ["goal", "node"], "left_anti"))
+        front = cut(front.join(far.whole, ["goal", "node"], "left_anti"))
         if front.isEmpty():
             break
-        near = cut(near.union(front))
+        far.add(front)
+    near = far.whole
     steps = graph.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("verified").alias("sure"))
     grown = ends.where("source <> target").select("source", "target", F.col("source").alias("at"), F.array("source").alias("path"), F.lit(True).alias("verified"))
-    done = cut(grown.where("false"))
+    done = None
     for k in range(1, cutoff + 1):
         grown = grown.join(steps, "at").where(~F.array_contains("path", F.col("to")))
         grown = grown.select("source", "target", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("verified") & F.col("sure")).alias("verified"))
         grown = cut(grown.join(near.select(F.col("goal").alias("target"), F.col("node").alias("at"), "far"), ["target", "at"]).where(F.col("far") <= cutoff - k).select("source", "target", "at", "path", "verified"))
-        if grown.isEmpty():
+        if done is None:
+            done = Grown(grown.where("at = target"))
+        elif grown.isEmpty():
             break
-        done = cut(done.union(grown.where("at = target")))
+        else:
+            done.add(grown.where("at = target"))
         grown = grown.where("at <> target")
-    return done.select("source", "target", "path", "verified")
+    return done.whole.select("source", "target", "path", "verified")
 
 
 def check_valves_between(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -142,13 +166,14 @@ def pass_through(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = edges.select("id", F.col("src").alias("item")).union(edges.select("id", "dst"))
     two = ends.join(inline, "item", "left_semi").groupBy("item").agg(F.min("id").alias("one"), F.max("id").alias("other"), F.count(F.lit(1)).alias("n")).where("n = 2 and one <> other")
     links = cut(two.select(F.col("one").alias("id"), F.col("other").alias("next")).union(two.select("other", "one")))
-    known = front = cut(edges.where("verified").select("id"))
+    front = cut(edges.where("verified").select("id"))
+    known = Grown(front)
     while True:
-        front = cut(front.join(links, "id").select(F.col("next").alias("id")).distinct().join(known, "id", "left_anti"))
+        front = cut(front.join(links, "id").select(F.col("next").alias("id")).distinct().join(known.whole, "id", "left_anti"))
         if front.isEmpty():
             break
-        known = cut(known.union(front))
-    flagged = edges.join(known.withColumn("reached", F.lit(True)), "id", "left")
+        known.add(front)
+    flagged = edges.join(known.whole.withColumn("reached", F.lit(True)), "id", "left")
     return flagged.select(*edges.columns, (~F.col("verified") & F.col("reached").isNotNull()).alias("forced"))
 
 
