@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from piperack.llm.shared import kept
 
-#: Vectors sampled, centroids of a half, rows aimed at in a shard, queries in a block, recall aimed at on the sample.
-SAMPLE, CENTROIDS, SHARD_ROWS, QUERY_BLOCK, RECALL = 10_000, 32, 8192, 20_000, 0.97
+#: Vectors sampled, centroids of a half, rows aimed at in a shard, queries in a block, queries walked in a task, recall aimed at on the sample.
+SAMPLE, CENTROIDS, SHARD_ROWS, QUERY_BLOCK, WALK_BLOCK, RECALL = 10_000, 32, 2048, 20_000, 256, 0.97
 
 
 def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -185,7 +185,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id",
         return pa.array((shard_of[c] + h % parts[c]).astype(np.int32))
 
     queries = indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    total = queries.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    queries = queries.repartition(max(1, -(-total // WALK_BLOCK)), "id")
     asked = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(probes("vector")).alias("p")).select("id", "vector", "block", "p.shard", "p.cells")
     held = indexed.select("id", "vector", "cell", home("cell", F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30))).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     near = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(lambda a, b: _top(a, b, k), "query_id long, vec_id long, score double")
