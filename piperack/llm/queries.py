@@ -65,4 +65,4 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op5_chat_formatting, op6_quality_classifier, op7_substring_dedup, op8_inverted_multi_index, op9_simhash_near_dedup, op10_toxicity)}
-ORACLES: dict[str, str] = {"op5_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontamination.ORACLE, "op5_chat_formatting": chat.ORACLE}
