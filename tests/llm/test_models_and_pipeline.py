@@ -144,3 +144,49 @@ def test_pipeline_stages_on_their_inputs(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
+
+
+def test_pipeline_as_a_plain_version(spark):
+    """The kept ids and their token ids, by brute force but for the model's decisions and the surrogates."""
+    from test_search_operators import brute_components
+    from test_text_operators import WORDS, low, own_encoding
+
+    from piperack.llm import simhash
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id: r for r in quality.score(docs, quality.fit(docs, labels)).where("predicted = 1").collect()}
+    prints = {d: simhash.fingerprint_words((r.text or "").encode().lower().split(), 3) for d, r in good.items()}
+    label = brute_components(np.array(list(prints.values()), np.uint64), 3)
+    first = {}
+    for d in sorted(prints):
+        first.setdefault(label[prints[d]], d)
+    windows = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = WORDS.findall(low(r.text))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(n, set()).add(tuple(w[k : k + n]))
+    left = {}
+    for d in first.values():
+        text = good[d].text
+        at = [m.span() for m in WORDS.finditer(low(text))]
+        w = [low(text)[a:b] for a, b in at]
+        hit = [False] * len(w)
+        for n, grams in windows.items():
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in grams:
+                    hit[k : k + n] = [True] * n
+        if hit and all(hit):
+            continue
+        out, end = "", 0
+        for k in range(len(w)):
+            if hit[k]:
+                if k == 0 or not hit[k - 1]:
+                    out += text[end : at[k][0]]
+                end = at[k][1]
+        left[d] = out + text[end:]
+    frame = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.pseudonymise(frame, corpus_pipeline.PII_KEY).collect()}
+    encoding = own_encoding()
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()} == {d: encoding.encode_ordinary(t) for d, t in texts.items()}
