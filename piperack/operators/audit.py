@@ -75,3 +75,15 @@ def first_hits(hits: DataFrame, by: str, order: list[str], most: int = 12) -> Da
     """The first ``most`` hits of each ``by`` in ``order``, with their rank."""
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return ranked.where(F.col("rank") <= most)
+
+
+def slot_recall(gold: DataFrame, rows: DataFrame) -> DataFrame:
+    """label, slot, expected, matched, recall for gold(label, slot, item, match_any) against rows(label, slot, text).
+
+    An item is matched if in some text of its slot all keywords of one of its alternatives stand; recall of nothing is 1.
+    """
+    text = F.lower("text")
+    hit = F.exists("match_any", lambda words: F.forall(words, lambda w: F.contains(text, F.lower(w))))
+    found = gold.join(rows, ["label", "slot"], "left").groupBy("label", "slot", "item").agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("hit"))
+    sums = found.groupBy("label", "slot").agg(F.count(F.lit(1)).alias("expected"), F.sum("hit").alias("matched"))
+    return sums.select("label", "slot", "expected", "matched", F.round(rate(F.col("matched"), F.col("expected"), 1.0), 6).alias("recall"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from piperack.operators import generation, graph
+from piperack.operators import audit, generation, graph, retrieval
 from piperack.plans import standins as s
 
 QUERIES: dict = {}
@@ -79,3 +79,36 @@ def lab_speed(spark, sf_dir):
 def view_precision(spark, sf_dir):
     label = F.when(F.col("value") >= 50, "accept").when(F.col("value") < 20, "reject").otherwise("open")
     return generation.label_precision(s.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), label.alias("label")), "kind")
+
+
+@_register("""WITH gold AS (SELECT item_id AS item, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 3),
+told AS (SELECT role, lower(text) AS t FROM conversations),
+hits AS (SELECT item, role, bool_or((contains(t, w[1]) AND contains(t, w[2])) OR contains(t, w[3])) AS hit FROM gold CROSS JOIN told GROUP BY ALL)
+SELECT 'all' AS label, role AS slot, count(*) AS expected, sum(hit::INTEGER)::BIGINT AS matched, round(avg(hit::INTEGER), 6) AS recall FROM hits GROUP BY ALL""")
+def au_slot_recall(spark, sf_dir):
+    """Every item is expected of every role: its first two words together, or its third."""
+    from piperack.functions.plant import tokens
+
+    told = s.table(spark, sf_dir, "conversations").select(F.lit("all").alias("label"), F.col("role").alias("slot"), "text")
+    words = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    pair = F.array(F.element_at("w", 1), F.element_at("w", 2))
+    roles = F.explode(F.array(*[F.lit(r) for r in ("user", "assistant", "system")]))
+    gold = words.select(F.lit("all").alias("label"), roles.alias("slot"), "item", F.array(pair, F.array(F.element_at("w", 3))).alias("match_any"))
+    return audit.slot_recall(gold.join(told.select("slot").distinct(), "slot", "left_semi"), told)
+
+
+@_register("""WITH cells AS (SELECT vec_id, label, unnest(range(len(embedding))) AS bucket, unnest(embedding)::DOUBLE AS raw FROM embeddings),
+v AS (SELECT vec_id, bucket, raw / sqrt(sum(raw * raw) OVER (PARTITION BY vec_id)) AS x FROM cells WHERE raw <> 0),
+means AS (SELECT label, bucket, avg(raw) AS raw FROM cells GROUP BY ALL), q AS (SELECT label, bucket, raw / sqrt(sum(raw * raw) OVER (PARTITION BY label)) AS x FROM means WHERE raw <> 0),
+scored AS (SELECT label AS query_id, vec_id AS chunk_id, round(sum(v.x * q.x), 6) AS score FROM v JOIN q USING (bucket) GROUP BY ALL)
+SELECT query_id, chunk_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""")
+def kb_dense_embeddings(spark, sf_dir):
+    """The mean vector of each label asks for its ten nearest rows."""
+    from pyspark.sql import Window
+
+    rows = s.table(spark, sf_dir, "embeddings")
+    means = rows.select("label", F.posexplode("embedding").alias("p", "x")).groupBy("label", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda c: c["x"]).alias("embedding"))
+    scored = retrieval.dense(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), means.withColumnRenamed("label", "vec_id"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return scored.withColumn("r", rank).where("r <= 10").select("query_id", "chunk_id", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "piperack", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC timestamps; ``conf`` keys use ``_`` for ``.`` nowhere, pass them whole."""
+    """A session with adaptive execution and UTC timestamps; ``conf`` has whole setting names, given as ``**{name: value}``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
