@@ -36,15 +36,16 @@ def ws_consequences(spark, sf_dir):
 _GO = "JOIN nodes n ON n.tag = node AND (node = start OR n.equipment_type NOT IN ('pump', 'compressor', 'valve', 'control_valve'))"
 
 
-@_register(f"""WITH RECURSIVE {s.GRAPH_SQL}, columns AS (SELECT tag AS start FROM nodes WHERE equipment_type = 'column'),
+@_register(f"""WITH RECURSIVE {s.GRAPH_SQL}, columns AS (SELECT DISTINCT dst AS start FROM edges JOIN hub ON src = start JOIN nodes ON tag = dst WHERE equipment_type = 'column'),
 drawn(start, node) AS (SELECT start, start FROM columns UNION SELECT start, dst FROM drawn {_GO} JOIN edges ON src = node),
 sure(start, node) AS (SELECT start, start FROM columns UNION SELECT start, dst FROM sure {_GO} JOIN edges ON src = node WHERE verified),
 relief AS (SELECT d.start, bool_or(d.node IN (SELECT node FROM sure x WHERE x.start = d.start)) AS v FROM drawn d JOIN nodes ON tag = d.node WHERE d.node <> d.start AND equipment_type = 'relief_valve' GROUP BY d.start)
 SELECT 'columns' AS node_id, start AS tag, CASE WHEN v THEN 0.99 ELSE 0.60 END::DOUBLE AS confidence FROM relief ORDER BY NOT v, start LIMIT 1""")
 def ws_relief_safeguard(spark, sf_dir):
-    """The columns are one study node; its members in the order of their tags."""
+    """The columns that the hub feeds are one study node; its members in the order of their tags."""
     nodes, edges = s.nodes(spark, sf_dir), graph.cut(s.edges(spark, sf_dir))
-    columns = nodes.where("equipment_type = 'column'").select("tag")
+    fed = edges.join(s.hub(edges), edges.src == F.col("start")).select(F.col("dst").alias("tag"))
+    columns = graph.cut(nodes.where("equipment_type = 'column'").select("tag").join(fed, "tag", "left_semi"))
     relief = graph.relief_paths(edges, nodes, columns.select(F.col("tag").alias("start")))
     members = columns.select(F.lit("columns").alias("node_id"), F.col("tag").alias("ordinal"), "tag")
     return generation.relief_safeguard(members, relief)

@@ -97,9 +97,9 @@ def set_union(spark, sf_dir):
     return _keys(spark, sf_dir, "orders", "o_custkey").union(_keys(spark, sf_dir, "supplier", "s_suppkey")).distinct()
 
 
-@_register("SELECT c_custkey::BIGINT AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@_register("SELECT o_custkey::BIGINT AS key FROM orders EXCEPT SELECT s_suppkey FROM supplier")
 def set_except(spark, sf_dir):
-    return _keys(spark, sf_dir, "customer", "c_custkey").subtract(_keys(spark, sf_dir, "orders", "o_custkey"))
+    return _keys(spark, sf_dir, "orders", "o_custkey").subtract(_keys(spark, sf_dir, "supplier", "s_suppkey"))
 
 
 @_register("SELECT p_partkey::BIGINT AS key FROM part INTERSECT SELECT o_custkey FROM orders")
