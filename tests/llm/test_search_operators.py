@@ -159,6 +159,22 @@ def test_recall_of_near_passages():
     assert hits >= 190
 
 
+def test_every_copy_of_a_passage_within_a_text():
+    rng = random.Random(12)
+    prose = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage = prose(60)
+    twice = prose(20) + passage + prose(70) + passage + prose(20)
+    once = prose(30) + passage
+    runs, _ = passages.shared_passages(" ".join(twice).encode(), " ".join(once).encode())
+    _, mirrored = passages.shared_passages(" ".join(once).encode(), " ".join(twice).encode())
+    for found in (runs, mirrored):
+        assert len(found) == 2 and all(any(first <= at and last >= at + 59 for first, last in found) for at in (20, 150))
+    line = passage[8:40]  # lines of the passage that stand before it in both texts
+    a, b = line + prose(3) + line + prose(3) + passage + prose(30), passage + prose(5) + line + prose(40)
+    runs, others = passages.shared_passages(" ".join(a).encode(), " ".join(b).encode())
+    assert any(first <= 70 and last >= 129 for first, last in runs) and any(first <= 0 and last >= 59 for first, last in others)
+
+
 def vectors(n, rng, width=16):
     return rng.normal(size=(n, width)).astype(np.float32)
 
