@@ -175,6 +175,18 @@ def test_every_copy_of_a_passage_within_a_text():
     assert any(first <= 70 and last >= 129 for first, last in runs) and any(first <= 0 and last >= 59 for first, last in others)
 
 
+def test_passages_shared_with_different_texts_are_all_listed(spark):
+    rng = random.Random(21)
+    prose = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = prose(60), prose(90)
+    texts = {1: prose(30) + one + prose(80) + two + prose(30), 2: prose(40) + one, 3: two + prose(50)}
+    found = passages.near_duplicate_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string"))
+    by_id = {r.doc_id: r for r in found.collect()}
+    runs = [(p.first, p.last) for p in by_id[1].passages]
+    assert by_id[1].n_links == 2 and runs == sorted(runs)
+    assert all(any(first <= a and last >= b for first, last in runs) for a, b in ((30, 89), (170, 259)))
+
+
 def vectors(n, rng, width=16):
     return rng.normal(size=(n, width)).astype(np.float32)
 
