@@ -187,6 +187,12 @@ def test_passages_shared_with_different_texts_are_all_listed(spark):
     assert all(any(first <= a and last >= b for first, last in runs) for a, b in ((30, 89), (170, 259)))
 
 
+def test_copies_are_measured_in_words_of_letters_and_digits(spark):
+    joined, pieces = ",".join(f"k{i}" for i in range(55)), " - ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, joined), (2, joined), (3, pieces), (4, pieces)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id, r.n_copies) for r in passages.near_duplicate_passages(docs).collect()} == {(1, 1, 1), (2, 1, 1)}
+
+
 def vectors(n, rng, width=16):
     return rng.normal(size=(n, width)).astype(np.float32)
 
