@@ -110,6 +110,9 @@ def _top(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     matrix = lambda t: t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
     q, e = matrix(queries), matrix(rows)
     qid, eid, cell = queries.column("id").to_numpy(), rows.column("id").to_numpy(), rows.column("cell").to_numpy()
+    by_id = np.argsort(eid, kind="stable")
+    e, eid, cell = e[by_id], eid[by_id], cell[by_id]
+    starts = np.flatnonzero(np.concatenate(([True], eid[1:] != eid[:-1])))
     lists = queries.column("cells").combine_chunks()
     asked, at = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
     out = []
@@ -121,14 +124,17 @@ def _top(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         probes[at[part][inside] - low, asked[part][inside]] = True
         near = q[low : low + step] @ e.T
         near[~probes[:, cell] | (qid[low : low + step, None] == eid[None])] = -np.inf
-        bound = np.partition(near, len(e) - k, axis=1)[:, len(e) - k] if len(e) > k else np.full(len(near), -np.inf)
+        each = np.maximum.reduceat(near, starts, axis=1)  # the best of each id
+        bound = np.partition(each, each.shape[1] - k, axis=1)[:, each.shape[1] - k] if each.shape[1] > k else np.full(len(near), -np.inf)
         a, b = np.nonzero((near >= bound[:, None] - 1e-9) & (near > -np.inf))
         exact = (q[low + a] * e[b]).sum(axis=1)
-        order = np.lexsort((eid[b], -exact, a))
+        order = np.lexsort((-exact, eid[b], a))  # an id's rows stand together, the best first
         a, b, exact = a[order], b[order], exact[order]
-        fresh = np.ones(len(a), bool)  # an id's repeated rows stand together but for ties of other ids, which are kept
+        fresh = np.ones(len(a), bool)
         fresh[1:] = (a[1:] != a[:-1]) | (eid[b][1:] != eid[b][:-1])
         a, b, exact = a[fresh], b[fresh], exact[fresh]
+        order = np.lexsort((eid[b], -exact, a))
+        a, b, exact = a[order], b[order], exact[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         take = rank < k
         out.append((qid[low + a[take]], eid[b[take]], exact[take]))
@@ -138,7 +144,7 @@ def _top(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest ``k`` found of each row whose id ``every`` divides, by inner product."""
-    rows = usable(vectors, id, vector)
+    rows = kept(usable(vectors, id, vector).distinct())  # repeated rows count once; taken in part before the shuffle
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()  # bounded by SAMPLE
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(taken):
@@ -152,9 +158,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id",
         return pa.array(shared.value.cells(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)).astype(np.int32))
 
     indexed = kept(rows.withColumn("cell", cell_of("vector")))
-    counts = np.zeros(width, int)
-    for r in indexed.groupBy("cell").count().collect():  # at most a row for each pair of centroids
-        counts[r.cell] = r["count"]
+    counts, ids = np.zeros(width, int), np.zeros(width, int)
+    for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect():  # at most a row for each pair of centroids
+        counts[r.cell], ids[r.cell] = r.n, r.ids
     parts = np.maximum(1, -(-counts // SHARD_ROWS))
     shard_of, filled, shard = np.zeros(width, int), 0, 0
     for c in range(width):  # small cells share a shard, a large one has shards of its own
@@ -164,13 +170,13 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id",
         filled += counts[c]
         if parts[c] > 1:
             shard, filled = shard + parts[c], 0
-    layout = vectors.sparkSession.sparkContext.broadcast((counts, parts, shard_of, float(index.share * counts.sum())))
+    layout = vectors.sparkSession.sparkContext.broadcast((ids, parts, shard_of, float(index.share * ids.sum())))
 
     @F.arrow_udf("array<struct<shard:int,cells:array<int>>>")
     def probes(x: pa.Array) -> pa.Array:
-        counts, parts, shard_of, wanted = layout.value
+        ids, parts, shard_of, wanted = layout.value
         out = []
-        for cells in shared.value.probes(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), counts, wanted):
+        for cells in shared.value.probes(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), ids, wanted):
             by_shard: dict[int, list[int]] = {}
             for c in cells:
                 for p in range(parts[c]):

@@ -238,3 +238,18 @@ def test_a_large_cell_is_spread(spark, monkeypatch):
     found = ann.search(df, k=5).collect()
     first = sorted((r for r in found if r.query_id == 0), key=lambda r: r["rank"])
     assert len(found) == 20 * 5 and [r.vec_id for r in first] == [1, 2, 3, 4, 5]
+
+
+def test_repeated_ids_take_one_place_each(spark):
+    rng = np.random.default_rng(14)
+    x = vectors(300, rng)
+    x[7] = x[0] * 3  # the best answer to query 0, many times over, with equal and with differing vectors
+    rows = [(k, [float(v) for v in x[k]]) for k in range(300)]
+    more = [rows[7]] * 50 + [(7, [float(v) for v in x[0] * (2.5 + j / 100)]) for j in range(50)]
+    schema = "vec_id long, embedding array<float>"
+    best = sorted((k for k in range(300) if k != 0), key=lambda k: (-float(x[k].astype(float) @ x[0].astype(float)), k))[:20]
+    found = ann.search(spark.createDataFrame(rows + more, schema), recall=1.0).where("query_id = 0").orderBy("rank").collect()
+    assert len(found) == 20 and found[0].vec_id == 7 and len({r.vec_id for r in found} & set(best)) >= 19
+    plain = spark.createDataFrame(rows, schema)
+    pairs = lambda df: {(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df).collect()}
+    assert pairs(plain) == pairs(plain.union(plain))
