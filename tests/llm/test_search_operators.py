@@ -193,6 +193,30 @@ def test_copies_are_measured_in_words_of_letters_and_digits(spark):
     assert {(r.doc_id, r.class_id, r.n_copies) for r in passages.near_duplicate_passages(docs).collect()} == {(1, 1, 1), (2, 1, 1)}
 
 
+def test_whole_query_as_brute_force_with_frequent_lines(spark, monkeypatch):
+    monkeypatch.setattr(passages, "GROUP", 8, raising=False)
+    rng = random.Random(33)
+    prose = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [prose(9) for _ in range(3)]
+    texts = []
+    for _ in range(14):  # families of edited variants, whose passages hold frequent lines
+        passage = prose(13) + lines[0] + prose(13) + lines[1] + prose(13)
+        for copy in range(3):
+            own = list(passage)
+            if copy:
+                own[rng.randrange(len(own))] = prose(1)[0]
+            texts.append(" ".join(prose(30) + lines[2] + prose(20) + own + prose(20)))
+    texts += [" ".join(prose(20) + lines[k % 3] + prose(15) + lines[(k + 1) % 3] + prose(30)) for k in range(40)]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if passages.shared_passages(texts[a].encode(), texts[b].encode())[0]]
+    least = list(range(len(texts)))
+    for _ in range(4):
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    found = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(linked) >= 30
+    assert {r.doc_id: r.class_id for r in found} == {k: least[k] for k in {x for pair in linked for x in pair}}
+
+
 def vectors(n, rng, width=16):
     return rng.normal(size=(n, width)).astype(np.float32)
 
