@@ -6,7 +6,10 @@ cells hold a set share of the rows; the share is measured on the sample, so that
 Candidates are reranked by the exact inner product in double precision.
 
 Cells are packed into shards of like size; the rows of a large cell spread over several. A query goes once to each
-shard that it probes, in blocks, and brings back its nearest of that shard, so no task or group grows with the input.
+shard that it probes, in blocks, so no task or group grows with the input. It goes nearest shards first, in rounds of
+one, three, twelve, ... shards, and takes along the score of its ``k``-th nearest so far: a shard returns only what
+reaches that. A round asks three times the shards of all rounds before, so it brings back some 3 ``k`` rows a query,
+however many rows there are. ``recall=None`` walks all cells, which is exact.
 
 Cases: vectors that are null, zero, of another length than the commonest, or that hold null or non-finite components
 take no part, nor do rows without id; an id's repeated rows count once, as a query with the least vector; ties go to
@@ -27,7 +30,7 @@ from pyspark.sql.window import Window
 from piperack.llm.shared import kept
 
 #: Vectors sampled, centroids of a half, rows aimed at in a shard, queries in a block, queries walked in a task, recall aimed at on the sample.
-SAMPLE, CENTROIDS, SHARD_ROWS, QUERY_BLOCK, WALK_BLOCK, RECALL = 10_000, 32, 2048, 20_000, 256, 0.97
+SAMPLE, CENTROIDS, SHARD_ROWS, QUERY_BLOCK, WALK_BLOCK, RECALL = 10_000, 32, 4096, 20_000, 256, 0.96
 
 
 def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -82,13 +85,15 @@ class MultiIndex:
         return [walk(f, s, counts, wanted) for f, s in zip(q[:, :half] @ self.first.T, q[:, half:] @ self.second.T, strict=True)]
 
 
-def fit(sample: np.ndarray, k: int, centroids: int = CENTROIDS, recall: float = RECALL, trials: int = 200) -> MultiIndex:
-    """Centroids, and the share of rows to walk over that finds ``recall`` of the nearest ``k`` within the sample."""
+def fit(sample: np.ndarray, k: int, centroids: int = CENTROIDS, recall: float | None = RECALL, trials: int = 200) -> MultiIndex:
+    """Centroids, and the share of rows to walk over that finds ``recall`` of the nearest ``k`` within the sample; all rows for None."""
     half = sample.shape[1] // 2
     index = MultiIndex(_centroids(sample[:, :half], centroids), _centroids(sample[:, half:], centroids), 1.0)
     cells = index.cells(sample)
     counts = np.bincount(cells, minlength=len(index.first) * len(index.second))
-    depths = []
+    depths: list[float] = []
+    if recall is None:
+        return index
     for t in np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int):
         near = sample @ sample[t]
         near[t] = -np.inf
@@ -103,13 +108,15 @@ def fit(sample: np.ndarray, k: int, centroids: int = CENTROIDS, recall: float =
 
 
 def _top(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """The nearest ``k`` rows of one shard for each query of one block, among the cells that the query probes."""
+    """The nearest ``k`` rows of one shard for each query of one block, among the cells that the query probes, less
+    those that score below the query's bound."""
     empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
     if not len(queries) or not len(rows):
         return pa.table(empty)
     matrix = lambda t: t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
     q, e = matrix(queries), matrix(rows)
     qid, eid, cell = queries.column("id").to_numpy(), rows.column("id").to_numpy(), rows.column("cell").to_numpy()
+    least = queries.column("bound").to_numpy()
     by_id = np.argsort(eid, kind="stable")
     e, eid, cell = e[by_id], eid[by_id], cell[by_id]
     starts = np.flatnonzero(np.concatenate(([True], eid[1:] != eid[:-1])))
@@ -126,8 +133,11 @@ def _top(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         near[~probes[:, cell] | (qid[low : low + step, None] == eid[None])] = -np.inf
         each = np.maximum.reduceat(near, starts, axis=1)  # the best of each id
         bound = np.partition(each, each.shape[1] - k, axis=1)[:, each.shape[1] - k] if each.shape[1] > k else np.full(len(near), -np.inf)
+        bound = np.maximum(bound, least[low : low + step])
         a, b = np.nonzero((near >= bound[:, None] - 1e-9) & (near > -np.inf))
         exact = (q[low + a] * e[b]).sum(axis=1)
+        reached = exact >= least[low + a]
+        a, b, exact = a[reached], b[reached], exact[reached]
         order = np.lexsort((-exact, eid[b], a))  # an id's rows stand together, the best first
         a, b, exact = a[order], b[order], exact[order]
         fresh = np.ones(len(a), bool)
@@ -194,9 +204,18 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id",
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
     queries = queries.repartition(max(1, -(-total // WALK_BLOCK)), "id")
-    asked = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(probes("vector")).alias("p")).select("id", "vector", "block", "p.shard", "p.cells")
+    walks = kept(queries.select(F.col("id").alias("asker"), F.col("vector").alias("asked"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), probes("vector").alias("probes")))
+    most = walks.agg(F.max(F.size("probes"))).first()[0] or 0
     held = indexed.select("id", "vector", "cell", home("cell", F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30))).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    near = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(lambda a, b: _top(a, b, k), "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, done, count = None, 0, 1
+    while done < most:
+        bound = F.lit(float("-inf")) if best is None else F.coalesce("bound", F.lit(float("-inf")))
+        bounds = walks if best is None else walks.join(best.where(F.col("rank") == k).select(F.col("query_id").alias("asker"), F.col("score").alias("bound")), "asker", "left")
+        asked = bounds.select(F.col("asker").alias("id"), F.col("asked").alias("vector"), "block", bound.alias("bound"), F.explode(F.slice("probes", done + 1, count)).alias("p")).select("id", "vector", "block", "bound", "p.shard", "p.cells")
+        near = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(lambda a, b: _top(a, b, k), "query_id long, vec_id long, score double")
+        near = near if best is None else near.union(best.drop("rank"))
+        ranked = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+        best = kept(ranked.where(F.col("rank") <= k))
+        done, count = done + count, 3 * (done + count)
+    return empty if best is None else best.select("query_id", "rank", "vec_id", "score")

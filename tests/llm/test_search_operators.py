@@ -277,3 +277,28 @@ def test_repeated_ids_take_one_place_each(spark):
     plain = spark.createDataFrame(rows, schema)
     pairs = lambda df: {(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df).collect()}
     assert pairs(plain) == pairs(plain.union(plain))
+
+
+def test_walking_all_cells_is_exact_and_rounds_thin_what_shards_return(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 20)
+    monkeypatch.setattr(ann, "SAMPLE", 100)  # less than the table: the rest is indexed all the same
+    rng = np.random.default_rng(19)
+    x = vectors(700, rng)
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(700)], "vec_id long, embedding array<float>")
+    exact = x.astype(float)
+    got = {}
+    for r in ann.search(df, k=5, every=50, recall=None).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, 700, 50):
+        scores = (exact * exact[q]).sum(axis=1)
+        best = sorted((k for k in range(700) if k != q), key=lambda k: (-scores[k], k))[:5]
+        assert [got[q][i] for i in range(1, 6)] == best
+
+
+def test_a_bound_thins_the_rows_of_a_shard():
+    import pyarrow as pa
+
+    rows = pa.table({"id": [1, 2, 3], "vector": [[1.0, 0.0], [0.5, 0.0], [0.1, 0.0]], "cell": pa.array([0, 0, 1], pa.int32())})
+    ask = lambda bound: pa.table({"id": [9], "vector": [[1.0, 0.0]], "bound": [bound], "cells": pa.array([[0, 1]], pa.list_(pa.int32()))})
+    assert ann._top(ask(float("-inf")), rows, 5).column("vec_id").to_pylist() == [1, 2, 3]
+    assert ann._top(ask(0.5), rows, 5).column("vec_id").to_pylist() == [1, 2]
