@@ -5,7 +5,10 @@ consecutive words; an item of fewer words, but not none, is one window. A worker
 benchmark, finds the stretches of such words, looks the rolling hash of each window in them up in the hash set, and
 verifies each hit against the window's words.
 
-The benchmark is broadcast in blocks of bounded size, each scanned against all documents in the same pass.
+The benchmark is broadcast in blocks of bounded size, one at a time, whose size is measured first. Each block but the
+last has a pass of its own, which writes the hits only; the last pass joins them. So a benchmark of one block, the usual
+case, takes one pass without a shuffle, and a larger one takes more passes, never more memory. A task builds the matcher
+of its block once and drops it when it ends.
 
 Cases: a null or empty text has no words and no hits; an item without words has no windows; an item without an id
 marks words but isn't listed; texts of any length are scanned whole; repeated rows give repeated rows; empty tables
@@ -16,13 +19,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from uuid import uuid4
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from piperack.llm.shared import kept
+
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -100,33 +106,23 @@ def _spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(len(text[: at[a][0]].decode()), len(text[: at[b][1]].decode())) for a, b in runs]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
-    """The benchmark in broadcast blocks of about ``block_bytes``, each fetched by itself."""
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[tuple[bool, Broadcast]]:
+    """The benchmark in broadcast blocks of about ``block_bytes``, each fetched when it is asked for, and if it is the last."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("text")).where(F.length(text) > 0).distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // block_bytes)
+    n = max(1, -(-size // block_bytes))
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield benchmark.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in block.collect()])
-
-
-_MATCHERS: dict[str, Matcher] = {}
-
+        yield k == n - 1, benchmark.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in block.collect()])
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, hit_runs (first and last word of each stretch of hit words), hit_spans (their character
-    positions, [start, stop)), n_hit and hit_items (sorted ids of the items with occurring windows)."""
 
-    def scanner(block) -> Column:
-        key = uuid4().hex
+def _scanner(block: Broadcast, window: int):
+    """A function that gives FOUND for each text."""
 
-        @F.arrow_udf(FOUND)
-        def find(texts: pa.Array) -> pa.Array:
-            if key not in _MATCHERS:
-                if len(_MATCHERS) > 1:
-                    _MATCHERS.clear()
-                _MATCHERS[key] = Matcher(block.value, window)
-            matcher = _MATCHERS[key]
+    @F.arrow_udf(FOUND)
+    def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(block.value, window)
+        for texts in parts:
             counts, runs, spans, items = [], [], [], []
             for raw in texts.cast(pa.binary()).to_pylist():
                 words = words_of(raw)
@@ -136,28 +132,38 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 spans.append(_spans(raw, r) if r else [])
                 items.append(sorted(found - {None}))
             columns = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(_RUN)), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
-            return pa.StructArray.from_arrays(columns, names=["n_words", "runs", "spans", "items"])
-
-        return find(F.coalesce(F.col(text), F.lit("")))
-
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes)) or [docs.sparkSession.sparkContext.broadcast([])]
-    names = [f"__found_{k}" for k in range(len(blocks))]
-    found = docs.withColumns(dict(zip(names, map(scanner, blocks), strict=True)))
-    merged = lambda kind, a, b: F.col(f"{names[0]}.{kind}") if len(names) == 1 else _union([F.col(f"{n}.{kind}") for n in names], a, b)
-    found = found.withColumns(
-        {
-            "n_words": F.col(f"{names[0]}.n_words"),
-            "hit_runs": merged("runs", "first", "last"),
-            "hit_spans": merged("spans", "start", "stop"),
-            "hit_items": F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names])))),
-        }
-    ).drop(*names)
+            yield pa.StructArray.from_arrays(columns, names=["n_words", "runs", "spans", "items"])
+
+    return find
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with n_words, hit_runs (first and last word of each stretch of hit words), hit_spans (their character
+    positions, [start, stop)), n_hit and hit_items (sorted ids of the items with occurring windows)."""
+    whole, key = F.coalesce(F.col(text), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    hits = None
+    for last, block in _blocks(benchmark, item, item_text, block_bytes):
+        find = _scanner(block, window)
+        if last:
+            found = docs.withColumn("__found", find(whole))
+            break
+        one = docs.select(key.alias("__key"), find(whole).alias("f")).where(F.size("f.runs") > 0).select("__key", "f.runs", "f.spans", "f.items")
+        one = kept(one.dropDuplicates(["__key"]))
+        block.unpersist()
+        hits = one if hits is None else hits.union(one)
+    columns = {"hit_runs": F.col("__found.runs"), "hit_spans": F.col("__found.spans"), "hit_items": F.col("__found.items")}
+    if hits is not None:
+        lists = hits.groupBy("__key").agg(*[F.flatten(F.collect_list(c)).alias(f"__{c}") for c in ("runs", "spans", "items")])  # a list a block at most
+        found = found.withColumn("__key", key).join(lists, "__key", "left")
+        both = {new: F.coalesce(F.concat(f"__{c}", f"__found.{c}"), F.col(f"__found.{c}")) for new, c in (("hit_runs", "runs"), ("hit_spans", "spans"), ("hit_items", "items"))}
+        columns = {"hit_runs": _union(both["hit_runs"], "first", "last"), "hit_spans": _union(both["hit_spans"], "start", "stop"), "hit_items": F.array_sort(F.array_distinct(both["hit_items"]))}
+    found = found.withColumns({"n_words": F.col("__found.n_words")} | columns).drop("__found", "__key", "__runs", "__spans", "__items")
     return found.withColumn("n_hit", F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1))
 
 
-def _union(intervals: list[Column], low: str, high: str) -> Column:
-    """The union of sorted lists of intervals, as a sorted list of disjoint ones."""
-    ordered = F.array_sort(F.flatten(F.array(*intervals)))
+def _union(intervals: Column, low: str, high: str) -> Column:
+    """The union of a list of intervals, as a sorted list of disjoint ones."""
+    ordered = F.array_sort(intervals)
     adjacent = 1 if low == "first" else 0
 
     def add(done: Column, new: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 _DOUBLE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_EDGE = re.compile(r"[^\W\d_](?=[\s!-&(-/:-@\[-`{-~])")
 
 
 def safe_chunks(text: str) -> list[str]:
@@ -20,15 +21,35 @@ def safe_chunks(text: str) -> list[str]:
 
 
 def by_bytes(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
-    """``texts`` in order (null: empty), in groups of about ``limit`` characters; one longer text is a group of its own."""
+    """``texts`` in order (null: empty), in groups of about ``limit`` bytes of UTF-8; one longer text is a group of its own."""
     group: list[str] = []
     held = 0
     for text in texts:
         text = text or ""
-        if group and held + len(text) > limit:
+        size = len(text) if text.isascii() else len(text.encode())
+        if group and held + size > limit:
             yield group
             group, held = [], 0
         group.append(text)
-        held += len(text)
+        held += size
     if group:
         yield group
+
+
+def short_parts(part: str, specials: re.Pattern | None, limit: int) -> list[str]:
+    """``part`` cut after letters that a sign, digit or white space follows, where a byte-level pattern always ends a
+    pre-token, into parts of about ``limit`` characters; a special string is a part by itself. A longer run of letters
+    is one pre-token and stays whole."""
+    if len(part) <= limit:
+        return [part]
+    out = []
+    for k, piece in enumerate(specials.split(part) if specials else [part]):
+        if k % 2:  # what the pattern's one group has matched: a special string
+            out.append(piece)
+            continue
+        at = 0
+        while len(piece) - at > limit and (edge := _EDGE.search(piece, at + limit)):
+            out.append(piece[at : edge.end()])
+            at = edge.end()
+        out.append(piece[at:])
+    return [x for x in out if x]

@@ -1,8 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts go through in groups of like size in bytes. For a byte-level tokenizer each text is split at boundaries that no
-pre-token crosses; each distinct part is encoded once by the library, in batches of like size, and remembered by the
-worker. Other tokenizers get whole texts.
+pre-token crosses, at lone spaces and, in long parts, after letters that a sign follows; each distinct part is encoded
+once by the library, in batches of like size in bytes, and remembered for the task, at most ``REMEMBERED`` parts at a
+time. Other tokenizers get whole texts.
 
 Cases: a null text is an empty one and has 0 bytes and 0 tokens; texts of any length count whole; repeated rows give
 repeated rows; an empty table gives an empty table; output columns replace columns of the same names.
@@ -12,15 +13,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piperack.llm.textcut import by_bytes, safe_chunks
+from piperack.llm.textcut import by_bytes, safe_chunks, short_parts
 
-#: Part counts that a worker remembers before it starts anew, and characters in a batch for the library.
-REMEMBERED, BATCH = 1_000_000, 1 << 16
+#: Part counts that a task remembers before it starts anew, bytes in a batch for the library, and the characters from which a part is cut.
+REMEMBERED, BATCH, LONG = 300_000, 1 << 16, 1 << 15
 
 
 class Counter:
@@ -29,7 +32,10 @@ class Counter:
     def __init__(self, name: str, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lengths = self._sentencepiece(content) if name.endswith(".model") else self._tokenizers(content)
-        self.split = name.endswith(".json") and self._splits(json.loads(content))
+        spec = json.loads(content) if name.endswith(".json") else {}
+        self.split = bool(spec) and self._splits(spec)
+        contents = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.specials = re.compile(f"({'|'.join(contents)})") if contents else None
         self.leading: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
 
@@ -59,10 +65,14 @@ class Counter:
 
     def _learn(self, cache: dict[str, int], wanted: list[str], lead: str) -> None:
         new = [w for w in dict.fromkeys(wanted) if w not in cache]
+        long = [w for w in new if len(w) > LONG]
+        new = [w for w in new if len(w) <= LONG]
         at = 0
         for group in by_bytes([lead + w for w in new], BATCH):
             cache.update(zip(new[at : at + len(group)], self.lengths(group), strict=True))
             at += len(group)
+        for w in long:
+            cache[w] = sum(n for group in by_bytes(short_parts(lead + w, self.specials, LONG), BATCH) for n in self.lengths(group))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text of a group."""
@@ -83,9 +93,6 @@ class Counter:
         return [self.leading[c[0]] + (sum(map(get, c[1:])) if None in n else sum(n)) for c, n in zip(cut, found, strict=True)]
 
 
-_COUNTERS: dict[tuple[str, int], Counter] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text") -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit (more tokens than ``limit``) of every whole text."""
     name = os.path.basename(path)
@@ -93,12 +100,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, of one size whatever the data
 
     @F.arrow_udf("long")
-    def lengths(texts: pa.Array) -> pa.Array:
-        key = (name, hash(vocabulary.value))
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(name, vocabulary.value)
-        return pa.array([n for group in by_bytes(texts.to_pylist()) for n in _COUNTERS[key].count(group)], pa.int64())
+    def lengths(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = Counter(name, vocabulary.value)  # what it remembers goes with the task
+        for texts in parts:
+            yield pa.array([n for group in by_bytes(texts.to_pylist()) for n in counter.count(group)], pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumn("n_tokens", lengths(whole)).withColumn("n_bytes", F.octet_length(whole).cast("long"))
