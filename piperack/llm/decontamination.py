@@ -119,20 +119,22 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
 def _scanner(block: Broadcast, window: int):
     """A function that gives FOUND for each text."""
 
+    own: list[Matcher] = []  # a task has its own copy of this list, and what is in it goes with the task
+
     @F.arrow_udf(FOUND)
-    def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(block.value, window)
-        for texts in parts:
-            counts, runs, spans, items = [], [], [], []
-            for raw in texts.cast(pa.binary()).to_pylist():
-                words = words_of(raw)
-                hit, found = matcher.find(words)
-                counts.append(len(words))
-                runs.append(r := _runs(hit))
-                spans.append(_spans(raw, r) if r else [])
-                items.append(sorted(found - {None}))
-            columns = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(_RUN)), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
-            yield pa.StructArray.from_arrays(columns, names=["n_words", "runs", "spans", "items"])
+    def find(texts: pa.Array) -> pa.Array:
+        if not own:
+            own.append(Matcher(block.value, window))
+        counts, runs, spans, items = [], [], [], []
+        for raw in texts.cast(pa.binary()).to_pylist():
+            words = words_of(raw)
+            hit, found = own[0].find(words)
+            counts.append(len(words))
+            runs.append(r := _runs(hit))
+            spans.append(_spans(raw, r) if r else [])
+            items.append(sorted(found - {None}))
+        columns = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(_RUN)), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(columns, names=["n_words", "runs", "spans", "items"])
 
     return find
 

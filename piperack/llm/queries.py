@@ -19,8 +19,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.digest(bpe.decode(encoded, path, pattern))
+    return bpe.digest(bpe.round_trip(_table(spark, sf_dir, "documents"), path, pattern))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(_table(spark, sf_dir, "documents"), "piperack")
+    done = pii.pseudonymise(_table(spark, sf_dir, "documents"), pii.session_key(spark))
     return done.select("doc_id", "text", "n_replaced", "kinds")
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,11 +98,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     with open(path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, of one size whatever the data
 
+    own: list[Counter] = []  # a task has its own copy of this list, and what is in it goes with the task
+
     @F.arrow_udf("long")
-    def lengths(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(name, vocabulary.value)  # what it remembers goes with the task
-        for texts in parts:
-            yield pa.array([n for group in by_bytes(texts.to_pylist()) for n in counter.count(group)], pa.int64())
+    def lengths(texts: pa.Array) -> pa.Array:
+        if not own:
+            own.append(Counter(name, vocabulary.value))
+        return pa.array([n for group in by_bytes(texts.to_pylist()) for n in own[0].count(group)], pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumn("n_tokens", lengths(whole)).withColumn("n_bytes", F.octet_length(whole).cast("long"))

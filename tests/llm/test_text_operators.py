@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -92,6 +94,18 @@ def test_contaminated_spans_over_blocks_unite(spark):
     assert (r.n_hit, r.hit_items, [tuple(x) for x in r.hit_runs]) == (5, ["1", "2", "3"], [(1, 4), (6, 6)])
 
 
+def test_four_blocks_as_one_block(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(words, k=12))) for k in range(40)]
+    docs = [(k, " ".join(rng.choices(words, k=30) + items[k % 40][1].split() * (k % 3) + rng.choices(words, k=10)), k) for k in range(120)] + [(500, None, 0), (501, "", 0)]
+    docs, items = spark.createDataFrame(docs * 2, "doc_id long, text string, n_words int"), spark.createDataFrame(items, "item_id long, text string")
+    one = decontamination.scan(docs, items)
+    size = sum(len(r.text) for r in items.collect())
+    four = decontamination.scan(docs, items, block_bytes=-(-size // 4))
+    assert sorted(map(str, four.select(one.columns).collect())) == sorted(map(str, one.collect()))
+
+
 ODD = ["", None, " ", "  two  spaces ", "tab\tand\nnew\n\nline ", "don't we're I'll", "<|endoftext|> inside <|endoftext|>", "語 日本語テキスト", "naïve café", "é" * 3000, "word" * 5000, "\x00\x01 \x7f", "a b 　c", "12 345,6 !!! ...", "🙂 emoji 👩‍👩‍👧", "\x1c \x1d x", "end ", " start", "x\r\ny  \n z"]
 
 
@@ -104,9 +118,9 @@ def own_encoding():
 def test_encoding_as_the_library_and_back(spark):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD * 2)], "doc_id long, text string, ids string")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    found = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
+    found = bpe.decode(bpe.encode(docs, path, pattern), path).collect()
     encoding = own_encoding()
-    assert len(found) == len(ODD) * 2
+    assert len(found) == len(ODD) * 2 and sorted(map(str, found)) == sorted(map(str, bpe.round_trip(docs, path, pattern).collect()))
     for r in found:
         assert r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
     assert bpe.encode(docs.limit(0), path, pattern).count() == 0
@@ -115,12 +129,41 @@ def test_encoding_as_the_library_and_back(spark):
 def test_digest_of_encoding(spark):
     docs = spark.createDataFrame([(1, "Hello there"), (2, None)], "doc_id long, text string")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = {r.doc_id: r for r in bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path, pattern)).collect()}
+    rows = {r.doc_id: r for r in bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path)).collect()}
     ids = own_encoding().encode_ordinary("Hello there")
     assert (rows[1].n_tokens, rows[1].ids_sha256, rows[1].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha("Hello there"))
     assert (rows[2].n_tokens, rows[2].ids_sha256, rows[2].decoded_sha256) == (0, sha(""), sha(""))
 
 
+def test_codec_over_random_texts_in_batches_as_the_library(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)  # so that chunks grow old, come back and are dropped
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab 's\n\t  é中\xa0\u3000.,-1٣\x00'll🙂", k=rng.randrange(30))) for _ in range(3000)]
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    codec, encoding = bpe.Codec(bpe.serialise_model(bpe.read_ranks(path)), pattern), own_encoding()
+    for k in range(0, len(texts), 100):
+        packed = codec.encode_packed(texts[k : k + 100])
+        assert [np.frombuffer(p, np.int32).tolist() for p in packed] == [encoding.encode_ordinary(t) for t in texts[k : k + 100]]
+
+
+def test_a_piece_that_merges_do_not_reach_is_one_id():
+    ranks = {bytes([b]): b for b in range(256)} | {b" abc": 256, b"bc": 257}
+    codec = bpe.Codec(bpe.serialise_model(ranks), public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["x abc, abcd abc", " abc", "", "abc abc!"]
+    assert [np.frombuffer(p, np.int32).tolist() for p in codec.encode_packed(texts)] == [encoding.encode_ordinary(t) for t in texts]
+
+
+def test_long_texts_without_spaces_are_cut_at_safe_places(monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG", 20)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["word", "語", "don't", "'s", "12", ",", "...", "<|endoftext|>", "é", "_", "\n", "٣", "²", "ª"], k=60)) for _ in range(300)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        counter = token_counts.Counter(path, f.read())
+    assert counter.count(texts) == counter.lengths(texts)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_counts_as_the_library(spark, name):
     path = public_tokenizers.path(name)
