@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from piperack.llm import bpe, decontamination, pii, quality, simhash
 
-#: The key of the surrogates; a real run takes its own from a secret store.
-PII_KEY = "piperack"
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, fitted on the labels, doesn't reject."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,13 +30,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates for personal data; n_chars follows the text."""
-    return pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", pii.length_after("text", "n_chars")).select(*docs.columns)
+    return pii.pseudonymise(docs, pii.session_key(spark)).withColumn("n_chars", pii.length_after("text", "n_chars")).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids and the digests of ids and decoded bytes, read back from the ids."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, pattern), path, pattern), keep=("lang", "source", "n_chars", "ids"))
+    return bpe.digest(bpe.round_trip(docs, path, pattern), keep=("lang", "source", "n_chars", "ids"))
 
 
 STAGES = [
