@@ -9,7 +9,7 @@ The model is fitted on the driver on at most ``max_rows`` labelled rows, taken i
 Everything else runs over all rows.
 
 Cases: a null or empty text has the features of an empty one and gets a score; a document labelled twice counts once,
-with the lower label; labels that are null are left out; without labels of both kinds every score is the base rate;
+with the lower label, and of an id with different texts the least features do; labels that are null are left out; without labels of both kinds every score is the base rate;
 repeated rows give repeated rows; an empty table gives an empty table; output columns replace columns of the same names.
 """
 
@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """The model of the labelled documents; the ids broadcast and the rows collected number ``max_rows`` at most, texts stay where they are."""
     ids = labelled_sample(labels, label, max_rows)
     rows = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").select("doc_id", "__label", features(F.col(text)).alias("x"))
-    found = rows.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("__label").alias("y")).orderBy("doc_id").toArrow()
+    least = F.min(F.struct(F.col("__label").alias("y"), "x")).alias("row")  # of an id with different texts the same one in every run
+    found = rows.groupBy("doc_id").agg(least).orderBy("doc_id").select("row.*").toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return fit_model(x, found.column("y").to_numpy().astype(float))
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: exact pairs of 64-bit fingerprints through vantage-point trees.
 
 Of two fingerprints at d bits, one 32-bit half differs by d // 2 bits at most. So each half has a vantage-point tree: a
-tree of limited size, built from a bounded sample, deals all distinct fingerprints to shards by their Hamming distances
+tree whose leaves follow the count of fingerprints, built from a bounded sample, deals all distinct fingerprints to shards by their Hamming distances
 from vantage points. A fingerprint is at home in one shard, and asks every shard that its search ball overlaps by the
 triangle bounds. Inside a shard the tree goes on, now built from the shard's own members, down to small leaves, whose
 pairs are verified on all 64 bits. A shard returns a spanning forest of its pairs, not the pairs.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from piperack.llm.shared import connected_components, kept
 
-#: Fingerprints sampled for the upper trees, most shards of a tree, members aimed at in a shard, askers in one task.
-SAMPLE, SHARDS, MEMBERS, ASKERS = 20_000, 2048, 4096, 200_000
+#: Fingerprints sampled for the upper trees (at least, and for each shard aimed at), most shards of a tree, members aimed
+#: at in a shard, askers in one task. The shards are enough for 10^8 fingerprints; beyond that their own trees grow.
+SAMPLE, EACH, SHARDS, MEMBERS, ASKERS = 20_000, 8, 1 << 15, 4096, 200_000
 LAST = (1 << 63) - 1
 
 
@@ -171,9 +172,9 @@ def fingerprint_components(prints: DataFrame, bits: int = 3) -> DataFrame:
     radius = bits // 2
     prints = kept(prints)
     total = prints.count()
-    sample = prints.select("print").orderBy(F.xxhash64("print"), "print").limit(SAMPLE).collect()  # bounded by SAMPLE
-    taken = np.array([r[0] for r in sample], np.int64).view(np.uint64)
     leaves = min(SHARDS, -(-total // MEMBERS))
+    sample = prints.select("print").orderBy(F.xxhash64("print"), "print").limit(max(SAMPLE, EACH * leaves)).collect()  # bounded by SHARDS
+    taken = np.array([r[0] for r in sample], np.int64).view(np.uint64)
     trees = prints.sparkSession.sparkContext.broadcast([grow(_half(taken, k), leaves, radius) for k in (0, 1)])
 
     @F.arrow_udf("array<int>")

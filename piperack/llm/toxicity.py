@@ -12,7 +12,7 @@ documents. Ordinal labels may be given as they are.
 The model is fitted on the driver on at most ``max_rows`` labelled rows, taken in the order of a hash of their ids.
 
 Cases: a null or empty text has no words, its severity follows from the thresholds; a document labelled twice counts
-once, with the higher label; without labels of both kinds all severities are 0; repeated rows give repeated rows; an
+once, with the higher label, and of an id with different texts the least counts do; without labels of both kinds all severities are 0; repeated rows give repeated rows; an
 empty table gives an empty table; output columns replace columns of the same names.
 """
 
@@ -110,11 +110,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
     @F.arrow_udf("array<struct<word:int,n:int>>")
     def counted(texts: pa.Array) -> pa.Array:
-        out = [[{"word": w, "n": c} for w, c in _counts(raw, shared.value).items()] for raw in texts.cast(pa.binary()).to_pylist()]
+        out = [[{"word": w, "n": c} for w, c in sorted(_counts(raw, shared.value).items())] for raw in texts.cast(pa.binary()).to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32())])))
 
     rows = sample.select("doc_id", F.col("__label").alias("y"), counted(F.coalesce(F.col(text), F.lit(""))).alias("x"))
-    found = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("x").alias("x")).orderBy("doc_id").toArrow()
+    found = rows.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("row")).orderBy("doc_id").select("row.*").toArrow()  # the same row in every run
     lists, y = found.column("x").combine_chunks(), found.column("y").to_numpy().astype(int)
     flat = lists.flatten()
     cols, values = flat.field("word").to_numpy(zero_copy_only=False).astype(int), flat.field("n").to_numpy(zero_copy_only=False).astype(float)
