@@ -82,18 +82,34 @@ def n_condensed(spark, sf_dir):
     return studies.condensed(members, edges, nodes)
 
 
-@_register("""SELECT l_orderkey * 1000000 + p_partkey AS question_id, CASE WHEN l_returnflag = 'R' THEN 'downstream' WHEN l_returnflag = 'A' THEN 'relief' ELSE 'info' END AS kind, 'P-' || p_partkey AS tag
-FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem) JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_returnflag) = 1""")
+# For each line's number the kind that its question must get and the words around the part (@) and the supplier ($).
+_WORDINGS = {
+    1: ("downstream", "Which vessels are downstream of @?"),
+    2: ("upstream", "what feeds @"),
+    3: ("path", "show the path from @ to $"),
+    4: ("neighbours", "what is connected to @?"),
+    5: ("relief", "Is @ protected against overpressure?"),
+    6: ("info", "tell me about @"),
+    7: ("count", "how many valves are there near @?"),
+}
+_WORDED = "CASE l_linenumber " + " ".join(f"WHEN {n} THEN '{kind}'" for n, (kind, _) in _WORDINGS.items()) + " END"
+
+
+@_register(f"""WITH asked AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS question_id, {_WORDED} AS kind, CASE WHEN l_partkey IN (SELECT p_partkey FROM part) THEN 'P-' || l_partkey END AS tag, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier) THEN 'S-' || l_suppkey END AS other, l_linenumber AS n FROM lineitem),
+plain AS (SELECT question_id, kind, tag, CASE kind WHEN 'path' THEN other END AS target, CASE n WHEN 1 THEN 'vessel' WHEN 7 THEN 'valve' END AS equipment_type FROM asked)
+SELECT * FROM plain UNION ALL SELECT concat_ws(' ', n_nationkey, 0), 'list', NULL, NULL, 'relief_valve' FROM nation UNION ALL SELECT concat_ws(' ', n_nationkey, 1), 'no tag', NULL, NULL, 'compressor' FROM nation
+UNION ALL SELECT concat_ws(' ', n_nationkey, 2), NULL, NULL, NULL, NULL FROM nation UNION ALL SELECT concat_ws(' ', n_nationkey, 3), 'ambiguous', NULL, NULL, NULL FROM nation""")
 def q_intents(spark, sf_dir):
-    """A question about every part of every order, worded by the line's return flag."""
-    flags = s.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_returnflag").alias("flag"))
-    tag = F.concat(F.lit("p-"), "l_partkey")
-    asked = flags.select(
-        (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("question_id"),
-        F.when(F.col("flag") == "R", F.concat(F.lit("Which vessels are downstream of "), tag, F.lit("?"))).when(F.col("flag") == "A", F.concat(F.lit("Is "), tag, F.lit(" protected?"))).otherwise(F.concat(F.lit("tell me about "), tag)).alias("question"),
-    )
+    """A question of each kind about the parts and suppliers of every line, and some that name no tag or one of several."""
+    lines, nations = s.table(spark, sf_dir, "lineitem"), s.table(spark, sf_dir, "nation")
+    part, supplier = F.concat(F.lit("p-"), "l_partkey"), F.concat(F.lit("S-"), "l_suppkey")
+    wording = F.element_at(F.create_map(*[F.lit(x) for n, (_, words) in _WORDINGS.items() for x in (n, words)]), F.col("l_linenumber").cast("int"))
+    asked = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("question_id"), F.replace(F.replace(wording, F.lit("@"), part), F.lit("$"), supplier).alias("question")).distinct()
+    for k, words in enumerate(("list all relief valves in @", "what is downstream of the big compressor in @", "good morning to all of you, dear @", "tell me about X1")):
+        asked = asked.union(nations.select(F.concat_ws(" ", "n_nationkey", F.lit(str(k))), F.replace(F.lit(words), F.lit("@"), F.translate("n_name", "0123456789", ""))))
     nodes = s.table(spark, sf_dir, "part").select(F.concat(F.lit("P-"), "p_partkey").alias("tag"))
-    return questions.intents(asked, nodes).select("question_id", "kind", "tag")
+    nodes = nodes.union(s.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S-"), "s_suppkey"))).union(spark.createDataFrame([("A-X1",), ("B-X1",)], "tag string"))
+    return questions.intents(asked, nodes).select("question_id", "kind", "tag", "target", "equipment_type")
 
 
 @_register("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -143,6 +143,18 @@ ASKED = {
     "downstream of it": ("no tag", None, None, None),
     "good morning": (None, None, None, None),
     "what feeds A-9?": ("ambiguous", None, None, None),
+    "where does 2401-k-001 end up": ("downstream", "2401-K-001", None, None),
+    "what does 2401-K-001 feed?": ("downstream", "2401-K-001", None, None),
+    "V-001 is fed by what": ("upstream", "2401-V-001", None, None),
+    "what is the relief path of V-001": ("relief", "2401-V-001", None, None),
+    "relief for 2401-V-001": ("relief", "2401-V-001", None, None),
+    "Which heat-exchangers... heat exchangers and valves exist": ("list", None, None, "heat_exchanger"),
+    "non-return valves": ("list", None, None, "check_valve"),
+    "neighbours": ("no tag", None, None, None),
+    "V-001": ("info", "2401-V-001", None, None),
+    "count of each type": ("count", None, None, None),
+    "": (None, None, None, None),
+    None: (None, None, None, None),
 }
 
 
