@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from piperack.llm import ann, passages, simhash
@@ -55,7 +56,9 @@ def test_trees_find_every_close_pair():
     assert found == expected
 
 
-def test_components_as_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("shards", [1 << 15, 3])  # as many as the count asks for, and fewer, so that shards are large
+def test_components_as_brute_force(spark, monkeypatch, shards):
+    monkeypatch.setattr(simhash, "SHARDS", shards)
     monkeypatch.setattr(simhash, "MEMBERS", 64)
     monkeypatch.setattr(simhash, "ASKERS", 100)
     rng = np.random.default_rng(8)
@@ -137,6 +140,15 @@ def test_repeated_passages_are_found_and_others_left(spark):
     assert passages.near_duplicate_passages(docs.limit(0)).count() == 0
 
 
+def test_verified_runs_by_hand():
+    words = [f"w{k}" for k in range(80)]
+    changed = [*words[:30], "x", *words[31:]]
+    both = lambda other, d: passages.verified_runs(" ".join(words).encode(), " ".join(other).encode(), [(d, 0, 99)])
+    assert both(words, 0) == [[(0, 79)], [(0, 79)]] and both(changed, 0) == [[(0, 79)], [(0, 79)]]
+    assert both([*words[:20], "x", *words[21:40], "y", *words[41:]], 0) == [[(21, 79)], [(21, 79)]]  # before that more than 5 of 46 tokens differ
+    assert both(["a", "b", *words], -2) == [[(0, 79)], [(2, 81)]] and both(words[:49], 0) == [[], []]
+
+
 def test_shared_passages_by_pair():
     texts = make_texts()
     pair = lambda a, b: passages.shared_passages(texts[a].encode(), texts[b].encode())
@@ -193,8 +205,15 @@ def test_copies_are_measured_in_words_of_letters_and_digits(spark):
     assert {(r.doc_id, r.class_id, r.n_copies) for r in passages.near_duplicate_passages(docs).collect()} == {(1, 1, 1), (2, 1, 1)}
 
 
+def brute_passages(one, other):
+    """All alignments along which the texts share a token, without hash functions, windows or marks."""
+    a, b = passages.tokens_of(one.encode()), passages.tokens_of(other.encode())
+    lines = {int(i) - int(j) for v in np.intersect1d(a, b) for i in np.flatnonzero(a == v) for j in np.flatnonzero(b == v)}
+    return passages.verified_runs(one.encode(), other.encode(), np.array([(d, 0, len(a)) for d in lines]))
+
+
 def test_whole_query_as_brute_force_with_frequent_lines(spark, monkeypatch):
-    monkeypatch.setattr(passages, "GROUP", 8, raising=False)
+    monkeypatch.setattr(passages, "GROUP", 2)  # so that marked runs, hubs and the rest of their groups are met
     rng = random.Random(33)
     prose = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
     lines = [prose(9) for _ in range(3)]
@@ -207,7 +226,7 @@ def test_whole_query_as_brute_force_with_frequent_lines(spark, monkeypatch):
                 own[rng.randrange(len(own))] = prose(1)[0]
             texts.append(" ".join(prose(30) + lines[2] + prose(20) + own + prose(20)))
     texts += [" ".join(prose(20) + lines[k % 3] + prose(15) + lines[(k + 1) % 3] + prose(30)) for k in range(40)]
-    linked = [(a, b) for a in range(len(texts)) for b in range(a) if passages.shared_passages(texts[a].encode(), texts[b].encode())[0]]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if brute_passages(texts[a], texts[b])[0]]
     least = list(range(len(texts)))
     for _ in range(4):
         for a, b in linked:
@@ -302,3 +321,42 @@ def test_a_bound_thins_the_rows_of_a_shard():
     ask = lambda bound: pa.table({"id": [9], "vector": [[1.0, 0.0]], "bound": [bound], "cells": pa.array([[0, 1]], pa.list_(pa.int32()))})
     assert ann._top(ask(float("-inf")), rows, 5).column("vec_id").to_pylist() == [1, 2, 3]
     assert ann._top(ask(0.5), rows, 5).column("vec_id").to_pylist() == [1, 2]
+
+
+def edited(rng, n=50):
+    """Two texts around a passage of n words, in one of which a word is replaced, put in or left out."""
+    prose = lambda k: [f"e{rng.randrange(10**9)}" for _ in range(k)]
+    passage = prose(n)
+    at, kind = rng.randrange(n), rng.choice(("replaced", "more", "less", "same"))
+    other = list(passage)
+    if kind != "same":
+        other[at : at + (kind != "more")] = [] if kind == "less" else prose(1)
+    return " ".join(prose(40) + passage + prose(40)).encode(), " ".join(prose(35) + other + prose(45)).encode()
+
+
+def test_contexts_show_what_whole_texts_show_and_share_a_key():
+    rng, every = random.Random(41), np.full(16, (1 << 64) - 1, np.uint64)
+    linked = shared = 0
+    for _ in range(400):
+        one, other = edited(rng, rng.choice((44, 50, 56)))
+        who, mark, contexts, place = passages.contexts_of([one, other], every)
+        a, b = ({m: k for k, m in enumerate(mark.tolist()) if who[k] == t} for t in (0, 1))
+        both = sorted(a.keys() & b.keys())
+        first, last = passages.common_starts(contexts[[a[m] for m in both]], contexts[[b[m] for m in both]])
+        runs = passages._merged([(int(place[a[m]] + x), int(place[a[m]] + y + 49)) for m, x, y in zip(both, first, last, strict=True) if x <= y])
+        assert runs == brute_passages(one.decode(), other.decode())[0]
+        at, key, plain = passages.edit_keys(contexts, mark)
+        found = [{(int(k), bool(p)) for t, k, p in zip(at, key, plain, strict=True) if who[t] == text} for text in (0, 1)]
+        keys = {k for k, p in found[0] for k2, p2 in found[1] if k == k2 and not (p and p2)} if runs else set()
+        linked, shared = linked + bool(runs), shared + bool(keys)
+    assert linked > 200 and shared == linked
+
+
+def test_repeated_rows_long_texts_and_clashing_columns_in_passages(spark):
+    rng = random.Random(43)
+    prose = lambda k: [f"z{rng.randrange(10**9)}" for _ in range(k)]
+    passage, book = prose(70), prose(60_000)
+    rows = [(1, " ".join(book + passage)), (2, " ".join(passage)), (2, " ".join(passage)), (3, "word " * 40_000), (4, "word " * 300), (5, None)]
+    docs = spark.createDataFrame([(*r, 7, "clash") for r in rows], "doc_id long, text string, key int, hash string")
+    found = sorted((r.doc_id, r.class_id, r.n_copies) for r in passages.near_duplicate_passages(docs).collect())
+    assert found == [(1, 1, 0), (2, 1, 1), (2, 1, 1), (3, 3, 0), (4, 3, 0)]
