@@ -104,6 +104,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert plain == dashed.replace("-", "") != "4845168114407329" and luhn(plain)
     lower, upper = re.match(r'token = "([0-9a-f]{40})" TOKEN = "([0-9A-F]{40})"!!$', got[4].text).groups()
     assert lower == upper.lower() != "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    assert all(x in got[5].text for x in ("Mr. ", " met Mrs. "))
     him, his, her, name, given, last = re.match(r"Mr\. ([\w-]+) (\w+) met Mrs\. (\w+) and Frau ([\w-]+) (\w+); господин (\w+ \w+)$", got[5].text).groups()
     assert his == her != "Smith" and set(him.split("-")) <= set(pii.GIVEN["male latin"]) and set(name.split("-")) <= set(pii.GIVEN["female latin"]) and re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+", last) and given != "Braun"
     assert got[6].text == ENTITIES[6] and got[6].kinds == [] and got[7].text is None and got[8].text == "" and len(got[9].text) == 500_000 and got[10].text == got[2].text
@@ -187,6 +188,82 @@ def test_pipeline_as_a_plain_version(spark):
                 end = at[k][1]
         left[d] = out + text[end:]
     frame = spark.createDataFrame(list(left.items()), "doc_id long, text string")
-    texts = {r.doc_id: r.text for r in pii.pseudonymise(frame, corpus_pipeline.PII_KEY).collect()}
+    texts = {r.doc_id: r.text for r in pii.pseudonymise(frame, pii.session_key(spark)).collect()}
     encoding = own_encoding()
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()} == {d: encoding.encode_ordinary(t) for d, t in texts.items()}
+
+
+def test_detection_of_names_secrets_and_short_domains(spark):
+    rows = {
+        1: "secret=AbCdEfGhIjKlMnOpQr12 and secret=aBcDeFgHiJkLmNoPqR12",
+        2: "Mr. O'Brien met Mrs. McDonald-Smith; Mr. O'Brien's dog",
+        3: "John Smith saw Dr. Anna Weber, Prof. Dr. Weber and Anna J. van der Berg.",
+        4: "my name is Zorblax Quint, not Stone Bridge. Anna is here. The Anna Ok",
+        5: " ".join(f"x@{a}{b}.com" for a in "abcdefghij" for b in "abcdefghij"),
+        6: "Anna went. In Paul we trust, Mark my words",
+    }
+    got = {k: r.text for k, r in swapped(spark, rows.items()).items()}
+    one, two = re.findall(r"secret=(\w+)", got[1])
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", s)))
+    assert one != two and one.lower() != two.lower() and shape(one) == shape("AbCdEfGhIjKlMnOpQr12") and shape(two) == shape("aBcDeFgHiJkLmNoPqR12")
+    name, other, again = re.fullmatch(r"Mr\. ([A-Z]'[A-Z][a-z]+) met Mrs\. ([A-Z][a-z]+-[A-Z][a-z]+); Mr\. ([A-Z]'[A-Z][a-z]+)'s dog", got[2]).groups()
+    assert name == again != "O'Brien" and "Smith" not in other
+    him, smith, her, weber, same, anna, letter, berg = re.fullmatch(r"([\w-]+) (\w+) saw Dr\. ([\w-]+) (\w+), Prof\. Dr\. (\w+) and ([\w-]+) ([A-Z])\. van der (\w+)\.", got[3]).groups()
+    assert {him, smith, weber, berg} & {"John", "Smith", "Weber", "Berg"} == set() and weber == same and her == anna != "Anna"
+    assert {*him.split("-")} <= {*pii.GIVEN["male latin"]} and {*her.split("-")} <= {*pii.GIVEN["female latin"]}
+    assert re.fullmatch(r"my name is [\w-]+ [A-Z][a-z]+, not Stone Bridge\. Anna is here\. The [\w-]+ [A-Z][a-z]+", got[4]) and "Quint" not in got[4]
+    domains = [m for m in re.findall(r"@(\S+)", got[5])]
+    assert len(set(domains)) == 100 and all(d.endswith(".example.com") for d in domains)
+    assert got[6] == rows[6]
+
+
+def test_surrogates_against_a_plain_version(spark):
+    """Entities of known kinds at known places among plain words: nothing else changes, one value has one surrogate of its form."""
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    letters = lambda n, pool="abcdefghijklmnop": "".join(rng.choices(pool, k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    made = {
+        "email": (lambda: f"{letters(5)}.{digits(2)}@{letters(2)}.{rng.choice(('com', 'org'))}", r"[a-z]{5,}\.\d\d[a-z]*@[a-z]{2,}\.example\.(com|org)"),
+        "ip": (lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), r"\d{1,3}(\.\d{1,3}){3}"),
+        "ssn": (lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", r"\d{3}-\d{2}-\d{4}"),
+        "card": (card, r"4\d{15}"),
+        "phone": (lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", r"\(\d{3}\) \d{3}-\d{4}"),
+        "secret": (lambda: f"token={letters(6, 'ABCDEFGH')}{letters(8, 'qrstuvwx')}{digits(4)}", r"token=[A-Z]{6}[a-z]{8}\d{4}"),
+        "person": (lambda: f"Frau {letters(6).title()}", r"Frau [A-Z][a-z]+"),
+    }
+    pool = [(kind, make()) for kind, (make, _) in made.items() for _ in range(25)]
+    texts, plan = [], []
+    for _ in range(60):
+        own = rng.sample(pool, k=rng.randrange(6))
+        words = [letters(rng.randrange(2, 8)) for _ in range(len(own) + 1)]
+        texts.append("".join(f"{w} {e} " for w, (_, e) in zip(words, own, strict=False)) + words[-1])
+        plan.append((words, own))
+    got, values = swapped(spark, list(enumerate(texts))), {}
+    for k, (words, own) in enumerate(plan):
+        pattern = "".join(f"{w} (?P<e{i}>{made[kind][1]}) " for i, (w, (kind, _)) in enumerate(zip(words, own, strict=False))) + words[-1]
+        found = re.fullmatch(pattern, got[k].text)
+        assert found and got[k].n_replaced == len(own) and got[k].kinds == sorted({kind for kind, _ in own})
+        for i, (kind, entity) in enumerate(own):
+            values.setdefault((kind, entity), set()).add(found[f"e{i}"])
+    assert all(len(v) == 1 for v in values.values())
+    flat = [(kind, *v) for (kind, _), v in values.items()]
+    assert len(set(flat)) == len(flat) and not set(flat) & set(values) and all(luhn(v) for kind, v in flat if kind == "card")
+
+
+def test_the_key_comes_from_the_session(spark):
+    assert pii.session_key(spark) == pii.TEST_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    import hmac
+
+    frame = spark.createDataFrame([("héllo",)], "m string")
+    for key in ("k", "x" * 200):
+        assert frame.select(pii._hmac(key, F.col("m"))).first()[0] == hmac.new(key.encode(), "héllo".encode(), "sha512").hexdigest()
