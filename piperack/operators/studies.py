@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piperack.operators.graph import components
+from piperack.functions.plant import IN_LINE
+from piperack.operators.graph import Grown, components, cut
 
 # Items that join what they connect to into one node, and what the edge of a node is called by the item beyond it.
 JOINING = ("vessel", "tank", "column", "heat_exchanger")
@@ -21,6 +22,71 @@ def propose(edges: DataFrame, nodes: DataFrame, prefix: str = "PN") -> DataFrame
     return grouped.select(F.concat_ws("-", F.lit(prefix), "first").alias("node_id"), "tag")
 
 
+def folded_neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """tag, other, flow: the items that an item meets once in-line ones are folded away, and instruments left out.
+
+    flow is "out" where every hop of some way between them is verified away from ``tag``, "in" where it is towards it,
+    "both" where there is one of each, else "unknown". Every way counts, so nothing hangs on the order of edges (src,
+    dst, verified). Each level of the walk is one join on what the last one reached.
+    """
+    kinds = nodes.select("tag", F.col("equipment_type").isin(*IN_LINE).alias("inline")).where(F.col("equipment_type") != "instrument")
+    away = edges.select("src", "dst", F.col("verified").alias("out"), F.lit(False).alias("back"))
+    hops = away.union(edges.select("dst", "src", F.lit(False), "verified")).where("src <> dst")
+    hops = hops.join(kinds.select(F.col("tag").alias("dst"), "inline"), "dst").groupBy("src", "dst", "inline", "out", "back").count().drop("count")
+    hops = cut(hops.select(F.col("src").alias("here"), F.col("dst").alias("next"), "inline", F.col("out").alias("o"), F.col("back").alias("b")))
+    state = ["start", "here", "inline", "out", "back"]
+    front = cut(kinds.where("not inline").select(F.col("tag").alias("here")).join(hops, "here").select(F.col("here").alias("start"), F.col("next").alias("here"), "inline", F.col("o").alias("out"), F.col("b").alias("back")).distinct())
+    known = Grown(front)
+    while True:
+        on = front.where("inline").drop("inline").join(hops, "here").where("next <> start")
+        front = cut(on.select("start", F.col("next").alias("here"), "inline", (F.col("out") & F.col("o")).alias("out"), (F.col("back") & F.col("b")).alias("back")).distinct().join(known.whole, state, "left_anti"))
+        if front.isEmpty():
+            break
+        known.add(front)
+    ways = known.whole.where("not inline and here <> start").groupBy(F.col("start").alias("tag"), F.col("here").alias("other")).agg(F.bool_or("out").alias("o"), F.bool_or("back").alias("b"))
+    flow = F.when(F.col("o") & F.col("b"), "both").when(F.col("o"), "out").when(F.col("b"), "in").otherwise("unknown")
+    return ways.select("tag", "other", flow.alias("flow"))
+
+
+def propose_by_rules(neighbours: DataFrame, nodes: DataFrame, prefix: str = "PN") -> DataFrame:
+    """node_id, tag, placed over folded ``neighbours``: items that share a design intent are one study node.
+
+    Grouping items (neither lines, nor in line, nor instruments, nor breaks) that meet are one node; breaks that feed
+    each other both ways are a train and stay together; a train, or a break alone, joins the section whose verified
+    flow feeds it, and what it feeds may then join that. In each round every train takes its smallest member that is
+    fed, and of that the smallest feeder. placed is "grouped", "attached", "ambiguous" (fed by several sections) or
+    "standalone". Items without neighbours have no node. Ids are told by the smallest tag.
+    """
+    kinds = nodes.where(~F.col("equipment_type").isin(*IN_LINE, "instrument", "line")).select("tag", F.col("equipment_type").isin(*[t for t in BOUNDARY if t != "line"]).alias("breaks"))
+    active = cut(kinds.join(neighbours.select("tag").distinct(), "tag", "left_semi"))
+    met = neighbours.join(active, "tag").join(active.select(F.col("tag").alias("other"), F.col("breaks").alias("other_breaks")), "other")
+    joined = met.where("(not breaks and not other_breaks) or (breaks and other_breaks and flow = 'both')").select(F.col("tag").alias("src"), F.col("other").alias("dst"))
+    labels = components(joined).withColumnRenamed("node", "tag")
+    state = active.join(labels, "tag", "left").select("tag", "breaks", F.coalesce("component", "tag").alias("train"))
+    section = state.groupBy("train").agg(F.bool_or(~F.col("breaks")).alias("placed"))
+    state = cut(state.join(section, "train").select("tag", "breaks", "train", F.when(F.col("placed"), F.col("train")).alias("section"), F.when(F.col("placed"), "grouped").alias("placed")))
+    feeds = cut(met.where("breaks and flow = 'in'").select("tag", "other"))
+    while True:
+        of = state.where("section is not null").select(F.col("tag").alias("other"), F.col("section").alias("feeder"))
+        offers = state.where("section is null").select("tag", "train").join(feeds, "tag").join(of, "other")
+        each = offers.groupBy("train", "tag").agg(F.min(F.struct("other", "feeder")).alias("o"), (F.min("feeder") < F.max("feeder")).alias("several"))
+        taken = cut(each.groupBy("train").agg(F.min(F.struct("tag", F.col("o.feeder").alias("feeder"), "several")).alias("t")).select("train", "t.feeder", "t.several"))
+        if taken.isEmpty():
+            break
+        state = cut(state.join(taken, "train", "left").select("tag", "breaks", "train", F.coalesce("section", "feeder").alias("section"), F.coalesce("placed", F.when(F.col("several"), "ambiguous").when(F.col("feeder").isNotNull(), "attached")).alias("placed")))
+    named = state.withColumn("section", F.coalesce("section", "train"))
+    first = named.groupBy("section").agg(F.min("tag").alias("first"))
+    return named.join(first, "section").select(F.concat_ws("-", F.lit(prefix), "first").alias("node_id"), "tag", F.coalesce("placed", F.lit("standalone")).alias("placed"))
+
+
+def folded_boundaries(members: DataFrame, neighbours: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, at_member, tag, kind, flow: what each member of a study node meets beyond it, and how it flows there."""
+    beyond = members.select("node_id", F.col("tag").alias("at_member")).join(neighbours.withColumnRenamed("tag", "at_member"), "at_member").withColumnRenamed("other", "tag")
+    beyond = beyond.join(members.select("node_id", "tag"), ["node_id", "tag"], "left_anti")
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in BOUNDARY.items() for x in kv]), F.col("equipment_type")), F.lit("adjacent section"))
+    return beyond.join(nodes, "tag").select("node_id", "at_member", "tag", kind.alias("kind"), "flow")
+
+
 def boundaries(members: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, tag, kind: the items beyond each study node's members (node_id, tag) and what kind of boundary they make."""
     both = edges.select("src", "dst").union(edges.select("dst", "src"))

@@ -93,9 +93,8 @@ def au_slot_recall(spark, sf_dir):
     told = s.table(spark, sf_dir, "conversations").select(F.lit("all").alias("label"), F.col("role").alias("slot"), "text")
     words = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), tokens(F.col("text")).alias("w")).where(F.size("w") >= 3)
     pair = F.array(F.element_at("w", 1), F.element_at("w", 2))
-    roles = F.explode(F.array(*[F.lit(r) for r in ("user", "assistant", "system")]))
-    gold = words.select(F.lit("all").alias("label"), roles.alias("slot"), "item", F.array(pair, F.array(F.element_at("w", 3))).alias("match_any"))
-    return audit.slot_recall(gold.join(told.select("slot").distinct(), "slot", "left_semi"), told)
+    gold = words.select(F.lit("all").alias("label"), "item", F.array(pair, F.array(F.element_at("w", 3))).alias("match_any"))
+    return audit.slot_recall(gold.join(told.select("label", "slot").distinct(), "label"), told)
 
 
 @_register("""WITH cells AS (SELECT vec_id, label, unnest(range(len(embedding))) AS bucket, unnest(embedding)::DOUBLE AS raw FROM embeddings),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from piperack.functions.plant import GUIDEWORDS, PARAMETERS
-from piperack.operators import records
+from piperack.operators import graph, records, studies
 from piperack.plans import standins as s
 from piperack.plans.study_queries import _MATRIX, _STUDIED
 
@@ -138,3 +138,50 @@ def ws_pipeline(spark, sf_dir):
     findings = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verdict").alias("finding_id"), F.col("l_orderkey").alias("evidence_id"), pick(("cause", "consequence", "safeguard"), "l_linenumber").alias("kind"), F.array(F.concat(F.lit("P"), "l_partkey")).alias("tags"), "verdict")
     known = s.table(spark, sf_dir, "part").where("p_retailprice < 1500").select(F.concat(F.lit("P"), "p_partkey").alias("tag"))
     return records.study_rows(nodes, evidence, findings, known).withColumn("missing", F.array_join("missing", ","))
+
+
+_FOLDED = f"""WITH {s.CHAIN_SQL}, items AS (SELECT chain || '/' || pos AS tag, chain, pos, equipment_type, verified, next IS NOT NULL AS goes_on FROM chains),
+stops AS (SELECT *, count(*) FILTER (WHERE NOT (verified AND goes_on)) OVER (PARTITION BY chain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS drawn_before FROM items),
+majors AS (SELECT * FROM stops WHERE equipment_type NOT IN ('valve', 'check_valve', 'relief_valve')),
+hops AS (SELECT tag, equipment_type, lead(tag) OVER w AS other, lead(equipment_type) OVER w AS other_type, lead(drawn_before) OVER w = drawn_before AS sure FROM majors WINDOW w AS (PARTITION BY chain ORDER BY pos)),
+met AS (SELECT * FROM hops WHERE other IS NOT NULL AND equipment_type <> 'instrument' AND other_type <> 'instrument'),
+folded AS (SELECT tag, other, CASE WHEN sure THEN 'out' ELSE 'unknown' END AS flow FROM met UNION ALL SELECT other, tag, CASE WHEN sure THEN 'in' ELSE 'unknown' END FROM met)"""
+
+
+def _lines(spark, sf_dir):
+    """Each line of an order as an item of its own, connected with the order's next one."""
+    chains = graph.cut(s.chains(spark, sf_dir))
+    at = lambda k: F.concat_ws("/", F.col("chain").cast("string"), (F.col("pos") + k).cast("string"))
+    nodes = chains.select(at(0).alias("tag"), "equipment_type")
+    edges = chains.where("next is not null").select(at(0).alias("src"), at(1).alias("dst"), "verified")
+    return nodes, edges
+
+
+@_register(f"{_FOLDED} SELECT * FROM folded")
+def n_folded(spark, sf_dir):
+    nodes, edges = _lines(spark, sf_dir)
+    return studies.folded_neighbours(edges, nodes)
+
+
+_RULED = f"""{_FOLDED},
+candidates AS (SELECT tag, equipment_type IN ('pump', 'compressor', 'heat_exchanger') AS breaks, chain, pos FROM majors WHERE equipment_type NOT IN ('instrument', 'line') AND tag IN (SELECT tag FROM folded)),
+before AS (SELECT m.other AS tag, m.tag AS prev, m.sure FROM met m),
+linked AS (SELECT c.*, coalesce(CASE WHEN c.breaks THEN b.sure AND p.tag IS NOT NULL ELSE NOT p.breaks END, false) AS joins FROM candidates c LEFT JOIN before b ON b.tag = c.tag LEFT JOIN candidates p ON p.tag = b.prev),
+islands AS (SELECT *, sum((NOT joins)::INTEGER) OVER (PARTITION BY chain ORDER BY pos) AS island FROM linked),
+headed AS (SELECT *, first_value(breaks) OVER (PARTITION BY chain, island ORDER BY pos) AS alone FROM islands),
+placed AS (SELECT tag, CASE WHEN alone THEN tag ELSE min(tag) OVER (PARTITION BY chain, island) END AS first, CASE WHEN NOT breaks THEN 'grouped' WHEN alone THEN 'standalone' ELSE 'attached' END AS placed FROM headed)"""
+
+
+@_register(f"{_RULED} SELECT 'PN-' || first AS node_id, tag, placed FROM placed")
+def n_rules(spark, sf_dir):
+    nodes, edges = _lines(spark, sf_dir)
+    return studies.propose_by_rules(graph.cut(studies.folded_neighbours(edges, nodes)), nodes)
+
+
+@_register(f"""{_RULED} SELECT 'PN-' || p.first AS node_id, p.tag AS at_member, f.other AS tag, f.flow,
+  CASE i.equipment_type WHEN 'line' THEN 'unit boundary' WHEN 'compressor' THEN 'pressure break' WHEN 'pump' THEN 'pressure break' WHEN 'heat_exchanger' THEN 'phase change' ELSE 'adjacent section' END AS kind
+FROM placed p JOIN folded f ON f.tag = p.tag JOIN items i ON i.tag = f.other LEFT JOIN placed o ON o.tag = f.other WHERE o.first IS NULL OR o.first <> p.first""")
+def n_rule_boundaries(spark, sf_dir):
+    nodes, edges = _lines(spark, sf_dir)
+    neighbours = graph.cut(studies.folded_neighbours(edges, nodes))
+    return studies.folded_boundaries(studies.propose_by_rules(neighbours, nodes), neighbours, nodes)
