@@ -54,7 +54,8 @@ def closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None)
 def flagged_closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """start, node, verified: the closure over all edges and, flagged, the closure over verified ones, in one run of levels.
 
-    A node comes up once for its first way, and once more if a verified way to it is found later.
+    A node comes up once for its first way, and once more if a verified way to it is found later: one anti-join a level
+    drops what is known to be as good.
     """
     steps = edges.select("src", "dst", F.col("verified").alias("sure"))
     front = starts.select("start", F.col("start").alias("node"), F.lit(True).alias("verified")).distinct()
@@ -63,8 +64,8 @@ def flagged_closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None
         walked = front if seen is None or stop is None else front.join(stop, "node", "left_anti")
         front = walked.join(steps, walked.node == steps.src).groupBy("start", F.col("dst").alias("node")).agg(F.bool_or(F.col("verified") & F.col("sure")).alias("verified"))
         if seen is not None:
-            known = seen.whole.select("start", "node", F.col("verified").alias("had"))
-            front = front.join(known.where("had"), ["start", "node"], "left_anti").join(known, ["start", "node"], "left").where("had is null or verified").select("start", "node", "verified").distinct()
+            known = seen.whole.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("verified").alias("had"))
+            front = front.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")) & (F.col("had") | ~F.col("verified")), "left_anti")
         front = cut(front)
         if seen is None:
             seen = Grown(front)
@@ -92,10 +93,13 @@ def relief_paths(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataF
 
 def isolation_boundary(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, side: the nearest isolating valves each way, over drawn flow, verified or not."""
-    ends = _of_types(nodes, ISOLATING)
-    backward = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    sides = [closure(steps, starts, ends).join(ends, "node", "left_semi").withColumn("side", F.lit(side)) for side, steps in (("downstream", graph), ("upstream", backward))]
-    return sides[0].union(sides[1]).where("start <> node").select("start", "node", "side")
+    ends, both = _of_types(nodes, ISOLATING), ("downstream", "upstream")
+    named = lambda side, c: F.concat(F.lit(f"{side} "), c)  # noqa: E731  # either side is a graph of its own, and one run walks both
+    steps = graph.select(named(both[0], F.col("src")).alias("src"), named(both[0], F.col("dst")).alias("dst")).union(graph.select(named(both[1], F.col("dst")), named(both[1], F.col("src"))))
+    twice = lambda df, c: df.select(F.explode(F.array(*[named(x, F.col(c)) for x in both])).alias(c))
+    found = closure(steps, twice(starts, "start"), twice(ends, "node")).join(twice(ends, "node"), "node", "left_semi").where("start <> node")
+    bare = lambda c: F.substr(F.col(c), F.locate(" ", F.col(c)) + 1)
+    return found.select(bare("start").alias("start"), bare("node").alias("node"), F.substring_index("start", " ", 1).alias("side"))
 
 
 def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int = 12) -> DataFrame:

@@ -185,3 +185,27 @@ def n_rule_boundaries(spark, sf_dir):
     nodes, edges = _lines(spark, sf_dir)
     neighbours = graph.cut(studies.folded_neighbours(edges, nodes))
     return studies.folded_boundaries(studies.propose_by_rules(neighbours, nodes), neighbours, nodes)
+
+
+_ORDER_PATHS = f"""WITH {s.CHAIN_SQL}, items AS (SELECT chain || '/' || pos AS tag, chain, pos, equipment_type, verified OR next IS NULL AS sure FROM chains),
+paths AS (SELECT chain, count(*) - 1 AS hops, bool_and(sure) AS sure, string_agg(tag, ' → ' ORDER BY pos) AS path FROM items GROUP BY chain HAVING count(*) BETWEEN 2 AND 13)"""
+
+
+def _order_paths(spark, sf_dir):
+    nodes, edges = _lines(spark, sf_dir)
+    spread = nodes.select(F.split_part("tag", F.lit("/"), F.lit(1)).alias("chain"), F.split_part("tag", F.lit("/"), F.lit(2)).cast("int").alias("pos"))
+    ends = spread.groupBy("chain").agg(F.max("pos").alias("n")).where("n > 1").select(F.concat("chain", F.lit("/1")).alias("source"), F.concat_ws("/", "chain", F.col("n").cast("string")).alias("target"))
+    return nodes, graph.simple_paths(graph.query_graph(edges), graph.cut(ends))
+
+
+@_register(f"{_ORDER_PATHS} SELECT chain::VARCHAR AS chain, hops, CASE WHEN sure THEN 'verified' ELSE 'unverified' END AS flow, path FROM paths")
+def g_path_orders(spark, sf_dir):
+    """From each order's first line to its last one, with the operator's own cutoff of 12 edges."""
+    _, paths = _order_paths(spark, sf_dir)
+    return paths.select(F.split_part("source", F.lit("/"), F.lit(1)).alias("chain"), (F.size("path") - 1).cast("long").alias("hops"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("flow"), F.array_join("path", " → ").alias("path"))
+
+
+@_register(f"{_ORDER_PATHS} SELECT chain::VARCHAR AS chain, tag FROM items JOIN paths USING (chain) WHERE equipment_type = 'check_valve'")
+def g_check_valves_orders(spark, sf_dir):
+    nodes, paths = _order_paths(spark, sf_dir)
+    return graph.check_valves_between(paths, nodes).select(F.split_part("source", F.lit("/"), F.lit(1)).alias("chain"), F.col("node").alias("tag"))
