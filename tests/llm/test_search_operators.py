@@ -337,7 +337,7 @@ def edited(rng, n=50):
 def test_contexts_show_what_whole_texts_show_and_share_a_key():
     rng, every = random.Random(41), np.full(16, (1 << 64) - 1, np.uint64)
     linked = shared = 0
-    for _ in range(400):
+    for _ in range(120):
         one, other = edited(rng, rng.choice((44, 50, 56)))
         who, mark, contexts, place = passages.contexts_of([one, other], every)
         a, b = ({m: k for k, m in enumerate(mark.tolist()) if who[k] == t} for t in (0, 1))
@@ -349,14 +349,14 @@ def test_contexts_show_what_whole_texts_show_and_share_a_key():
         found = [{(int(k), bool(p)) for t, k, p in zip(at, key, plain, strict=True) if who[t] == text} for text in (0, 1)]
         keys = {k for k, p in found[0] for k2, p2 in found[1] if k == k2 and not (p and p2)} if runs else set()
         linked, shared = linked + bool(runs), shared + bool(keys)
-    assert linked > 200 and shared == linked
+    assert linked > 60 and shared == linked
 
 
 def test_repeated_rows_long_texts_and_clashing_columns_in_passages(spark):
     rng = random.Random(43)
     prose = lambda k: [f"z{rng.randrange(10**9)}" for _ in range(k)]
     passage, book = prose(70), prose(60_000)
-    rows = [(1, " ".join(book + passage)), (2, " ".join(passage)), (2, " ".join(passage)), (3, "word " * 40_000), (4, "word " * 300), (5, None)]
+    rows = [(1, " ".join(book + passage)), (2, " ".join(passage)), (2, " ".join(passage)), (3, "word " * 2_000), (4, "word " * 300), (5, None)]
     docs = spark.createDataFrame([(*r, 7, "clash") for r in rows], "doc_id long, text string, key int, hash string")
     found = sorted((r.doc_id, r.class_id, r.n_copies) for r in passages.near_duplicate_passages(docs).collect())
     assert found == [(1, 1, 0), (2, 1, 1), (2, 1, 1), (3, 3, 0), (4, 3, 0)]
