@@ -84,9 +84,11 @@ def gap_bridges(segments: DataFrame, low: float = 1.2, high: float = 8.0, offset
     return pairs.where((bend < sine) & (aside < offset)).groupBy("page", F.col("id").alias("a"), F.col("other").alias("b")).agg(F.min("d").alias("gap"))
 
 
-def weighted_nearest(symbols: DataFrame, tags: DataFrame, cutoff: float) -> DataFrame:
-    """page, id, tag, d: the tag (page, other, ox, oy, weight) of the least weighted distance within ``cutoff``; ties: the smaller."""
-    best = within(symbols, tags, cutoff).withColumn("w", F.col("d") * F.col("weight")).where(F.col("w") <= cutoff)
+def weighted_nearest(symbols: DataFrame, tags: DataFrame, cutoff: float, apart: bool = False) -> DataFrame:
+    """page, id, tag, d: the tag (page, other, ox, oy, weight) of the least weighted distance within ``cutoff``; ties: the
+    smaller. With ``apart`` both are of one kind, and none is its own tag."""
+    pairs = within(symbols, tags, cutoff)
+    best = (pairs.where("id <> other") if apart else pairs).withColumn("w", F.col("d") * F.col("weight")).where(F.col("w") <= cutoff)
     return best.groupBy("page", "id").agg(F.min(F.struct("w", F.col("other").alias("tag"), "d")).alias("m")).select("page", "id", "m.tag", "m.d")
 
 

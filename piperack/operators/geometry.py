@@ -37,9 +37,11 @@ def within(left: DataFrame, right: DataFrame, distance: float, page: str = "page
     return probes.join(cells, [page, "cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, cutoff: float, page: str = "page") -> DataFrame:
-    """page, id, other, d: the nearest of ``right`` for each of ``left`` within ``cutoff``; ties go to the smaller other."""
-    best = within(left, right, cutoff, page).groupBy(page, "id").agg(F.min(F.struct("d", "other")).alias("m"))
+def nearest(left: DataFrame, right: DataFrame, cutoff: float, page: str = "page", apart: bool = False) -> DataFrame:
+    """page, id, other, d: the nearest of ``right`` for each of ``left`` within ``cutoff``; ties go to the smaller other.
+    With ``apart`` both are of one kind, and none is its own nearest."""
+    pairs = within(left, right, cutoff, page)
+    best = (pairs.where("id <> other") if apart else pairs).groupBy(page, "id").agg(F.min(F.struct("d", "other")).alias("m"))
     return best.select(page, "id", F.col("m.other").alias("other"), F.col("m.d").alias("d"))
 
 

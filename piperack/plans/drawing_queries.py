@@ -77,12 +77,8 @@ pairs AS (SELECT a.page, a.id, tag, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y)
 SELECT page, id, tag, round(d, 6) AS d FROM pairs WHERE d <= 90 AND d * weight <= 90 QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY d * weight, tag) = 1""")
 def geo_weighted_nearest(spark, sf_dir):
     points = t._points(spark, sf_dir)
-    tags = points.select("page", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.when(F.col("id") % 2 == 0, 2.5).otherwise(1.0).alias("weight"), F.col("id").alias("own"))
-    from piperack.operators.geometry import within
-
-    best = within(points, tags, 90.0).where("id <> own").withColumn("w", F.col("d") * F.col("weight")).where("w <= 90")
-    best = best.groupBy("page", "id").agg(F.min(F.struct("w", F.col("other").alias("tag"), "d")).alias("m"))
-    return best.select("page", "id", "m.tag", F.round("m.d", 6).alias("d"))
+    tags = points.select("page", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.when(F.col("id") % 2 == 0, 2.5).otherwise(1.0).alias("weight"))
+    return drawing.weighted_nearest(points, tags, 90.0, apart=True).select("page", "id", "tag", F.round("d", 6).alias("d"))
 
 
 @_register("""WITH e AS (SELECT l_orderkey AS page, l_partkey AS a, l_suppkey AS b FROM lineitem), ends AS (SELECT page, 'p' || a AS node FROM e UNION ALL SELECT page, 's' || b FROM e)

@@ -55,8 +55,7 @@ def geo_snap(spark, sf_dir):
 @_register(f"WITH {_POINTS}, pairs AS (SELECT a.page, a.id, b.id AS other, {_D} AS d FROM points a JOIN points b ON a.page = b.page AND a.id <> b.id AND {_D} <= 90) SELECT page, id, other, round(d, 6) AS d FROM pairs QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY d, other) = 1")
 def geo_nearest(spark, sf_dir):
     p = _points(spark, sf_dir)
-    best = geometry.within(p, _others(p), 90.0).where("id <> other").groupBy("page", "id").agg(F.min(F.struct("d", "other")).alias("m"))
-    return best.select("page", "id", F.col("m.other").alias("other"), F.round("m.d", 6).alias("d"))
+    return geometry.nearest(p, _others(p), 90.0, apart=True).select("page", "id", "other", F.round("d", 6).alias("d"))
 
 
 _ON = f"placed AS (SELECT page, id, seg, t, sqrt((x - ax - t * (ex - ax)) * (x - ax - t * (ex - ax)) + (y - ay - t * (ey - ay)) * (y - ay - t * (ey - ay))) AS d FROM (SELECT *, {_T} AS t FROM points JOIN segments USING (page)))"
