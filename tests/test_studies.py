@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from piperack.functions import sheets
 from piperack.operators import records, studies
 
 PLANT = {"V1": "vessel", "V2": "vessel", "V3": "vessel", "V9": "vessel", "X1": "valve", "K1": "compressor", "K2": "compressor", "P1": "pump", "E1": "heat_exchanger", "L1": "line", "I1": "instrument"}
@@ -71,3 +72,8 @@ def test_values_that_stand_for_none(spark):
     said = [" None ", "n/a", "-", "", "  x ", None, "nil", "NAN"]
     found = spark.createDataFrame([(v,) for v in said], "v string").select(records.value_or_null(F.col("v")).alias("v")).collect()
     assert [r.v for r in found] == [None, None, None, None, "x", None, None, "NAN"]
+
+
+def test_pages_of_a_range():
+    assert sheets.page_numbers(" All ", 3) == sheets.page_numbers(None, 3) == sheets.page_numbers("", 3) == [1, 2, 3]
+    assert sheets.page_numbers("4-6, 2,2,,9-20, 0", 10) == [2, 4, 5, 6, 9, 10] and sheets.page_numbers("5-3", 9) == []
