@@ -58,3 +58,17 @@ def label_precision(labels: DataFrame, by: str) -> DataFrame:
     """by, accepted, rejected, precision of what people accept or reject; null where neither has been said."""
     sums = labels.groupBy(by).agg(F.sum((F.col("label") == "accept").cast("long")).alias("accepted"), F.sum((F.col("label") == "reject").cast("long")).alias("rejected"))
     return sums.select(by, "accepted", "rejected", F.round(F.try_divide(F.col("accepted").cast("double"), F.col("accepted") + F.col("rejected")), 6).alias("precision"))
+
+
+def seed_omissions(rows: DataFrame, n: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (label, consequences array) with ``n`` gaps, and what was taken out as kind, label.
+
+    A keyed hash picks the rows and, where there are consequences to blank, if they are blanked or the row is dropped: the
+    same ones in every run, one gap a row. With fewer rows than ``n`` all have one.
+    """
+    digest = lambda what: F.md5(F.concat_ws("|", F.lit(f"{key} {what}"), F.col("label").cast("string")).cast("binary"))
+    blanks = (F.coalesce(F.size("consequences"), F.lit(0)) > 0) & (F.substring(digest("kind"), 1, 1) >= "8")
+    picked = rows.select("label", digest("row").alias("d"), F.when(blanks, "blanked_consequences").otherwise("dropped_row").alias("kind")).orderBy("d", "label").limit(n).select("kind", "label")
+    seeded = rows.join(picked.select("label", F.col("kind").alias("__gap")), "label", "left").where("__gap is null or __gap <> 'dropped_row'")
+    bare = F.when(F.col("__gap").isNotNull(), F.array().cast(rows.schema["consequences"].dataType)).otherwise(F.col("consequences"))
+    return seeded.select(*[bare.alias(c) if c == "consequences" else F.col(c) for c in rows.columns]), picked

@@ -63,6 +63,26 @@ def au_seeded_omissions(spark, sf_dir):
     return found.select("quality", "doc_id", F.col("pick").cast("long").alias("pick"))
 
 
+_SEEDED = """rows AS (SELECT o_orderkey AS label, list(l_partkey ORDER BY l_partkey) FILTER (WHERE l_returnflag = 'N') AS consequences FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+picked AS (SELECT label, CASE WHEN len(consequences) > 0 AND substr(md5('omit kind|' || label), 1, 1) >= '8' THEN 'blanked_consequences' ELSE 'dropped_row' END AS kind FROM rows ORDER BY md5('omit row|' || label), label LIMIT 60)"""
+
+
+def _seeded(spark, sf_dir):
+    lines = s.table(spark, sf_dir, "lineitem").join(s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi")
+    rows = lines.groupBy(F.col("l_orderkey").alias("label")).agg(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == "N", F.col("l_partkey")))).alias("consequences"))
+    return generation.seed_omissions(rows, 60, "omit")
+
+
+@_register(f"WITH {_SEEDED} SELECT kind, label FROM picked")
+def au_omissions(spark, sf_dir):
+    return _seeded(spark, sf_dir)[1]
+
+
+@_register(f"WITH {_SEEDED} SELECT label, CASE WHEN kind IS NULL THEN coalesce(len(consequences), 0) ELSE 0 END::INTEGER AS consequences FROM rows LEFT JOIN picked USING (label) WHERE kind IS NULL OR kind <> 'dropped_row'")
+def ws_seeded(spark, sf_dir):
+    return _seeded(spark, sf_dir)[0].select("label", F.size("consequences").alias("consequences"))
+
+
 @_register("""SELECT user_id, count(*) AS questions, round(avg((value > 20)::INTEGER), 6) AS kind_right, round(avg((value > 40)::INTEGER), 6) AS intent_right, round(avg((value > 60)::INTEGER), 6) AS result_right, count(*) FILTER (WHERE event_type = 'error') AS failed_closed FROM events GROUP BY ALL""")
 def lab_accuracy(spark, sf_dir):
     over = lambda n: F.coalesce(F.col("value") > n, F.lit(False))

@@ -24,3 +24,11 @@ def worksheet_json(findings: DataFrame) -> DataFrame:
     """node_id, deviation, row (JSON) with the findings of each kind nested, for findings(node_id, deviation, kind, ordinal, text, confidence)."""
     listed = findings.groupBy("node_id", "deviation").agg(F.sort_array(F.collect_list(F.struct("kind", "ordinal", "text", "confidence"))).alias("findings"))
     return listed.select("node_id", "deviation", F.to_json(F.struct("node_id", "deviation", "findings")).alias("row"))
+
+
+def audit_sheet_json(counters: DataFrame, sample: DataFrame, by: str) -> DataFrame:
+    """``by``, row (JSON): the counters of each group with its sampled findings (sample_id, ...) nested, in the order of sample_id."""
+    fields = [c for c in sample.columns if c != by]
+    listed = sample.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("sample_id", *[c for c in fields if c != "sample_id"]))).alias("sample"))
+    joined = counters.join(listed, by, "left")
+    return joined.select(by, F.to_json(F.struct(by, F.struct(*[c for c in counters.columns if c != by]).alias("proxies"), F.coalesce("sample", F.array().cast(listed.schema["sample"].dataType)).alias("sample"))).alias("row"))

@@ -46,6 +46,29 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.explode("chunks").alias("c")).select(F.concat_ws("#", "doc_id", "c.chunk_id").alias("chunk_id"), "doc_id", "source_type", "curation", "holdout", "applicability", "c.text", "c.guidewords", "c.parameters")
 
 
+def corpus_listing(docs: DataFrame) -> DataFrame:
+    """file, doc_id, title, source_type, curation, holdout and the number of chunks of each document, without their texts."""
+    return docs.select(F.element_at(F.split("file", "/"), -1).alias("file"), "doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_type", F.lit("")).alias("source_type"), "curation", "holdout", F.coalesce(F.size("chunks"), F.lit(0)).alias("chunks"))
+
+
+GOLD = """node_id string, description string, expected_deviations array<string>,
+deviations map<string, map<string, array<struct<description:string, match_any:array<array<string>>>>>>"""
+
+
+def gold(spark: SparkSession, path: str) -> DataFrame:
+    """node_id, label, slot, item, description, match_any of a gold set's files: each expected deviation, and its items where it has any."""
+    raw = spark.read.schema(GOLD).option("multiLine", True).json(path)
+    labels = raw.select("node_id", F.explode("expected_deviations").alias("label"), "deviations")
+    slots = labels.select("node_id", "label", F.explode_outer(F.try_element_at("deviations", F.col("label"))).alias("slot", "items"))
+    return slots.select("node_id", "label", "slot", F.posexplode_outer("items").alias("item", "x")).select("node_id", "label", "slot", "item", "x.description", "x.match_any")
+
+
+def requirements(spark: SparkSession, path: str) -> DataFrame:
+    """requirement_id, section, status, notes of a file of requirements."""
+    raw = spark.read.schema("requirements array<struct<id:string, section:string, status:string, notes:string>>").option("multiLine", True).json(path)
+    return raw.select(F.inline("requirements")).withColumnRenamed("id", "requirement_id")
+
+
 def plant_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a plant model file, by class."""
     raw = spark.read.schema(MODEL).option("multiLine", True).json(path).select("conceptualModel.*")

@@ -166,3 +166,24 @@ def test_windows_as_a_stream_and_a_table(spark, tmp_path):
     assert 0 < done.count() < table.count()  # windows that may still get rows are not out yet
     assert done.select("start", "event_type", "n").subtract(table.select("start", "event_type", "n")).count() == 0
     assert table.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_listing_gold_requirements_and_audit_sheets(spark, tmp_path):
+    import json
+
+    doc = {"doc_id": "D1", "title": "One", "curation": "approved", "chunks": [{"chunk_id": "a", "text": "x"}, {"chunk_id": "b", "text": "y"}]}
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "one.json").write_text(json.dumps(doc))
+    (tmp_path / "docs" / "two.json").write_text(json.dumps({"doc_id": "D2"}))
+    listed = {r.doc_id: (r.file, r.title, r.source_type, r.curation, r.holdout, r.chunks) for r in readers.corpus_listing(readers.documents(spark, str(tmp_path / "docs"))).collect()}
+    assert listed == {"D1": ("one.json", "One", "", "approved", False, 2), "D2": ("two.json", "", "", "pending", False, 0)}
+    gold = {"node_id": "N", "expected_deviations": ["no flow", "more flow"], "deviations": {"no flow": {"causes": [{"description": "c", "match_any": [["pump", "trip"], ["stop"]]}], "safeguards": []}}}
+    (tmp_path / "gold.json").write_text(json.dumps(gold))
+    rows = {(r.label, r.slot, r.item, str(r.match_any)) for r in readers.gold(spark, str(tmp_path / "gold.json")).collect()}
+    assert rows == {("no flow", "causes", 0, "[['pump', 'trip'], ['stop']]"), ("no flow", "safeguards", None, "None"), ("more flow", None, None, "None")}
+    (tmp_path / "rtm.json").write_text(json.dumps({"meta": {}, "requirements": [{"id": "FR-1", "section": "a", "status": "done", "notes": "n", "x": 1}]}))
+    assert [tuple(r) for r in readers.requirements(spark, str(tmp_path / "rtm.json")).collect()] == [("FR-1", "a", "done", "n")]
+    counters = spark.createDataFrame([("N1", 3, 0.5), ("N2", 0, 0.0)], "node string, bearing int, rate double")
+    sample = spark.createDataFrame([("N1", 2, "b"), ("N1", 1, "a")], "node string, sample_id int, claim string")
+    sheets = {r.node: json.loads(r.row) for r in exports.audit_sheet_json(counters, sample, "node").collect()}
+    assert sheets["N1"] == {"node": "N1", "proxies": {"bearing": 3, "rate": 0.5}, "sample": [{"sample_id": 1, "claim": "a"}, {"sample_id": 2, "claim": "b"}]} and sheets["N2"]["sample"] == []
