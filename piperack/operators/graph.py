@@ -91,6 +91,24 @@ def relief_paths(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataF
     return flagged_closure(graph, starts, blocked).where("start <> node").join(_of_types(nodes, ("relief_valve",)), "node", "left_semi").select("start", "node", "verified")
 
 
+def relief_outcomes(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, outcome, valves: "verified" or "drawn" where flow reaches a relief valve that nothing can block, "not
+    credited" where it reaches valves past what can block it alone, and "none"; valves counts all that it reaches."""
+    free = relief_paths(graph, nodes, starts).groupBy("start").agg(F.bool_or("verified").alias("sure"))
+    below = closure(graph, starts).where("start <> node").join(_of_types(nodes, ("relief_valve",)), "node", "left_semi").groupBy("start").agg(F.count(F.lit(1)).alias("valves"))
+    found = starts.select("start").distinct().join(free, "start", "left").join(below, "start", "left")
+    outcome = F.when(F.col("sure"), "verified").when(F.col("sure").isNotNull(), "drawn").when(F.col("valves") > 0, "not credited").otherwise("none")
+    return found.select("start", outcome.alias("outcome"), F.coalesce("valves", F.lit(0)).cast("long").alias("valves"))
+
+
+def first_paths(paths: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` paths with fewest edges of each source and target, with their rank; ties in the order of their tags."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("source", "target").orderBy(F.size("path"), "path")
+    return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def isolation_boundary(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, side: the nearest isolating valves each way, over drawn flow, verified or not."""
     ends, both = _of_types(nodes, ISOLATING), ("downstream", "upstream")

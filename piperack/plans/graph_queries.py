@@ -102,6 +102,13 @@ def g_path(spark, sf_dir):
     return paths.select((F.size("path") - 1).cast("long").alias("hops"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("flow"), F.array_join("path", " → ").alias("path"))
 
 
+@_register(_PATHS_SQL + " SELECT row_number() OVER (ORDER BY len(path), path) AS rank, len(path) - 1 AS hops, array_to_string(path, ' → ') AS path FROM paths QUALIFY rank <= 5")
+def g_path_first(spark, sf_dir):
+    """The answer's five shortest ones of the paths of g_path."""
+    _, paths = _paths(spark, sf_dir)
+    return graph.first_paths(paths).select(F.col("rank").cast("long").alias("rank"), (F.size("path") - 1).cast("long").alias("hops"), F.array_join("path", " → ").alias("path"))
+
+
 @_register(_PATHS_SQL + " SELECT DISTINCT tag FROM (SELECT unnest(path) AS tag FROM paths) JOIN nodes USING (tag) WHERE equipment_type = 'check_valve'")
 def g_check_valves(spark, sf_dir):
     nodes, paths = _paths(spark, sf_dir)

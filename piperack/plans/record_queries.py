@@ -209,3 +209,14 @@ def g_path_orders(spark, sf_dir):
 def g_check_valves_orders(spark, sf_dir):
     nodes, paths = _order_paths(spark, sf_dir)
     return graph.check_valves_between(paths, nodes).select(F.split_part("source", F.lit("/"), F.lit(1)).alias("chain"), F.col("node").alias("tag"))
+
+
+@_register(f"""WITH {s.CHAIN_SQL}, ends AS (SELECT chain, min(pos) FILTER (WHERE pos > 1 AND equipment_type IN ('pump', 'compressor', 'valve', 'control_valve')) AS block, min(pos) FILTER (WHERE NOT verified AND next IS NOT NULL) AS drawn, count(*) FILTER (WHERE pos > 1 AND equipment_type = 'relief_valve') AS valves FROM chains GROUP BY chain),
+free AS (SELECT chain, bool_or(pos <= coalesce(drawn, 1e9)) AS sure FROM chains JOIN ends USING (chain) WHERE equipment_type = 'relief_valve' AND pos > 1 AND pos <= coalesce(block, 1e9) GROUP BY chain)
+SELECT chain::VARCHAR AS chain, CASE WHEN sure THEN 'verified' WHEN sure IS NOT NULL THEN 'drawn' WHEN valves > 0 THEN 'not credited' ELSE 'none' END AS outcome, valves FROM ends LEFT JOIN free USING (chain)""")
+def g_relief_orders(spark, sf_dir):
+    """The answer on relief for the first line of each order."""
+    nodes, edges = _lines(spark, sf_dir)
+    starts = nodes.where(F.col("tag").endswith("/1")).select(F.col("tag").alias("start"))
+    found = graph.relief_outcomes(graph.cut(graph.query_graph(edges)), nodes, starts)
+    return found.select(F.split_part("start", F.lit("/"), F.lit(1)).alias("chain"), "outcome", "valves")
