@@ -69,6 +69,16 @@ def critic(rows: DataFrame) -> DataFrame:
     )
 
 
+def critic_report(rows: DataFrame, expected: DataFrame, low: float = 0.5) -> DataFrame:
+    """The labels that a reviewer must look at, by kind and in their order: kind, group, labels, for rows(group, label,
+    n_causes, n_consequences, n_safeguards, confidence) against expected(group, label). A kind without labels has no row."""
+    lacks = {f"without {k}": F.coalesce(F.col(f"n_{k}"), F.lit(0)) == 0 for k in ("causes", "consequences", "safeguards")} | {"low confidence": F.coalesce("confidence", F.lit(0.0)) < low}
+    kinds = F.filter(F.array(*[F.when(c, name) for name, c in lacks.items()]), lambda k: k.isNotNull())
+    found = rows.select("group", "label", F.explode(kinds).alias("kind"))
+    missing = expected.select("group", "label").distinct().join(rows.select("group", "label"), ["group", "label"], "left_anti").withColumn("kind", F.lit("missing"))
+    return found.unionByName(missing).groupBy("kind", "group").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
 def screen(cases: DataFrame) -> DataFrame:
     """cases(case_id, equipment_type, deviation, conditions map) with rule, low and high estimates; null: unquantified."""
     value = lambda k: F.try_element_at("conditions", F.lit(k))

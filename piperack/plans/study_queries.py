@@ -103,6 +103,21 @@ def ws_critic(spark, sf_dir):
     return found.withColumnRenamed("group", "priority").withColumn("min_confidence", F.round("min_confidence", 6))
 
 
+@_register("""WITH r AS (SELECT o_custkey AS g, o_orderkey AS label, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r, max(l_discount) * 9 AS c
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+found AS (SELECT 'without causes' AS kind, g, label FROM r WHERE a = 0 UNION SELECT 'without consequences', g, label FROM r WHERE n = 0 UNION SELECT 'without safeguards', g, label FROM r WHERE r = 0 UNION SELECT 'low confidence', g, label FROM r WHERE coalesce(c, 0) < 0.5
+  UNION SELECT 'missing', o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) NOT IN (SELECT (g, label) FROM r))
+SELECT kind, g AS customer, string_agg(label::VARCHAR, ',' ORDER BY label) AS labels FROM found GROUP BY ALL""".replace("(o_custkey, o_orderkey) NOT IN (SELECT (g, label) FROM r)", "NOT EXISTS (SELECT 1 FROM r WHERE g = o_custkey AND label = o_orderkey)"))
+def ws_critic_report(spark, sf_dir):
+    lines = s.table(spark, sf_dir, "lineitem")
+    flagged = lambda f: F.sum((F.col("l_returnflag") == f).cast("int"))
+    sums = lines.groupBy("l_orderkey").agg(flagged("A").alias("n_causes"), flagged("N").alias("n_consequences"), flagged("R").alias("n_safeguards"), (F.max("l_discount") * 9).alias("confidence"))
+    orders = s.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("label")).distinct()
+    rows = orders.join(sums, F.col("label") == F.col("l_orderkey")).drop("l_orderkey")
+    found = worksheet.critic_report(rows, orders)
+    return found.select("kind", F.col("group").alias("customer"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
 @_register(f"""WITH {s.GRAPH_SQL}, cases AS (SELECT tag AS case_id, equipment_type, CASE WHEN p_size % 3 = 0 THEN 'reverse_flow' WHEN equipment_type = 'heat_exchanger' THEN 'no_flow' ELSE 'blocked_outlet' END AS deviation, p_retailprice AS p, p_size FROM nodes JOIN part ON 'P' || p_partkey = tag)
 SELECT case_id, equipment_type, deviation,
   CASE WHEN deviation = 'reverse_flow' THEN 'reverse_flow' WHEN deviation = 'no_flow' THEN 'heating_medium' WHEN equipment_type = 'pump' AND p_size % 2 = 0 THEN 'pump_shutoff' WHEN equipment_type = 'pump' THEN 'pump_deadhead'
