@@ -58,10 +58,15 @@ COMMON = {
 }
 _PART = r"\p{Lu}\p{Ll}*+(?:['’-]?\p{Lu}\p{Ll}++|['’-]\p{Ll}{2,}+)*+"
 _LONG_PART = rf"(?=\p{{Lu}}['’\p{{Ll}}]){_PART}"
-_PARTICLE = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|la|le|bin|ibn|al|el|ter|zu) ){0,3}"
-_REST = rf"(?: \p{{Lu}}\.)? {_PARTICLE}{_LONG_PART}"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_MALE}|{_FEMALE}|{_OTHER}) (?:(?:{_OTHER}) )?{_PART}(?:{_REST})?|(?:{_CUE}) {_PART}{_REST}|(?:{'|'.join(COMMON['male'] + COMMON['female'])}){_REST})(?!\p{{L}})"
-PATTERN = "|".join((EMAIL, IP, SECRET, SSN, CARD, PHONE, PERSON))
+_PARTICLES = "van|von|der|den|de|del|della|di|da|dos|la|le|bin|ibn|al|el|ter|zu"
+_REST = rf"(?: \p{{Lu}}\.)? (?:(?:{_PARTICLES}) ){{0,3}}{_LONG_PART}"
+# Looking at the first letter, or for a capitalised word and what may follow it, comes first: most words end there.
+_TITLED = rf"(?=[\p{{Lu}}гдп])(?:{_MALE}|{_FEMALE}|{_OTHER}) (?:(?:{_OTHER}) )?{_PART}(?:{_REST})?"
+_CUED = rf"(?=[MmNnSsRrJjМм])(?:{_CUE}) {_PART}{_REST}"
+_NAMED = rf"(?=\p{{Lu}}\p{{L}}++ (?:\p{{Lu}}|(?:{_PARTICLES}) ))(?:{'|'.join(COMMON['male'] + COMMON['female'])}){_REST}"
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}})(?:{_TITLED}|{_CUED}|{_NAMED})(?!\p{{L}})"
+# No entity starts within a word; what its first character can't start isn't tried.
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{EMAIL}|(?=[\d+(])(?:{IP}|{SSN}|{CARD}|{PHONE})|(?=\p{{L}})(?:{SECRET}|{PERSON}))"
 SYLLABLES = {"latin": ("ba", "den", "fer", "gal", "hol", "kin", "lor", "mas", "nel", "pra", "ros", "sel", "tor", "ven", "wid", "zan"), "cyrillic": ("ба", "вер", "гал", "дор", "жан", "зим", "кол", "лен", "мир", "нос", "пет", "рус", "сол", "тим", "фед", "шар")}
 _UNIT = "array<struct<kind:string,value:string>>"
 
