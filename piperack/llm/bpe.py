@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piperack.llm.textcut import by_bytes, safe_chunks
+from piperack.llm.textcut import by_bytes, safe_chunks, spare
 
 #: Chunks that a task remembers before they become the older ones, of which those that are met again are kept; and
 #: pre-tokens in a run for the library, and rows taken at once from a batch.
@@ -175,6 +175,7 @@ def _ids(codec: Codec, texts: pa.Array) -> pa.Array:
             packed = codec.encode_packed(group)
             sizes += [len(p) // 4 for p in packed]
             parts.append(b"".join(packed))
+    spare()
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piperack.llm.shared import kept
+from piperack.llm.textcut import raw_rows
 
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -126,7 +127,7 @@ def _scanner(block: Broadcast, window: int):
         if not own:
             own.append(Matcher(block.value, window))
         counts, runs, spans, items = [], [], [], []
-        for raw in texts.cast(pa.binary()).to_pylist():
+        for raw in raw_rows(texts):
             words = words_of(raw)
             hit, found = own[0].find(words)
             counts.append(len(words))

@@ -142,6 +142,11 @@ def units_of(entity: Column, kind: Column) -> Column:
     return F.when(kind.isNull(), F.expr(f"cast(array() as {_UNIT})")).when(kind == "person", person).when(kind == "email", email).otherwise(F.array(unit(kind, one)))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _masked(template: Column, numbers: Column, letters: Column) -> Column:
     """``template`` with each digit and letter replaced by that of the streams at the same place, capitals by capitals."""
     at = lambda stream, i: F.substr(stream, i % 100 + 1, F.lit(1))
@@ -159,10 +164,15 @@ def _hmac(key: str, message: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, nonce: Column, key: str) -> Column:
     """The surrogate of a unit in canonical form; of an e-mail address that of its mailbox, with the domain it had."""
-    seed = _hmac(key, F.concat_ws("|", kind, nonce.cast("string"), value))
-    numbers = F.translate(seed, "abcdef", "012345")
-    letters = F.translate(seed, "0123456789abcdef", "bcdfghklmnprstvz")
-    hexes = F.translate(seed, "0123456789", "abcdefabcd")
+
+    def streams(seed: Column) -> Column:
+        named = {"seed": seed, "numbers": F.translate(seed, "abcdef", "012345"), "letters": F.translate(seed, "0123456789abcdef", "bcdfghklmnprstvz"), "hexes": F.translate(seed, "0123456789", "abcdefabcd")}
+        return _bound(F.struct(*[c.alias(n) for n, c in named.items()]), lambda x: _surrogate(kind, value, nonce, *[x[n] for n in named]))
+
+    return _bound(_hmac(key, F.concat_ws("|", kind, nonce.cast("string"), value)), streams)
+
+
+def _surrogate(kind: Column, value: Column, nonce: Column, seed: Column, numbers: Column, letters: Column, hexes: Column) -> Column:
     number = lambda i: F.conv(F.substr(seed, 1 + 4 * i % 124, F.lit(4)), 16, 10).cast("int")
     mailbox, domain = F.split_part(value, F.lit("@"), F.lit(1)), F.split_part(value, F.lit("@"), F.lit(2))
     more = F.substr(letters, F.lit(101), F.least(nonce, F.lit(28)))  # a longer name where the short one is taken
@@ -214,28 +224,35 @@ def _placed(template: Column, digits: Column) -> Column:
 
 def render(entity: Column, key: str, nonces: Column | None = None) -> Column:
     """The surrogate of one mention, in its format; ``nonces`` is a map from "kind|value" to a nonce above 0."""
-    kind = kind_of(entity)
 
     def made(u: Column) -> Column:
         nonce = F.coalesce(F.element_at(nonces, F.concat_ws("|", u["kind"], u["value"])), F.lit(0)) if nonces is not None else F.lit(0)
         return surrogate(u["kind"], u["value"], nonce, key)
 
-    found = F.transform(units_of(entity, kind), made)
-    _, given, surname = _person(entity)
-    first, last = _in_case(given, found[0]), _in_case(surname, F.element_at(found, -1))
-    words = F.split(F.substr(entity, F.length(_prefix(entity)) + 1), " ")
-    word = lambda w, i: F.when(i == F.size(words) - 1, last).when(i == 0, first).when(w.rlike(r"^\p{Lu}\.$"), F.concat(F.upper(F.substr(F.reverse(F.element_at(found, -1)), F.lit(1), F.lit(1))), F.lit("."))).otherwise(w)
-    prefix = F.substr(entity, F.lit(1), F.length(entity) - F.length(_bare_secret(entity)))
-    address = F.concat(F.split_part(found[0], F.lit("@"), F.lit(1)), F.lit("@"), F.get(found, F.lit(1)))
-    secret = F.when(_hexadecimal(_bare_secret(entity)) & (_bare_secret(entity) == F.upper(_bare_secret(entity))), F.upper(found[0])).otherwise(found[0])
-    return (
-        F.when(kind.isNull(), entity)
-        .when(kind == "email", F.when(entity == F.upper(entity), F.upper(address)).otherwise(address))
-        .when(kind == "ip", found[0])
-        .when(kind == "secret", F.concat(prefix, secret))
-        .when(kind == "person", F.concat(_prefix(entity), F.array_join(F.transform(words, word), " ")))
-        .otherwise(_placed(entity, found[0]))
-    )
+    def person(found: Column) -> Column:
+        _, given, surname = _person(entity)
+        parts = F.struct(_prefix(entity).alias("prefix"), _in_case(given, found[0]).alias("first"), _in_case(surname, F.element_at(found, -1)).alias("last"))
+
+        def written(p: Column) -> Column:
+            words = F.split(F.substr(entity, F.length(p["prefix"]) + 1), " ")
+            initial = F.concat(F.upper(F.substr(F.reverse(F.element_at(found, -1)), F.lit(1), F.lit(1))), F.lit("."))
+            word = lambda w, i: F.when(i == F.size(words) - 1, p["last"]).when(i == 0, p["first"]).when(w.rlike(r"^\p{Lu}\.$"), initial).otherwise(w)
+            return F.concat(p["prefix"], F.array_join(F.transform(words, word), " "))
+
+        return _bound(parts, written)
+
+    def secret(found: Column) -> Column:
+        return _bound(_bare_secret(entity), lambda bare: F.concat(F.substr(entity, F.lit(1), F.length(entity) - F.length(bare)), F.when(_hexadecimal(bare) & (bare == F.upper(bare)), F.upper(found[0])).otherwise(found[0])))
+
+    def email(found: Column) -> Column:
+        address = F.concat(F.split_part(found[0], F.lit("@"), F.lit(1)), F.lit("@"), F.get(found, F.lit(1)))
+        return F.when(entity == F.upper(entity), F.upper(address)).otherwise(address)
+
+    def of(kind: Column) -> Column:
+        whole = lambda found: F.when(kind == "email", email(found)).when(kind == "ip", found[0]).when(kind == "secret", secret(found)).when(kind == "person", person(found)).otherwise(_placed(entity, found[0]))
+        return F.when(kind.isNull(), entity).otherwise(_bound(F.transform(units_of(entity, kind), made), whole))
+
+    return _bound(kind_of(entity), of)
 
 
 def entities(text: Column) -> Column:
@@ -283,7 +300,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, n_replaced and the sorted distinct kinds."""
     found = docs.withColumn("__entities", entities(F.col(text)))
     mentions = found.where(F.size("__entities") > 0).select(F.xxhash64(text).alias("__text"), F.explode(F.array_distinct("__entities")).alias("entity"))
-    each = mentions.select("__text", F.explode(units_of(F.col("entity"), kind_of(F.col("entity")))).alias("u")).select("__text", "u.kind", "u.value")
+    each = mentions.select("__text", F.explode(_bound(kind_of(F.col("entity")), lambda k: units_of(F.col("entity"), k))).alias("u")).select("__text", "u.kind", "u.value")
     each = kept(each.distinct())
     units = kept(each.select("kind", "value").distinct())
     moved = kept(colliding(units, key))

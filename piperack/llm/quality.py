@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from piperack.llm.textcut import raw_rows
+
 #: Labelled rows to fit on, bins of a feature, bins of a feature in a pair, pairs.
 MAX_ROWS, BINS, PAIR_BINS, PAIRS = 20_000, 48, 10, 8
 FEATURES = (
@@ -69,7 +71,7 @@ def features(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:
-        rows = [text_features(raw or b"") for raw in texts.cast(pa.binary()).to_pylist()]
+        rows = [text_features(raw or b"") for raw in raw_rows(texts)]
         flat = np.array(rows, float).ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), pa.array(flat))
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piperack.llm.shared import connected_components, kept
+from piperack.llm.textcut import raw_rows
 
 #: Fingerprints sampled for the upper trees (at least, and for each shard aimed at), most shards of a tree, members aimed
 #: at in a shard, askers in one task. The shards are enough for 10^8 fingerprints; beyond that their own trees grow.
@@ -54,7 +55,7 @@ def fingerprint(text: Column, size: int = 3) -> Column:
 
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
-        values = [fingerprint_words((raw or b"").lower().split(), size) for raw in texts.cast(pa.binary()).to_pylist()]
+        values = [fingerprint_words((raw or b"").lower().split(), size) for raw in raw_rows(texts)]
         return pa.array(np.array(values, np.uint64).view(np.int64))
 
     return of(F.coalesce(text, F.lit("")))

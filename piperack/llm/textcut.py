@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 _DOUBLE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _EDGE = re.compile(r"[^\W\d_](?=[\s!-&(-/:-@\[-`{-~])")
@@ -20,7 +24,26 @@ def safe_chunks(text: str) -> list[str]:
     return _LONE_SPACE.split(text) if _DOUBLE.search(text) else text.split(" ")
 
 
-def by_bytes(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
+def spare() -> None:
+    """Gives what a worker has freed back to the system: workers wait for the next stage with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def text_rows(texts: pa.Array, kind: pa.DataType | None = None, at_once: int = 512) -> Iterator:
+    """The values of a batch, a few at a time, so that a task holds few of them twice; spare memory goes back at the end."""
+    for at in range(0, len(texts), at_once):
+        part = texts.slice(at, at_once)
+        yield from (part if kind is None else part.cast(kind)).to_pylist()
+    spare()
+
+
+def raw_rows(texts: pa.Array) -> Iterator[bytes | None]:
+    return text_rows(texts, pa.binary())
+
+
+def by_bytes(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
     """``texts`` in order (null: empty), in groups of about ``limit`` bytes of UTF-8; one longer text is a group of its own."""
     group: list[str] = []
     held = 0

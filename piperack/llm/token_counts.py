@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piperack.llm.textcut import by_bytes, safe_chunks, short_parts
+from piperack.llm.textcut import by_bytes, safe_chunks, short_parts, text_rows
 
 #: Part counts that a task remembers before it starts anew, bytes in a batch for the library, and the characters from which a part is cut.
 REMEMBERED, BATCH, LONG = 300_000, 1 << 16, 1 << 15
@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     def lengths(texts: pa.Array) -> pa.Array:
         if not own:
             own.append(Counter(name, vocabulary.value))
-        return pa.array([n for group in by_bytes(texts.to_pylist()) for n in own[0].count(group)], pa.int64())
+        return pa.array([n for group in by_bytes(text_rows(texts)) for n in own[0].count(group)], pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumn("n_tokens", lengths(whole)).withColumn("n_bytes", F.octet_length(whole).cast("long"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from piperack.llm.decontamination import words_of
 from piperack.llm.quality import labelled_sample
+from piperack.llm.textcut import raw_rows
 
 MAX_ROWS, VOCABULARY, GRADES = 20_000, 1024, 4
 
@@ -35,7 +36,7 @@ MAX_ROWS, VOCABULARY, GRADES = 20_000, 1024, 4
 def distinct_words(text: Column) -> Column:
     @F.arrow_udf("array<string>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([list({w.decode() for w in words_of(raw)}) for raw in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.string()))
+        return pa.array([list({w.decode() for w in words_of(raw)}) for raw in raw_rows(texts)], pa.list_(pa.string()))
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -110,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
     @F.arrow_udf("array<struct<word:int,n:int>>")
     def counted(texts: pa.Array) -> pa.Array:
-        out = [[{"word": w, "n": c} for w, c in sorted(_counts(raw, shared.value).items())] for raw in texts.cast(pa.binary()).to_pylist()]
+        out = [[{"word": w, "n": c} for w, c in sorted(_counts(raw, shared.value).items())] for raw in raw_rows(texts)]
         return pa.array(out, pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32())])))
 
     rows = sample.select("doc_id", F.col("__label").alias("y"), counted(F.coalesce(F.col(text), F.lit(""))).alias("x"))
@@ -135,7 +136,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
     def graded(texts: pa.Array) -> pa.Array:
         own = shared.value
         number = {w.encode(): k for k, w in enumerate(own.words) if own.weights[k]}
-        margins = np.array([sum(own.weights[w] * np.log1p(c) for w, c in _counts(raw, number).items()) for raw in texts.cast(pa.binary()).to_pylist()], float)
+        margins = np.array([sum(own.weights[w] * np.log1p(c) for w, c in _counts(raw, number).items()) for raw in raw_rows(texts)], float)
         p = own.grades(margins)
         each = -np.diff(np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1), axis=1)
         return pa.StructArray.from_arrays([pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32))], names=["p", "severity", "grade"])

@@ -352,6 +352,16 @@ def test_contexts_show_what_whole_texts_show_and_share_a_key():
     assert linked > 60 and shared == linked
 
 
+def test_windows_that_stand_equally_far_apart_show_as_much_when_joined_as_one():
+    rng = random.Random(47)
+    line = [f"k{i}" for i in range(14)]
+    prose = lambda k: [f"h{rng.randrange(10**9)}" for _ in range(k)]
+    for one, other in ((prose(20) + line * 60 + prose(30), line * 45 + prose(60)), (["w"] * 300 + prose(40), prose(40) + ["w"] * 90), (line * 30 + prose(60) + line * 20, prose(10) + line * 40)):
+        a, b = " ".join(one).encode(), " ".join(other).encode()
+        for found, every in zip(passages.shared_passages(a, b), brute_passages(a.decode(), b.decode()), strict=True):
+            assert len(found) == len(every) and all(abs(x - y) <= 5 for f, e in zip(found, every, strict=True) for x, y in zip(f, e, strict=True))  # up to 5 tokens at the ends may differ
+
+
 def test_repeated_rows_long_texts_and_clashing_columns_in_passages(spark):
     rng = random.Random(43)
     prose = lambda k: [f"z{rng.randrange(10**9)}" for _ in range(k)]
