@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piperack.llm import ann, bpe, chat, decontamination, passages, pii, quality, simhash, token_counts, toxicity
+from piperack.llm import ann, bpe, chat, decontamination, hard_negatives, pages, passages, pii, quality, resample, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op5_chat_formatting, op6_quality_classifier, op7_substring_dedup, op8_inverted_multi_index, op9_simhash_near_dedup, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontamination.ORACLE, "op5_chat_formatting": chat.ORACLE}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_benchmark_decontamination, op3_byte_bpe, op4_token_counts, op5_chat_formatting, op6_quality_classifier, op7_substring_dedup, op8_inverted_multi_index, op9_simhash_near_dedup, op10_toxicity, op11_hard_negatives, op12_html_extraction, op13_importance_resampling)}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontamination.ORACLE, "op5_chat_formatting": chat.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_importance_resampling": resample.ORACLE}
