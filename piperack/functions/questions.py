@@ -1,8 +1,8 @@
-"""Questions about a plant as a table: each question's kind and arguments, read by a vote of cue words.
+"""Questions about a plant as a table: each question's kind and arguments, read by the weight of its words.
 
-A question is cut into words and runs of up to three words. ``CUES`` lists by kind what speaks for it; a kind counts where
-one of its cues occurs and the question has the tags or the type of item it works on. Of the kinds that count the
-strongest wins. All of it is array functions over a column of questions, and one join with the known tags.
+``WEIGHTS`` says how much a word speaks for a kind of question. The weights of a question's words are summed by kind,
+what the question names adds to them (one tag, two tags, a type of item), and of the kinds that have what they work on
+the heaviest wins. All of it is array functions over a column of questions, and one join with the known tags.
 """
 
 from __future__ import annotations
@@ -27,19 +27,19 @@ TYPE_NAMES = {
     "valve": "valve",
     "line": "line",
 }
-#: By kind, the strongest first: its cues. A cue with a gap ("where does ... go") needs both parts, in this order.
-CUES = {
-    "count": ("how many", "count", "number of"),
-    "path": ("path", "route", "reach", "between", "to", "way from"),
-    "downstream": ("downstream", "where does ... go", "where does ... flow", "where does ... end up", "what does ... feed"),
-    "upstream": ("upstream", "what feeds", "what flows into", "what supplies", "source of", "sources of", "fed by", "fed from"),
-    "relief": ("relief path", "protected", "overpressure", "relief"),
-    "neighbours": ("connected", "neighbour", "neighbours", "neighbor", "neighbors", "adjacent", "attached", "around"),
-    "list": ("list", "show", "all", "which", "what", "every", "find"),
-    "info": ("what is", "tell me about", "info", "describe", "about"),
+#: How much a word speaks for a kind, from 1, a hint, to 9, which hardly anything else outweighs.
+WEIGHTS = {
+    "count": {"many": 9, "count": 9, "number": 8, "total": 6, "quantity": 8, "tally": 9, "counts": 9, "amount": 6},
+    "path": {"path": 6, "paths": 6, "route": 6, "routes": 6, "reach": 5, "reaches": 5, "between": 5, "way": 3, "to": 2, "towards": 3, "via": 3, "get": 1, "link": 2},
+    "downstream": {"downstream": 8, "feed": 6, "supply": 5, "discharge": 5, "discharges": 5, "outlet": 4, "leave": 4, "leaves": 4, "go": 5, "goes": 5, "flow": 3, "end": 3, "where": 2, "after": 4, "drain": 4, "receives": 5},
+    "upstream": {"upstream": 8, "feeds": 6, "fed": 6, "supplies": 6, "supplied": 5, "source": 6, "sources": 6, "origin": 6, "flows": 3, "into": 3, "come": 4, "comes": 4, "from": 2, "inlet": 4, "before": 4},
+    "relief": {"relief": 5, "protected": 6, "overpressure": 6, "protection": 5, "overpressured": 6, "relieved": 6, "relieves": 6, "flare": 4, "protects": 6},
+    "neighbours": {"connected": 6, "connects": 6, "neighbour": 7, "neighbours": 7, "neighbor": 7, "neighbors": 7, "adjacent": 7, "attached": 6, "around": 5, "near": 4, "nearby": 4, "beside": 5, "next": 3, "touching": 5, "joined": 5},
+    "list": {"list": 5, "show": 2, "all": 2, "every": 3, "each": 2, "which": 2, "find": 2, "what": 1, "name": 2, "enumerate": 5, "give": 1, "are": 1, "there": 1},
+    "info": {"about": 3, "describe": 5, "description": 5, "info": 5, "information": 5, "details": 5, "detail": 5, "tell": 2, "is": 1, "what": 1, "explain": 4, "properties": 5},
 }
-#: What is said of an item by itself counts as a question for it up to so many words.
-SHORT = 3
+#: What a question names: two tags speak for a way between them, a type without a tag for a list, a tag with hardly a word for that item.
+TWO_TAGS, BARE_TYPE, BARE_TAG, LEAST = 7, 4, 3, 2
 
 
 def _words(question: Column) -> Column:
@@ -47,72 +47,57 @@ def _words(question: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(question), r"[^\p{L}\p{N}_-]+"), lambda w: F.trim(w, F.lit("-"))), lambda w: w != "")
 
 
-def _runs(words: Column, longest: int = 3) -> Column:
-    """The runs of up to ``longest`` words that stand side by side."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(words, i, n), " ")))))
+def _weight(words: Column, kind: str) -> Column:
+    """What the words together weigh for a kind."""
+    weights = F.create_map(*[F.lit(x) for pair in WEIGHTS[kind].items() for x in pair])
+    return F.aggregate(words, F.lit(0), lambda total, w: total + F.coalesce(F.element_at(weights, w), F.lit(0)))
 
 
-def _first(words: Column, run: str) -> Column:
-    """The place of the first word of a run, from 1; 0 where it isn't there."""
-    n = len(run.split(" "))
-    return F.coalesce(F.array_position(F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, n), " ")), run), F.lit(0))
-
-
-def _has(words: Column, runs: Column, kind: str) -> Column:
-    """If a cue of the kind occurs."""
-    plain = [c for c in CUES[kind] if "..." not in c]
-    found = F.arrays_overlap(runs, F.array(*[F.lit(c) for c in plain]))
-    for cue in CUES[kind]:
-        if "..." in cue:
-            before, after = (c.strip() for c in cue.split("..."))
-            found = found | ((_first(words, before) > 0) & (_first(words, after) > _first(words, before)))
-    return found
-
-
-def _type(runs: Column) -> Column:
+def _type(names: Column) -> Column:
     """The type of item that a question names; of several the one with the longer name, then the first of ``TYPE_NAMES``."""
     ranked = sorted(TYPE_NAMES, key=lambda n: -n.count(" "))
-    named = [F.when(F.arrays_overlap(runs, F.array(F.lit(n), F.lit(f"{n}s"))), F.lit(TYPE_NAMES[n])) for n in ranked]
+    named = [F.when(F.arrays_overlap(names, F.array(F.lit(n), F.lit(f"{n}s"))), F.lit(TYPE_NAMES[n])) for n in ranked]
     return F.coalesce(*named)
 
 
 def mentioned(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """question_id, tags in the order of mention, candidates: a word with a digit is a mention of the tag that it spells
-    whole, else of the one tag that ends in it after a hyphen; where several do, they are candidates."""
+    """question_id, tags in the order of mention, unsure: a word with a digit is a mention of the tag that it spells
+    whole, else of the one tag that ends in it after a hyphen; where several do, it is unsure, and the first and the last
+    of them are told."""
     words = questions.select("question_id", F.posexplode(_words(F.col("question"))).alias("pos", "word")).where(F.col("word").rlike(r"\p{N}"))
     parts = F.split(F.lower("tag"), "-")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, k, F.size(parts)), "-").alias("word"), (k == 1).alias("whole")))
     ends = nodes.select("tag", F.explode(tails).alias("e")).select("tag", "e.word", "e.whole")
-    hits = words.join(ends, "word").groupBy("question_id", "pos").agg(F.max(F.when(F.col("whole"), F.col("tag"))).alias("exact"), F.count(F.lit(1)).alias("n"), F.min("tag").alias("least"), F.array_sort(F.collect_set("tag")).alias("all"))
-    read = hits.select("question_id", "pos", F.coalesce("exact", F.when(F.col("n") == 1, F.col("least"))).alias("tag"), F.when(F.col("exact").isNull() & (F.col("n") > 1), F.slice("all", 1, 8)).alias("candidates"))
-    listed = read.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("found"), F.flatten(F.collect_list("candidates")).alias("candidates"))
+    ends = ends.groupBy("word").agg(F.max(F.when(F.col("whole"), F.col("tag"))).alias("exact"), F.count(F.lit(1)).alias("n"), F.min("tag").alias("least"), F.max("tag").alias("most"))
+    read = words.join(ends, "word").select("question_id", "pos", F.coalesce("exact", F.when(F.col("n") == 1, F.col("least"))).alias("tag"), F.when(F.col("exact").isNull() & (F.col("n") > 1), F.struct("word", "n", "least", "most")).alias("unsure"))
+    listed = read.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("found"), F.collect_list("unsure").alias("unsure"))
     tags = F.array_distinct(F.filter(F.transform("found", lambda x: x["tag"]), lambda t: t.isNotNull()))
-    return listed.select("question_id", tags.alias("tags"), "candidates")
+    return listed.select("question_id", tags.alias("tags"), "unsure")
 
 
 def intents(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """question_id, kind, tag, target, equipment_type for questions(question_id, question).
+    """question_id, kind, tag, target, equipment_type, unsure for questions(question_id, question).
 
-    kind is null where no cue reads the question, "no tag" where the strongest kind that its cues speak for lacks a tag,
-    and "ambiguous" where a mention may be several tags. A null question has no words."""
+    kind is null where no words weigh enough, "no tag" where the heaviest kind lacks a tag, and "ambiguous" where a
+    mention may be several tags: unsure has those mentions. A null question has no words."""
     found = questions.join(mentioned(questions, nodes), "question_id", "left")
-    words = _words(F.coalesce("question", F.lit("")))
-    read = found.select("question_id", words.alias("words"), _runs(words).alias("runs"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce(F.size("candidates"), F.lit(0)).alias("unsure"))
-    read = read.withColumn("equipment_type", _type(F.col("runs")))
+    read = found.select("question_id", _words(F.coalesce("question", F.lit(""))).alias("words"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "unsure")
+    read = read.withColumn("names", F.concat("words", F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))))
     n, typed = F.size("tags"), F.col("equipment_type").isNotNull()
-    cue = {kind: _has(F.col("words"), F.col("runs"), kind) for kind in CUES}
-    weak = F.arrays_overlap("runs", F.array(F.lit("relief"))) & ~F.arrays_overlap("runs", F.array(*[F.lit(c) for c in CUES["relief"][:-1]]))
-    counts = {  # if a kind counts, and what it counts as
-        "count": (cue["count"], "count"),
-        "path": (cue["path"] & (n >= 2), "path"),
-        "downstream": (cue["downstream"], None),
-        "upstream": (cue["upstream"], None),
-        "relief": (cue["relief"] & ~(weak & (n == 0)), None),
-        "neighbours": (cue["neighbours"] & ((n > 0) | ~typed), None),
-        "list": (typed & (cue["list"] | (n == 0)), "list"),
-        "info": ((n > 0) & (cue["info"] | (F.size("words") <= SHORT)), "info"),
+    weigh = lambda kind, extra=0: _weight(F.col("words"), kind) + extra
+    needs_tag = lambda kind: F.when(n > 0, kind).otherwise("no tag")
+    worth = {  # what a kind weighs, whether it has what it works on, and what it is called
+        "count": (weigh("count"), F.lit(True), F.lit("count")),
+        "path": (weigh("path", TWO_TAGS), n >= 2, F.lit("path")),
+        "downstream": (weigh("downstream"), F.lit(True), needs_tag("downstream")),
+        "upstream": (weigh("upstream"), F.lit(True), needs_tag("upstream")),
+        "relief": (weigh("relief"), F.lit(True), needs_tag("relief")),
+        "neighbours": (weigh("neighbours"), F.lit(True), needs_tag("neighbours")),
+        "list": (weigh("list", F.when(n == 0, BARE_TYPE).otherwise(0)), typed, F.lit("list")),
+        "info": (weigh("info", F.when(F.size("words") <= 3 * n, BARE_TAG).otherwise(0)), n > 0, F.lit("info")),
     }
-    votes = [F.when(ok, F.struct(F.lit(len(CUES) - k).alias("weight"), F.lit(name).alias("kind") if name else F.when(n > 0, kind).otherwise("no tag").alias("kind"))) for k, (kind, (ok, name)) in enumerate(counts.items())]
-    kind = F.when(F.col("unsure") > 0, "ambiguous").otherwise(F.array_max(F.array(*votes))["kind"])
-    return read.select("question_id", kind.alias("kind"), F.get("tags", F.lit(0)).alias("tag"), F.when(kind == "path", F.get("tags", F.lit(1))).alias("target"), "equipment_type")
+    # a cue to which nothing else is added must weigh more than a hint
+    votes = [F.when(fits & (weight >= LEAST), F.struct(weight.alias("weight"), name.alias("kind"))) for weight, fits, name in worth.values()]
+    kind = F.when(F.size("unsure") > 0, "ambiguous").otherwise(F.array_max(F.array(*votes))["kind"])
+    read = read.withColumn("equipment_type", _type(F.col("names"))).withColumn("kind", kind)
+    return read.select("question_id", "kind", F.get("tags", F.lit(0)).alias("tag"), F.when(F.col("kind") == "path", F.get("tags", F.lit(1))).alias("target"), "equipment_type", "unsure")

@@ -153,6 +153,18 @@ ASKED = {
     "neighbours": ("no tag", None, None, None),
     "V-001": ("info", "2401-V-001", None, None),
     "count of each type": ("count", None, None, None),
+    "which vessels are downstream of 2401-K-001?": ("downstream", "2401-K-001", None, "vessel"),
+    "where does K-001 go": ("downstream", "2401-K-001", None, None),
+    "show the path from K-001 to V-001": ("path", "2401-K-001", "2401-V-001", None),
+    "show every PSV": ("list", None, None, "relief_valve"),
+    "which check valves are there": ("list", None, None, "check_valve"),
+    "compressors": ("list", None, None, "compressor"),
+    "how many vessels are there?": ("count", None, None, "vessel"),
+    "how many of each equipment type?": ("count", None, None, None),
+    "does 2401-V-001 have a relief path?": ("relief", "2401-V-001", None, None),
+    "is V-001 protected against overpressure": ("relief", "2401-V-001", None, None),
+    "what is downstream of the big compressor": ("no tag", None, None, "compressor"),
+    "tell me a joke about pipes": (None, None, None, None),
     "": (None, None, None, None),
     None: (None, None, None, None),
 }
