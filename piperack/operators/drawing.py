@@ -1,12 +1,11 @@
 """From drawing primitives to detected symbols and oriented runs, page by page.
 
 paths(page, path, type, width, points: array of struct x, y) are strokes; every join stays within a page and goes
-through a grid. Only greedy suppression needs a page's symbols together; a page is bounded by what is drawn on it.
+through a grid, so that the symbols of one page spread over tasks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +34,22 @@ def circles_of(paths: DataFrame, corners: int = 8, spread: float = 0.03) -> Data
 
 def suppress(symbols: DataFrame, distance: float, rank: str) -> DataFrame:
     """page, id, n: symbols kept greedily, the largest ``rank`` first (ties: smaller id), and how many each has taken in."""
+    from piperack.operators.topology import leaders
 
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for s in page.sort_values([rank, "id"], ascending=[False, True]).itertuples(index=False):
-            near = next((k for k in kept if (k[1] - s.x) ** 2 + (k[2] - s.y) ** 2 <= distance**2), None)
-            if near is None:
-                kept.append([s.id, s.x, s.y, 1])
-            else:
-                near[3] += 1
-        return pd.DataFrame([(page.page.iloc[0], k[0], k[3]) for k in kept], columns=["page", "id", "n"])
+    led = leaders(symbols, distance, [-F.col(rank)])
+    return led.groupBy("page", F.col("leader").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
-    return symbols.select("page", "id", "x", "y", rank).groupBy("page").applyInPandas(greedy, f"page {symbols.schema['page'].dataType.simpleString()}, id long, n int")
 
-
-def texts_inside(circles: DataFrame, spans: DataFrame, margin: float = 2.0, largest: float = 40.0) -> DataFrame:
+def texts_inside(circles: DataFrame, spans: DataFrame, margin: float = 2.0) -> DataFrame:
     """page, id, texts (top to bottom, distinct) of the spans whose centres lie in a circle (page, id, x, y, r)."""
+    largest = circles.agg(F.max("r")).first()[0] or 0.0
     others = spans.select("page", F.col("text").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     hits = within(circles, others, largest + margin).where(F.col("d") <= F.col("r") + margin)
     return hits.groupBy("page", "id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("oy", "other"))), lambda s: s["other"])).alias("texts"))
 
 
 def crossings(segments: DataFrame, reach: float, low: float = 30.0, high: float = 150.0, slack: float = 0.4) -> DataFrame:
-    """page, a, b, x, y where two segments (page, id, ax, ay, bx, by, angle, mx, my) cross between ``low`` and ``high`` degrees.
+    """page, a, b, x, y, t, u where two segments (page, id, ax, ay, bx, by, angle, mx, my) cross between ``low`` and ``high`` degrees.
 
     Midpoints must be within ``reach``; the crossing may lie ``slack`` of a length beyond either's ends.
     """
@@ -70,7 +62,7 @@ def crossings(segments: DataFrame, reach: float, low: float = 30.0, high: float
     det = ux * vy - uy * vx
     found = pairs.where((turn >= low) & (turn <= high)).withColumns({"t": F.try_divide(wx * vy - wy * vx, det), "u": F.try_divide(wx * uy - wy * ux, det)})
     inside = lambda c: F.col(c).between(-slack, 1 + slack)
-    return found.where(inside("t") & inside("u")).select("page", F.col("id").alias("a"), F.col("other").alias("b"), (F.col("lax") + F.col("t") * ux).alias("x"), (F.col("lay") + F.col("t") * uy).alias("y"))
+    return found.where(inside("t") & inside("u")).select("page", F.col("id").alias("a"), F.col("other").alias("b"), (F.col("lax") + F.col("t") * ux).alias("x"), (F.col("lay") + F.col("t") * uy).alias("y"), "t", "u")
 
 
 def gap_bridges(segments: DataFrame, low: float = 1.2, high: float = 8.0, offset: float = 1.5, sine: float = 0.05) -> DataFrame:
@@ -133,9 +125,11 @@ def cross_sheet_links(segments: DataFrame) -> DataFrame:
 
 def page_checks(spans: DataFrame) -> DataFrame:
     """page, spans, upper median size (no mean of two), verdict, by what a page must hold to be read."""
-    sizes = F.sort_array(F.collect_list("size"))
-    sums = spans.groupBy("page").agg(F.count(F.lit(1)).alias("spans"), sizes.alias("s"))
-    return sums.select("page", "spans", F.element_at("s", (F.size("s") / 2).cast("int") + 1).alias("median_size"), F.when(F.col("spans") >= 20, "ok").when(F.col("spans") > 0, "poor").otherwise("fail").alias("verdict"))
+    each = spans.groupBy("page", "size").count()  # sizes are few, however many spans a page has
+    along = Window.partitionBy("page").orderBy("size")
+    upto = each.withColumns({"upto": F.sum("count").over(along), "spans": F.sum("count").over(Window.partitionBy("page"))})
+    sums = upto.where(F.col("upto") > F.floor(F.col("spans") / 2)).groupBy("page", "spans").agg(F.min("size").alias("median_size"))
+    return sums.select("page", "spans", "median_size", F.when(F.col("spans") >= 20, "ok").when(F.col("spans") > 0, "poor").otherwise("fail").alias("verdict"))
 
 
 def normalised(points: DataFrame, radii: DataFrame, target: float = 18.0, tolerance: float = 0.02) -> DataFrame:
