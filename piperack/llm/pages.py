@@ -199,15 +199,15 @@ def main_blocks(page: str | None) -> list[str]:
         return []
     read = PageLines().read(page)
     tags, parents, flags = read.tags, read.parents, list(read.flags)
-    holds = [False] * len(tags)  # the article itself
-    for node in range(len(tags) - 1, 0, -1):
-        holds[node] = holds[node] or tags[node] in ("main", "h1") or tags[node] == "article" and not flags[node]
-        above = parents[node]
-        # a title alone makes no article of a page's header
-        holds[above] = holds[above] or holds[node] and flags[node] != HARD and (tags[node] != "h1" or tags[above] in ("article", "main", "form", "hgroup"))
+    titled, holds = [tag == "h1" for tag in tags], [tag == "main" for tag in tags]
+    for node in range(len(tags) - 1, 0, -1):  # what wraps the article: a main element, or an article with a title
+        holds[node] = holds[node] or tags[node] == "article" and titled[node] and not flags[node]
+        if flags[node] != HARD:
+            holds[parents[node]] |= holds[node]
+            titled[parents[node]] |= titled[node] and not (flags[node] and tags[node] != "form")
     gone, article = [False] * len(tags), [-1] * len(tags)
     for node in range(1, len(tags)):
-        soft = flags[node] == SOFT and not (holds[node] and tags[node] != "header")
+        soft = flags[node] == SOFT and not (tags[node] != "header" and holds[node] or tags[node] == "form" and titled[node])
         gone[node] = gone[parents[node]] or flags[node] == HARD or soft
         article[node] = node if tags[node] in ("article", "main") and article[parents[node]] < 0 else article[parents[node]]
     blocks, places, ratios, linked = [], [], [], []
