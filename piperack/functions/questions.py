@@ -39,7 +39,7 @@ WEIGHTS = {
     "info": {"about": 3, "describe": 5, "description": 5, "info": 5, "information": 5, "details": 5, "detail": 5, "tell": 2, "is": 1, "what": 1, "explain": 4, "properties": 5},
 }
 #: What a question names: two tags speak for a way between them, a type without a tag for a list, a tag with hardly a word for that item.
-TWO_TAGS, BARE_TYPE, BARE_TAG, LEAST = 7, 4, 3, 2
+TWO_TAGS, BARE_TYPE, BARE_TAG, LEAST = 7, 4, 4, 4
 
 
 def _words(question: Column) -> Column:
@@ -96,7 +96,7 @@ def intents(questions: DataFrame, nodes: DataFrame) -> DataFrame:
         "list": (weigh("list", F.when(n == 0, BARE_TYPE).otherwise(0)), typed, F.lit("list")),
         "info": (weigh("info", F.when(F.size("words") <= 3 * n, BARE_TAG).otherwise(0)), n > 0, F.lit("info")),
     }
-    # a cue to which nothing else is added must weigh more than a hint
+    # hints alone are no question
     votes = [F.when(fits & (weight >= LEAST), F.struct(weight.alias("weight"), name.alias("kind"))) for weight, fits, name in worth.values()]
     kind = F.when(F.size("unsure") > 0, "ambiguous").otherwise(F.array_max(F.array(*votes))["kind"])
     read = read.withColumn("equipment_type", _type(F.col("names"))).withColumn("kind", kind)

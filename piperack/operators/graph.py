@@ -6,7 +6,7 @@ reverse of every unverified one, so that unverified flow can be walked both ways
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piperack.checkpoints import Grown, cut
@@ -30,49 +30,78 @@ def query_graph(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "verified").unionByName(backward.join(edges, ["src", "dst"], "left_anti"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """start, node for every node that the walks from ``starts`` (start) reach; a start is reached by a way back to it.
+#: Rows of a frontier that are broadcast at most; a larger one is joined by a shuffle.
+FRONTIER = 50_000
 
-    ``stop`` (node) has nodes that are reached but not walked on from; a start is always walked on from. Each level
-    joins the frontier with the edges and drops what is known; a checkpoint cuts the plan.
-    """
-    steps = edges.select("src", "dst")
-    front = starts.select("start", F.col("start").alias("node")).distinct()
-    seen = None
-    while True:
-        walked = front if seen is None or stop is None else front.join(stop, "node", "left_anti")
-        front = walked.join(steps, walked.node == steps.src).select("start", F.col("dst").alias("node")).distinct()
-        front = cut(front if seen is None else front.join(seen.whole, ["start", "node"], "left_anti"))
-        if seen is None:
-            seen = Grown(front)
-        elif front.isEmpty():
-            return seen.whole
-        else:
-            seen.add(front)
 
+def numbered_starts(starts: DataFrame, at_once: int = 2048) -> DataFrame:
+    """start, word, bit: a place in a word of 64 bits for every distinct start, some 32 words to a task."""
+    own = starts.select("start").distinct()
+    buckets = max(1, -(-own.count() // at_once))
+    bucket = F.pmod(F.xxhash64("start"), F.lit(buckets))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("start")) - 1
+    return own.withColumn("bucket", bucket).withColumn("place", place).select("start", (F.col("bucket") * (1 << 24) + F.floor(F.col("place") / 64)).alias("word"), F.expr("place % 64").alias("bit"))
 
-def flagged_closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None) -> DataFrame:
-    """start, node, verified: the closure over all edges and, flagged, the closure over verified ones, in one run of levels.
 
-    A node comes up once for its first way, and once more if a verified way to it is found later: one anti-join a level
-    drops what is known to be as good.
+def spread_bits(edges: DataFrame, front: DataFrame, on: list[str], stop: DataFrame | None = None) -> DataFrame:
+    """word, ``on``, bits, sure for what the walks from ``front`` (word, ``on``, bits, sure) reach: which of a word's starts
+    reach a node, and which by verified edges only.
+
+    ``on`` names a node, last, and what else edges (``on`` but for src in place of node, dst, verified) are told by. The
+    starts of a word share the levels. A level joins the new bits with the edges and drops those that are known: only
+    known rows of the nodes just met are looked up. A frontier of a checked size is broadcast, so that neither the edges
+    nor what is known is shuffled; a larger one is shuffled with them.
     """
-    steps = edges.select("src", "dst", F.col("verified").alias("sure"))
-    front = starts.select("start", F.col("start").alias("node"), F.lit(True).alias("verified")).distinct()
-    seen = None
-    while True:
-        walked = front if seen is None or stop is None else front.join(stop, "node", "left_anti")
-        front = walked.join(steps, walked.node == steps.src).groupBy("start", F.col("dst").alias("node")).agg(F.bool_or(F.col("verified") & F.col("sure")).alias("verified"))
+    lanes, seen, first = on[:-1], None, True
+    keys = ["word", *on]
+    small = lambda df, n: F.broadcast(df) if n <= FRONTIER else df
+    front = cut(front)
+    size = front.count()
+    while size:
+        walked = front if first or stop is None else front.join(stop, on, "left_anti")
+        steps = edges.withColumnRenamed("src", on[-1])
+        met = small(walked, size).join(steps, on).groupBy("word", *lanes, F.col("dst").alias(on[-1]))
+        met = met.agg(F.bit_or("bits").alias("bits"), F.bit_or(F.when(F.col("verified"), F.col("sure")).otherwise(F.lit(0).cast("long"))).alias("sure"))
         if seen is not None:
-            known = seen.whole.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("verified").alias("had"))
-            front = front.join(known, (F.col("start") == F.col("s")) & (F.col("node") == F.col("n")) & (F.col("had") | ~F.col("verified")), "left_anti")
-        front = cut(front)
+            met = cut(met)
+            size = met.count()
+            had = seen.whole.join(small(met.select(*keys), size), keys, "left_semi").groupBy(*keys).agg(F.bit_or("bits").alias("had"), F.bit_or("sure").alias("had_sure"))
+            fresh = lambda c: F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(F.col("had" if c == "bits" else "had_sure"), F.lit(0).cast("long"))))
+            met = met.join(had, keys, "left").select(*keys, fresh("bits").alias("bits"), fresh("sure").alias("sure")).where("bits <> 0 or sure <> 0")
+        front = cut(met)
+        size, first = front.count(), False
         if seen is None:
             seen = Grown(front)
-        elif front.isEmpty():
-            return seen.whole.groupBy("start", "node").agg(F.bool_or("verified").alias("verified"))
-        else:
+        elif size:
             seen.add(front)
+    return front if seen is None else seen.whole.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.bit_or("sure").alias("sure"))
+
+
+def _front(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = cut(numbered_starts(starts))
+    bit = F.expr("shiftleft(1L, bit)")
+    return own, own.groupBy("word", F.col("start").alias("node")).agg(F.bit_or(bit).alias("bits"), F.bit_or(bit).alias("sure"))
+
+
+def _unpacked(reached: DataFrame, own: DataFrame) -> DataFrame:
+    """start and the columns of ``reached`` but for its words, verified for whether the start's bit is sure."""
+    has = lambda c: F.expr(f"shiftright({c}, bit) & 1 = 1")
+    return reached.join(own, "word").where(has("bits")).withColumn("verified", has("sure")).drop("word", "bit", "bits", "sure")
+
+
+def closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """start, node for every node that the walks from ``starts`` (start) reach; a start is reached by a way back to it.
+
+    ``stop`` (node) has nodes that are reached but not walked on from; a start is always walked on from.
+    """
+    own, front = _front(starts)
+    return _unpacked(spread_bits(edges.select("src", "dst", F.lit(False).alias("verified")), front, ["node"], stop), own).select("start", "node")
+
+
+def flagged_closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """start, node, verified: the closure over all edges and, flagged, the closure over verified ones, in one run of levels."""
+    own, front = _front(starts)
+    return _unpacked(spread_bits(edges.select("src", "dst", "verified"), front, ["node"], stop), own).select("start", "node", "verified")
 
 
 def reach(graph: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
@@ -103,8 +132,6 @@ def relief_outcomes(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> Da
 
 def first_paths(paths: DataFrame, most: int = 5) -> DataFrame:
     """The ``most`` paths with fewest edges of each source and target, with their rank; ties in the order of their tags."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("source", "target").orderBy(F.size("path"), "path")
     return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -112,12 +139,12 @@ def first_paths(paths: DataFrame, most: int = 5) -> DataFrame:
 def isolation_boundary(graph: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, side: the nearest isolating valves each way, over drawn flow, verified or not."""
     ends, both = _of_types(nodes, ISOLATING), ("downstream", "upstream")
-    named = lambda side, c: F.concat(F.lit(f"{side} "), c)  # noqa: E731  # either side is a graph of its own, and one run walks both
-    steps = graph.select(named(both[0], F.col("src")).alias("src"), named(both[0], F.col("dst")).alias("dst")).union(graph.select(named(both[1], F.col("dst")), named(both[1], F.col("src"))))
-    twice = lambda df, c: df.select(F.explode(F.array(*[named(x, F.col(c)) for x in both])).alias(c))
-    found = closure(steps, twice(starts, "start"), twice(ends, "node")).join(twice(ends, "node"), "node", "left_semi").where("start <> node")
-    bare = lambda c: F.substr(F.col(c), F.locate(" ", F.col(c)) + 1)
-    return found.select(bare("start").alias("start"), bare("node").alias("node"), F.substring_index("start", " ", 1).alias("side"))
+    sides = lambda df: df.select(F.explode(F.array(*[F.lit(x) for x in both])).alias("side"), *df.columns)
+    flat = F.lit(False).alias("verified")
+    steps = graph.select(F.lit(both[0]).alias("side"), "src", "dst", flat).union(graph.select(F.lit(both[1]), F.col("dst"), F.col("src"), flat))  # one run walks both
+    own, front = _front(starts)
+    found = _unpacked(spread_bits(steps, sides(front), ["side", "node"], sides(ends)), own).join(ends, "node", "left_semi")
+    return found.where("start <> node").select("start", "node", "side")
 
 
 def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int = 12) -> DataFrame:
@@ -205,8 +232,6 @@ def fold_chains(chains: DataFrame) -> DataFrame:
     ``verified`` tells of the hop from an item to the next one. A connection goes from one item that isn't in line to
     the next such item, with the in-line tags between and the hops that are verified.
     """
-    from pyspark.sql import Window
-
     along = Window.partitionBy("chain").orderBy("pos")
     stop = ~F.col("equipment_type").isin(*IN_LINE)
     numbered = chains.withColumn("part", F.sum(F.when(stop, 1).otherwise(0)).over(along))

@@ -23,7 +23,7 @@ def _register(sql: str):
 
 def _load(spark, sf_dir):
     edges = graph.cut(s.edges(spark, sf_dir))
-    return s.nodes(spark, sf_dir), edges, graph.query_graph(edges)
+    return s.nodes(spark, sf_dir), edges, graph.cut(graph.query_graph(edges))  # walked once a level
 
 
 def _reach_sql(forward: bool) -> str:
