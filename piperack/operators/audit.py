@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piperack.checkpoints import cut
+
+#: Letters by which keywords are looked for in texts.
+LEAD = 3
+
 
 def rate(part: Column, whole: Column, empty: float) -> Column:
     """part / whole, or ``empty`` where there is nothing to divide by."""
@@ -27,8 +32,20 @@ def grounding_precision(texts: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, by: str, value: str, q: float) -> DataFrame:
-    """by, n, percentile: the ceil(q n)-th smallest value."""
-    return values.groupBy(by).agg(F.count(value).alias("n"), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("percentile"))
+    """by, n, percentile: the ceil(q n)-th smallest value.
+
+    Equal values are counted before anything is gathered, and the values of a group are summed up in ranges: a range is
+    one task's, and of the ranges only the sums are looked at together, so no group has all its values in one place."""
+    each = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("times"))
+    cut_ = cut(each.repartitionByRange(by, value).withColumn("range", F.spark_partition_id()))
+    ranges = cut_.groupBy(by, "range").agg(F.sum("times").alias("held"))
+    before = ranges.withColumns({"before": F.coalesce(F.sum("held").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("held").over(Window.partitionBy(by))})
+    want = F.ceil(F.col("n") * q - 1e-9)
+    hit = before.where((F.col("before") < want) & (F.col("before") + F.col("held") >= want)).select(by, "range", "before", "n")
+    upto = cut_.join(hit, [by, "range"]).withColumn("upto", F.col("before") + F.sum("times").over(Window.partitionBy(by).orderBy(value)))
+    found = upto.where(F.col("upto") >= want).groupBy(by, "n").agg(F.min(value).alias("percentile"))
+    empty = values.groupBy(by).agg(F.count(value).alias("n")).where("n = 0").select(by, "n", F.lit(None).cast(values.schema[value].dataType).alias("percentile"))
+    return found.select(by, "n", "percentile").union(empty)
 
 
 def fabrication(findings: DataFrame, by: str) -> DataFrame:
@@ -82,8 +99,26 @@ def slot_recall(gold: DataFrame, rows: DataFrame) -> DataFrame:
 
     An item is matched if in some text of its slot all keywords of one of its alternatives stand; recall of nothing is 1.
     """
-    text = F.lower("text")
-    hit = F.exists("match_any", lambda words: F.forall(words, lambda w: F.contains(text, F.lower(w))))
-    found = gold.join(rows, ["label", "slot"], "left").groupBy("label", "slot", "item").agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("hit"))
+    items = gold.groupBy("label", "slot", "item").agg(F.flatten(F.collect_list("match_any")).alias("match_any"))
+    ways = items.select("label", "slot", "item", F.posexplode("match_any").alias("way", "words")).withColumn("words", F.filter(F.transform("words", F.lower), lambda w: w != ""))
+    words = cut(ways.select(F.explode("words").alias("word")).distinct())
+    # a keyword may stand anywhere in a text, within words and across them, so it is looked for by its first letters
+    leads = words.select(F.substring("word", 1, LEAD).alias("lead"), "word")
+    texts = cut(rows.select("label", "slot", F.xxhash64("text").alias("text_id"), F.lower("text").alias("text")).where("text is not null").distinct())
+    places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, LEAD + 1)]), lambda n: F.transform(places, lambda i: F.substr(F.col("text"), i, n)))))
+    near = texts.select("label", "slot", "text_id", "text", F.explode(grams).alias("lead")).join(leads.select("lead").distinct(), "lead", "left_semi")
+    met = cut(near.join(leads, "lead").where(F.contains("text", F.col("word"))).select("label", "slot", "text_id", "word").distinct())
+    # an alternative's rarest word leads to the texts, which must have the others too
+    counts = met.groupBy("label", "slot", "word").agg(F.count(F.lit(1)).alias("texts"))
+    needed = ways.select("label", "slot", "item", "way", F.array_distinct("words").alias("words"), F.explode(F.array_distinct("words")).alias("word")).join(counts, ["label", "slot", "word"], "left")
+    rarest = needed.groupBy("label", "slot", "item", "way", "words").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word")).alias("r")).where("r.texts > 0").select("label", "slot", "item", "way", "words", F.col("r.word").alias("word"))
+    single = rarest.where(F.size("words") == 1).select("label", "slot", "item")
+    several = rarest.where(F.size("words") > 1).select("label", "slot", "words", "word").distinct().join(met, ["label", "slot", "word"])
+    both = several.select("label", "slot", "words", "text_id", F.explode("words").alias("word")).join(met, ["label", "slot", "text_id", "word"]).groupBy("label", "slot", "words", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = both.where(F.col("n") == F.size("words")).select("label", "slot", "words").distinct()
+    always = ways.where(F.size("words") == 0).select("label", "slot", "item").join(texts.select("label", "slot").distinct(), ["label", "slot"], "left_semi")
+    hits = single.union(rarest.join(kept, ["label", "slot", "words"], "left_semi").select("label", "slot", "item")).union(always).distinct().withColumn("hit", F.lit(1))
+    found = items.select("label", "slot", "item").join(hits, ["label", "slot", "item"], "left").fillna({"hit": 0})
     sums = found.groupBy("label", "slot").agg(F.count(F.lit(1)).alias("expected"), F.sum("hit").alias("matched"))
     return sums.select("label", "slot", "expected", "matched", F.round(rate(F.col("matched"), F.col("expected"), 1.0), 6).alias("recall"))

@@ -110,12 +110,13 @@ def top(fused: DataFrame, k: int = 5, digits: int = 3) -> DataFrame:
     return ranked.select("query_id", "rank", "chunk_id", F.round(F.col("fused") / best, digits).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, id: str, vector: str) -> DataFrame:
-    """query_id, chunk_id, score: cosines of given vectors, by their components, as for hashed ones; zero vectors have none."""
+def unit_cells(rows: DataFrame, id: str, vector: str, key: str) -> DataFrame:
+    """``key``, bucket, value: given vectors at unit length, by their components; zero vectors have none."""
+    spread = rows.select(F.col(id).alias(key), F.posexplode(vector).alias("bucket", "raw")).where("raw <> 0").select(key, "bucket", F.col("raw").cast("double").alias("raw"))
+    return spread.select(key, "bucket", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("value"))
 
-    def cells(rows: DataFrame, key: str) -> DataFrame:
-        spread = rows.select(F.col(id).alias(key), F.posexplode(vector).alias("bucket", "raw")).where("raw <> 0").select(key, "bucket", F.col("raw").cast("double").alias("raw"))
-        return spread.select(key, "bucket", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("v"))
 
-    left, right = cells(vectors, "chunk_id"), cells(queries, "query_id").withColumnRenamed("v", "w")
-    return left.join(right, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+def dense(vectors: DataFrame, queries: DataFrame, id: str, vector: str) -> DataFrame:
+    """query_id, chunk_id, score: cosines of given vectors, by their components, as for hashed ones; zero vectors have none."""
+    left, right = unit_cells(vectors, id, vector, "chunk_id"), unit_cells(queries, id, vector, "query_id").withColumnRenamed("value", "w")
+    return left.join(right, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("value") * F.col("w")).alias("score"))

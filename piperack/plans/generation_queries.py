@@ -124,11 +124,10 @@ scored AS (SELECT label AS query_id, vec_id AS chunk_id, round(sum(v.x * q.x), 6
 SELECT query_id, chunk_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""")
 def kb_dense_embeddings(spark, sf_dir):
     """The mean vector of each label asks for its ten nearest rows."""
-    from pyspark.sql import Window
+    from piperack.operators import search
 
     rows = s.table(spark, sf_dir, "embeddings")
     means = rows.select("label", F.posexplode("embedding").alias("p", "x")).groupBy("label", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda c: c["x"]).alias("embedding"))
-    scored = retrieval.dense(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), means.withColumnRenamed("label", "vec_id"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("r", rank).where("r <= 10").select("query_id", "chunk_id", "score")
+    own = search.rows_of(retrieval.unit_cells(rows, "vec_id", "embedding", "chunk_id"))
+    return search.top_by_cosine(own, retrieval.unit_cells(means, "label", "embedding", "query_id"), 64, 10, 6).drop("rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from piperack.operators import retrieval as r
+from piperack.operators import search
 from piperack.plans import standins as s
 
 QUERIES: dict = {}
@@ -74,7 +75,9 @@ def kb_hash_embed(spark, sf_dir):
 
 @_register(f"WITH {s.CHUNKS_SQL}, {s.VECTORS_SQL} {_top('cosine', 20, 6)}")
 def kb_cosine_topk(spark, sf_dir):
-    return _ranked(r.cosine(s.indexed(spark, sf_dir), s.asked(spark, sf_dir)), 20, 6)
+    cells = lambda df, id, text: r.hashed_vector(df, id, text).select(id, "bucket", "value")
+    rows = search.rows_of(cells(s.indexed(spark, sf_dir), "chunk_id", "text"))
+    return search.top_by_cosine(rows, cells(s.asked(spark, sf_dir), "query_id", "query"), r.DIM, 20, 6)
 
 
 def _fused(spark, sf_dir):
@@ -103,5 +106,6 @@ def kb_boosted(spark, sf_dir):
 @_register(f"""WITH {s.CHUNKS_SQL}, {s.VECTORS_SQL}, {s.FUSED_SQL}, {_BOOSTED_SQL}, final AS (SELECT query_id, chunk_id, round(fused, 9) AS fused FROM boosted)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank, chunk_id, round(fused / max(fused) OVER (PARTITION BY query_id), 3) AS score FROM final QUALIFY rank <= 5""")
 def kb_search(spark, sf_dir):
-    found = r.top(_boosted(spark, sf_dir).withColumn("fused", F.round("fused", 9)), 5)
-    return found.withColumn("rank", F.col("rank").cast("long"))
+    chunks = s.indexed(spark, sf_dir)
+    boosts = chunks.select("chunk_id", r.boost(F.array(F.upper("lang")), F.array("source"), F.lit("en"), F.lit("src3")).alias("boost"))
+    return search.search(chunks, s.asked(spark, sf_dir), boosts).withColumn("rank", F.col("rank").cast("long"))
