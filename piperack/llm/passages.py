@@ -9,9 +9,10 @@ Larger ones, as frequent lines or families of copies make, are split by sub-keys
 enough 41 of 46 tokens are the same, so but for texts that repeat a few words over and over 25 words in a row are, and
 the runs of 18 words that are marked near the windows of such a group are chosen so that those share a mark. Groups of
 one mark are paired as before where they are small; else members are told by the tokens around the run, some 340 bytes,
-and those that differ go with the smallest and with the largest key, and then with every one that shares a longer
-sub-key, which spans 45 words, and isn't yet in their connected component. So a pair is left out only where a chain of
-verified links joins its texts already, and lines of fewer than 45 words that many texts share make no pairs.
+and those that differ go with the smallest and with the largest key. Where sub-keys, which span 45 words, still meet in
+several connected components, they are drawn out to whole passages: members of one such key are similar all with all, so
+each goes with one of them. So a pair is left out only where a chain of verified links joins its texts already, no key
+takes all its pairs, and lines that many texts share make as many pairs as texts.
 
 The windows of a pair are joined as intervals: two windows with one min-hash allow a range of starts along their
 alignment, and starts that enough functions cover, or a marked run, are candidates. Only then the texts are joined, and
@@ -342,8 +343,35 @@ def common_starts(one: np.ndarray, other: np.ndarray, passage: int = PASSAGE, si
     return first - room, last - room
 
 
-def edit_keys(contexts: np.ndarray, marks: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """context, key and if it is plain of the keys that contexts of one mark share if they share a similar passage.
+class _Parts:
+    """Hashes of stretches of words of contexts, and if the texts have them."""
+
+    def __init__(self, contexts: np.ndarray):
+        self.width = width = contexts.shape[1]
+        self.prefix, self.power = np.zeros((len(contexts), width + 1), np.uint64), np.multiply.accumulate(np.array([1, *[_BASE] * width], np.uint64))
+        self.there = np.zeros((len(contexts), width + 1), np.int32)
+        for t in range(width):
+            self.prefix[:, t + 1] = self.prefix[:, t] * _BASE + contexts[:, t]
+            self.there[:, t + 1] = self.there[:, t] + (contexts[:, t] > 0)
+
+    def of(self, first: int, words: int, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of so many words from a token on, and if the text has them."""
+        last = first + words - SHINGLE + 1
+        if first < 0 or last > self.width:
+            return self.prefix[rows, 0], np.zeros(len(self.prefix[rows]), bool)
+        return self.prefix[rows, last] - self.prefix[rows, first] * self.power[last - first], self.there[rows, last] - self.there[rows, first] == last - first
+
+
+def _keyed(marks: np.ndarray, tag: int, *parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each mark, tag and stretches, and if all of these are there."""
+    key, ok = marks * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag), np.ones(len(marks), bool)
+    for value, inside in parts:
+        key, ok = (key ^ (key >> np.uint64(29))) * _BASE + value, ok & inside
+    return key, ok
+
+
+def edit_keys(contexts: np.ndarray, marks: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """context, key, if it is plain, and its code of the keys that contexts of one mark share if they share a similar passage.
 
     Of the 46 tokens of a passage 5 may differ. So two similar passages are the same but for five words at the ends,
     and share 45 words in a row from one of the ``SAME - RUN_WORDS + 1`` words before their first mark; or but for one
@@ -351,38 +379,53 @@ def edit_keys(contexts: np.ndarray, marks: np.ndarray, passage: int = PASSAGE) -
     mark next to the word is as near to it, and the other side. A key of the second kind takes a side of 25, 30, 35 or
     40 words with 20, 15, 10 or 5 words of the other one, either after one word (not plain) or at once (plain); two
     plain keys only say that the words go on. Every key spans 45 words, so lines of fewer words share none."""
-    width, mid, slack = contexts.shape[1], passage - RUN_WORDS + _BAND, SAME - RUN_WORDS + 1
-    prefix, power = np.zeros((len(contexts), width + 1), np.uint64), np.multiply.accumulate(np.array([1, *[_BASE] * width], np.uint64))
-    there = np.zeros((len(contexts), width + 1), np.int32)
-    for t in range(width):
-        prefix[:, t + 1] = prefix[:, t] * _BASE + contexts[:, t]
-        there[:, t + 1] = there[:, t] + (contexts[:, t] > 0)
-
-    def part(first: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of so many words from a token on, and if the text has them."""
-        last = first + words - SHINGLE + 1
-        if first < 0 or last > width:
-            return prefix[:, 0], np.zeros(len(contexts), bool)
-        return prefix[:, last] - prefix[:, first] * power[last - first], there[:, last] - there[:, first] == last - first
-
-    found = []
-    mixed = marks * np.uint64(0xD6E8FEB86659FD93)
+    mid, slack, parts, found = passage - RUN_WORDS + _BAND, SAME - RUN_WORDS + 1, _Parts(contexts), []
 
-    def put(tag: int, plain: bool, *parts: tuple[np.ndarray, np.ndarray]) -> None:
-        key, ok = mixed + np.uint64(tag), np.ones(len(contexts), bool)
-        for value, inside in parts:
-            key, ok = (key ^ (key >> np.uint64(29))) * _BASE + value, ok & inside
+    def put(code: int, tag: int, plain: bool, *stretches: tuple[np.ndarray, np.ndarray]) -> None:
+        key, ok = _keyed(marks, tag, *stretches)
         at = np.flatnonzero(ok)
-        found.append((at, key[at], np.full(len(at), plain)))
+        found.append((at, key[at], np.full(len(at), plain), np.full(len(at), code, np.int32)))
 
     for o in range(slack):
-        put(1, False, part(mid - o, passage - SHINGLE))
+        put(64 * o, 1, False, parts.of(mid - o, passage - SHINGLE))
         for n, side in enumerate(range(SAME, passage - SHINGLE, SHINGLE)):
             rest = passage - SHINGLE - side
             after, before = mid + RUN_WORDS + o, mid - o  # the first word after the longer side, and its own first word
             for plain, gap in ((False, 1), (True, 0)):
-                put(2 + n, plain, part(after - side, side), part(after + gap, rest))
-                put(12 + n, plain, part(before, side), part(before - gap - rest, rest))
+                put(64 * o + 1 + 4 * n + plain, 2 + n, plain, parts.of(after - side, side), parts.of(after + gap, rest))
+                put(64 * o + 3 + 4 * n + plain, 12 + n, plain, parts.of(before, side), parts.of(before - gap - rest, rest))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def full_keys(contexts: np.ndarray, marks: np.ndarray, at: np.ndarray, codes: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """context, key and if it is plain of what the keys with these ``codes`` of contexts ``at`` lack to a whole passage.
+
+    45 words in a row are those of a passage that begins 0 to 5 words before them, if the text has it. Two sides of 45
+    words are continued by the four words, in any share at either end, that a passage with one word changed must have in
+    common besides. So contexts of one full key, unless both are plain, share a passage that is similar enough, all
+    with all; and similar passages share a full key."""
+    mid, parts, found = passage - RUN_WORDS + _BAND, _Parts(contexts), []
+    order = np.argsort(codes, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []:
+        code, own = int(codes[rows[0]]), at[rows]
+        o, kind = divmod(code, 64)
+        tries = []
+        if not kind:
+            run = parts.of(mid - o, passage - SHINGLE, own)
+            tries = [(100 + i, (run, (np.zeros(len(own), np.uint64), parts.of(mid - o - i, passage, own)[1]))) for i in range(SHINGLE + 1)]
+        else:
+            n, (back, plain) = (kind - 1) // 4, divmod((kind - 1) % 4, 2)
+            side, gap, after, before = SAME + SHINGLE * n, 1 - plain, mid + RUN_WORDS + o, mid - o
+            rest = passage - SHINGLE - side
+            for i in range(SHINGLE):
+                more = SHINGLE - 1 - i
+                both = (parts.of(before, side + i, own), parts.of(before - gap - rest - more, rest + more, own)) if back else (parts.of(after - side - i, side + i, own), parts.of(after + gap, rest + more, own))
+                tries.append((200 + 64 * i + 2 * n + back, both))
+        for tag, stretches in tries:
+            key, ok = _keyed(marks[own], tag, *stretches)
+            found.append((own[ok], key[ok], np.full(int(ok.sum()), bool(kind and plain))))
+    if not found:
+        return np.empty(0, int), np.empty(0, np.uint64), np.empty(0, bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -728,20 +771,34 @@ def near_duplicate_passages(docs: DataFrame, text: str = "text", id: str = "doc_
     apart = kept(apart.select("hash", "component", "context", "m.key", "m.places"))
     if not apart.isEmpty():
 
-        @F.arrow_udf("array<struct<k:bigint,plain:boolean>>")
+        def contexts_in(contexts: pa.Array) -> np.ndarray:
+            return np.frombuffer(b"".join(contexts.to_pylist()), np.uint32).reshape(len(contexts), -1) if len(contexts) else np.empty((0, _span(passage)), np.uint32)
+
+        @F.arrow_udf("array<struct<k:bigint,plain:boolean,code:int>>")
         def keys_of(contexts: pa.Array, marks: pa.Array) -> pa.Array:
-            rows = np.frombuffer(b"".join(contexts.to_pylist()), np.uint32).reshape(len(contexts), -1) if len(contexts) else np.empty((0, _span(passage)), np.uint32)
-            at, key, plain = edit_keys(rows, marks.to_numpy().view(np.uint64), passage)
+            at, key, plain, code = edit_keys(contexts_in(contexts), marks.to_numpy().view(np.uint64), passage)
+            order = np.argsort(at, kind="stable")
+            flat = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(plain[order]), pa.array(code[order])], names=["k", "plain", "code"])
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(len(contexts) + 1)), pa.int32()), flat)
+
+        @F.arrow_udf("array<struct<k:bigint,plain:boolean>>")
+        def full_keys_of(contexts: pa.Array, marks: pa.Array, codes: pa.Array) -> pa.Array:
+            asked = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy())
+            at, key, plain = full_keys(contexts_in(contexts), marks.to_numpy().view(np.uint64), asked, codes.flatten().to_numpy(), passage)
             order = np.argsort(at, kind="stable")
             flat = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(plain[order])], names=["k", "plain"])
             return pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(len(contexts) + 1)), pa.int32()), flat)
 
-        one = apart.select(F.xxhash64("hash", "component", "context").alias("row"), "component", F.explode(keys_of("context", "hash")).alias("e")).select("row", "component", "e.k", "e.plain")
-        several = one.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("plain").alias("all_plain")).where("x <> y and not all_plain").select("k")
-        near = kept(one.join(several, "k"))
-        also = near.select("k", *[F.col(c).alias(f"_{c}") for c in ("row", "component", "plain")])
-        pairs = kept(near.join(also, "k").where("row < _row and component <> _component and not (plain and _plain)").select("row", "_row").distinct())
-        rows_of = apart.withColumn("row", F.xxhash64("hash", "component", "context")).drop("component")
+        several = lambda keys: keys.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("plain").alias("all_plain"), F.min(F.struct("plain", "row", "component")).alias("hub")).where("x <> y and not all_plain")
+        apart = kept(apart.withColumn("row", F.xxhash64("hash", "component", "context")))
+        one = apart.select("row", "component", F.explode(keys_of("context", "hash")).alias("e")).select("row", "component", "e.k", "e.plain", "e.code")
+        codes = one.join(several(one).select("k"), "k", "left_semi").groupBy("row").agg(F.collect_set("code").alias("codes"))  # of some hundred codes
+        full = apart.join(codes, "row").select("row", "component", F.explode(full_keys_of("context", "hash", "codes")).alias("e")).select("row", "component", "e.k", "e.plain")
+        full = kept(full)
+        # all of a full key share a passage, so each goes with one of them that isn't plain, and no key takes its pairs
+        hubs_of = several(full).select("k", F.col("hub.row").alias("_row"), F.col("hub.component").alias("_component"))
+        pairs = kept(full.join(hubs_of, "k").where("component <> _component").select("row", "_row").distinct())
+        rows_of = apart.drop("component")
         x = pairs.join(rows_of.drop("hash"), "row").withColumn("pair", F.xxhash64("row", "_row")).drop("row", "_row")
         y = pairs.join(rows_of.drop("hash").withColumnRenamed("row", "_row"), "_row").withColumn("pair", F.xxhash64("row", "_row")).drop("row", "_row")
         more = met(x, y, F.expr("key <> _key"), ("pair",))

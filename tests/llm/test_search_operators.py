@@ -323,6 +323,9 @@ def test_a_bound_thins_the_rows_of_a_shard():
     assert ann._top(ask(0.5), rows, 5).column("vec_id").to_pylist() == [1, 2]
 
 
+COMMON = passages.common_starts
+
+
 def edited(rng, n=50):
     """Two texts around a passage of n words, in one of which a word is replaced, put in or left out."""
     prose = lambda k: [f"e{rng.randrange(10**9)}" for _ in range(k)]
@@ -345,13 +348,37 @@ def test_contexts_show_what_whole_texts_show_and_share_a_key():
         first, last = passages.common_starts(contexts[[a[m] for m in both]], contexts[[b[m] for m in both]])
         runs = passages._merged([(int(place[a[m]] + x), int(place[a[m]] + y + 49)) for m, x, y in zip(both, first, last, strict=True) if x <= y])
         assert runs == brute_passages(one.decode(), other.decode())[0]
-        at, key, plain = passages.edit_keys(contexts, mark)
-        found = [{(int(k), bool(p)) for t, k, p in zip(at, key, plain, strict=True) if who[t] == text} for text in (0, 1)]
-        keys = {k for k, p in found[0] for k2, p2 in found[1] if k == k2 and not (p and p2)} if runs else set()
-        linked, shared = linked + bool(runs), shared + bool(keys)
+        at, key, plain, code = passages.edit_keys(contexts, mark)
+        of_text = lambda at, key, plain: [{(int(k), bool(p)) for t, k, p in zip(at, key, plain, strict=True) if who[t] == text} for text in (0, 1)]
+        met = lambda found: {k for k, p in found[0] for k2, p2 in found[1] if k == k2 and not (p and p2)}
+        full = met(of_text(*passages.full_keys(contexts, mark, at, code)))
+        assert bool(full) <= bool(runs)  # a full key is shared by none that don't share a passage
+        linked, shared = linked + bool(runs), shared + bool(full and met(of_text(at, key, plain)))
     assert linked > 60 and shared == linked
 
 
+def test_lines_with_a_word_that_varies_make_no_pairs(spark, monkeypatch):
+    """Texts of their own around one line of 46 words, one of which varies, and of 60: rows asked for grow as texts do."""
+    rng = random.Random(53)
+    prose = lambda k: [f"y{rng.randrange(10**9)}" for _ in range(k)]
+    line, longer = prose(46), prose(60)
+
+    def texts(n):
+        return [" ".join(prose(60) + line[:23] + [f"v{k}"] + line[24:] + prose(60)) for k in range(n)]
+
+    def pairs_of(rows):
+        asked = []
+        monkeypatch.setattr(passages, "common_starts", lambda a, b, *more: asked.append(len(a)) or COMMON(a, b, *more))
+        starts = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1))
+        return sorted((r.doc_id, r.class_id) for r in starts.collect())
+
+    assert pairs_of(texts(40)) == []
+    near = [" ".join(prose(60) + longer[:k] + ["other"] + longer[k + 1 :] + prose(60)) for k in range(2, 58, 4)]
+    alike = [" ".join(prose(60) + line[:23] + ["both"] + line[24:] + longer[:6] + prose(60)) for _ in range(2)]
+    found = pairs_of(texts(30) + near + alike)
+    assert {c for d, c in found if 30 <= d < 44} == {30} and (44, 44) in found and (45, 44) in found and all(d >= 30 for d, _ in found)
+
+
 def test_windows_that_stand_equally_far_apart_show_as_much_when_joined_as_one():
     rng = random.Random(47)
     line = [f"k{i}" for i in range(14)]
