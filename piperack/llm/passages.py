@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piperack.llm.decontamination import words_of
-from piperack.llm.shared import connected_components, kept, removed, stored
+from piperack.llm.shared import connected_components, freed, kept, removed, stored
 from piperack.llm.textcut import raw_rows
 
 #: Words of a token, words of the shortest passage, hash functions, functions that must agree, and the similarity.
@@ -710,8 +710,10 @@ def near_duplicate_passages(docs: DataFrame, text: str = "text", id: str = "doc_
     few, many = key_filter(groups, "hash"), key_filter(groups.where(F.col("count") > GROUP), "hash")
     marks, path = stored(texts.select("key", F.explode(shared_marks(F.col("text"), few, many, passage)).alias("m")).select("key", "m.hash", "m.windows"))
     counts = kept(marks.groupBy("hash").count().where("count > 1"))
-    members = kept(marks.where(may_be_in(key_filter(counts, "hash"), "hash")).join(counts, "hash"))
+    members, members_path = stored(marks.where(may_be_in(key_filter(counts, "hash"), "hash")).join(counts, "hash"))
     removed(docs.sparkSession, path)
+    del marks, counts
+    freed(docs.sparkSession)
     small, many_of = members.where(F.col("count") <= GROUP).drop("count"), members.where(F.col("count") > GROUP)
     crowded, holders = kept(many_of.select("hash").distinct()), kept(many_of.select("key").distinct())
     wanted = key_filter(crowded, "hash")
@@ -724,6 +726,8 @@ def near_duplicate_passages(docs: DataFrame, text: str = "text", id: str = "doc_
     ends = kinds.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     hubs = kinds.join(ends, "hash").where("key = low or key = high").groupBy("hash", "key").agg(F.min(F.struct("context", "places")).alias("m"))
     hubs = kept(hubs.select("hash", "key", "m.context", "m.places"))
+    del told, ends
+    freed(docs.sparkSession)
 
     @F.arrow_udf("struct<first:int,last:int>")
     def common(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -757,14 +761,21 @@ def near_duplicate_passages(docs: DataFrame, text: str = "text", id: str = "doc_
         both = one.join(members.select(F.col("key").alias("b"), "hash", F.col("windows").alias("wb")), ["b", "hash"])
         shared = both.groupBy("a", "b").agg(F.collect_list(F.struct("hash", F.col("wa").alias("a"), F.col("wb").alias("b"))).alias("shared"))  # of one pair of texts
         likely = kept(shared.select("a", "b", candidate_starts(F.col("shared"), passage).alias("starts")).where(F.size("starts") > 0))
+        del own, bits, pairs, one, both, shared  # what the largest shuffles have written isn't read again
+        freed(docs.sparkSession)
         wanted = kept(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct())
         held = kept(texts.where(may_be_in(key_filter(wanted, "key"), "key")).join(wanted, "key", "left_semi"))
         both = likely.join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         return kept(both.select("a", "b", compared("ta", "tb", "starts").alias("runs")).where(F.size("runs.a") > 0))
 
     links = verified(small)
+    del small, many_of, members
+    removed(docs.sparkSession, members_path)
+    freed(docs.sparkSession)
     links = links.union(met(large, kinds, F.expr("key <> _key"), ("hash", "kind"))).union(met(kinds, hubs, F.expr("key <> _key")))
     classes = connected_components(links.select("a", "b").distinct())
+    del large, hubs
+    freed(docs.sparkSession)
     told = kept(kinds.drop("kind").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     mixed = told.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hash")
     apart = told.join(mixed, "hash", "left_semi").groupBy("hash", "component", "context").agg(F.min(F.struct("key", "places")).alias("m"))

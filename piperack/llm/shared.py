@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from uuid import uuid4
 
@@ -42,6 +43,13 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and checkpoints of tables that nothing refers to any more: it does so when the driver
+    collects its garbage, which one with memory to spare may put off for longer than the disks last."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for every node of ``edges`` (a, b).
 
