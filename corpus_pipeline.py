@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its caller writes that as Parquet and reads it again as
 the next stage's docs. All but the last return the columns of ``documents``.
+
+Cases: a null or empty text is scored, fingerprinted and encoded as an empty one and has nothing to decontaminate or to
+replace, so its document stays if the classifier lets it; a document that loses all its words to decontamination goes;
+documents of any length are taken whole; of documents that link, repeated texts among them, the smallest id stays, and of
+its rows one; empty tables give empty results; without labels the classifier rejects nothing that it can't tell. Columns
+other than those of ``documents`` are passed on by all stages but the last, which returns those it names.
 """
 
 from __future__ import annotations

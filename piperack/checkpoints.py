@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to spark.checkpoint.dir; a temporary folder is set only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, set for the session, on a local master only."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -15,6 +15,8 @@ STANDARDS = ("IEC", "ISO", "ISA", "API", "ANSI", "OSHA", "NFPA", "CFR", "ASME",
 NO_VALUE = ("", "null", "none", "nil", "n/a", "na", "-")
 STATUSES = ("done", "partial", "todo", "blocked", "out_of_scope")
 PROVENANCE = {"accepted": "ai_generated_human_approved", "edited": "ai_generated_human_modified"}
+# Fixed value: the shape of a tag, which results depend on; digits and edges are those of ASCII words, so that it reads alike
+# in Java's and in DuckDB's expressions.
 TAG = r"(?<![A-Za-z0-9_])[A-Z]{1,4}-[A-Z]{0,3}[0-9]{1,5}[A-Z]{0,2}(?![A-Za-z0-9_])"
 
 

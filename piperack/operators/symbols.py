@@ -90,3 +90,19 @@ def capsules(arcs: DataFrame) -> DataFrame:
         "x1": F.when(flat, F.greatest("x", "o_x")).otherwise(F.col("x")) + r, "y1": F.when(flat, F.col("y")).otherwise(F.greatest("y", "o_y")) + r,
     }
     return found.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(r, 1).alias("r"), F.when(flat, "H").otherwise("V").alias("orientation"), *[F.round(x, 1).alias(c) for c, x in box.items()])
+
+
+def merged_nozzles(nozzles: DataFrame, edges: DataFrame, distance: float = 8.0) -> tuple[DataFrame, DataFrame]:
+    """``nozzles`` (page, id, owner, x, y, label) and ``edges`` (id, a, b) with nozzles of one owner nearer than ``distance`` to the
+    first of them as one: the first that has a label, else the first. Edges follow, and those within one nozzle go.
+
+    A nozzle goes with the earliest one in reach that leads, so a row of nozzles is never one for its links alone."""
+    own = F.struct("page", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"))
+    led = leaders(nozzles.select(own.alias("page"), "id", "x", "y"), distance, [], strict=True)
+    labels = nozzles.select("id", F.col("label").isNull().alias("bare"))
+    keepers = led.join(labels, "id").groupBy("page", "leader").agg(F.min(F.struct("bare", "id"))["id"].alias("kept"))
+    named = cut(led.join(keepers, ["page", "leader"]).select("id", "kept"))
+    moved = named.where("id <> kept")
+    for end in ("a", "b"):
+        edges = edges.join(moved.select(F.col("id").alias(end), F.col("kept").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return nozzles.join(moved.select("id"), "id", "left_anti").select(*nozzles.columns), edges.where("a <> b")

@@ -28,24 +28,28 @@ def stage_a(findings: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def stage_b(citations: DataFrame) -> DataFrame:
-    """outcome, kept citations and confidence for citations(finding_id, verdict, confidence).
+    """outcome, kept, unchecked and confidence for citations(finding_id, verdict, confidence).
 
     A contradicted citation rejects the finding; others that aren't supported are stripped, and only then does the
-    confidence fall to what the rest supports, or to 0.3 where nothing is left.
+    confidence fall to what the rest supports, or to 0.3 where nothing is left. A citation without a verdict is
+    unchecked: it stays and supports nothing, and a finding of such citations alone is unchecked itself.
     """
-    verdict = F.coalesce("verdict", F.lit("insufficient"))
+    is_ = lambda v: F.sum(F.coalesce(F.col("verdict") == v, F.lit(False)).cast("int"))
     sums = citations.groupBy("finding_id").agg(
         F.count(F.lit(1)).alias("cited"),
-        F.sum((verdict == "supported").cast("int")).alias("kept"),
-        F.bool_or(verdict == "contradicted").alias("bad"),
+        is_("supported").alias("kept"),
+        F.sum(F.col("verdict").isNull().cast("int")).alias("unchecked"),
+        (is_("contradicted") > 0).alias("bad"),
         F.max("confidence").alias("old"),
     )
+    lost = F.col("kept") + F.col("unchecked") < F.col("cited")
     fallen = F.round(F.least("old", F.when(F.col("kept") > 0, 0.4 + 0.15 * F.col("kept")).otherwise(0.3)), 3)
     return sums.select(
         "finding_id",
-        F.when(F.col("bad"), "rejected").when(F.col("kept") == 0, "unsupported inference").when(F.col("kept") < F.col("cited"), "stripped").otherwise("released").alias("outcome"),
+        F.when(F.col("bad"), "rejected").when(F.col("unchecked") == F.col("cited"), "unchecked").when((F.col("kept") == 0) & lost, "unsupported inference").when(lost, "stripped").otherwise("released").alias("outcome"),
         F.when(F.col("bad"), 0).otherwise(F.col("kept")).alias("kept"),
-        F.when(F.col("bad"), F.lit(None)).when(F.col("kept") < F.col("cited"), fallen).otherwise(F.col("old")).alias("confidence"),
+        F.col("unchecked").cast("long").alias("unchecked"),
+        F.when(F.col("bad"), F.lit(None)).when(lost, fallen).otherwise(F.col("old")).alias("confidence"),
     )
 
 

@@ -69,20 +69,21 @@ sums AS (SELECT chain, count(*) AS n, count(*) FILTER (WHERE detail IN ('verifie
 SELECT h.chain AS question_id, CASE k WHEN 9 THEN 'unknown tag' WHEN 10 THEN 'unread' ELSE 'ok' END AS status,
   CASE k WHEN 0 THEN 'downstream' WHEN 1 THEN 'upstream' WHEN 2 THEN 'path' WHEN 3 THEN 'neighbours' WHEN 4 THEN 'relief' WHEN 5 THEN 'info' WHEN 6 THEN 'list' WHEN 7 THEN 'count' WHEN 10 THEN NULL ELSE 'downstream' END AS kind,
   CASE WHEN k IN (0, 2, 3, 4, 5, 8) THEN 'Q-' || h.chain || '-1' WHEN k = 1 THEN 'Q-' || h.chain || '-' || h.n WHEN k = 9 THEN 'Z-' || h.chain || '-1' END AS tag,
-  CASE WHEN k IN (9, 10) THEN NULL WHEN k = 6 THEN (SELECT count(*) FROM items WHERE equipment_type = 'vessel') WHEN k = 7 THEN 1 ELSE coalesce(s.n, 0) END AS rows,
-  CASE WHEN k IN (9, 10) THEN NULL WHEN k IN (6, 7) THEN 0 ELSE coalesce(verified, 0) END AS verified,
+  CASE WHEN k IN (9, 10) THEN 0 WHEN k = 6 THEN (SELECT count(*) FROM items WHERE equipment_type = 'vessel') WHEN k = 7 THEN 1 ELSE coalesce(s.n, 0) END AS rows,
+  CASE WHEN k IN (9, 10) THEN 0 WHEN k IN (6, 7) THEN 0 ELSE coalesce(verified, 0) END AS verified,
   CASE WHEN k = 4 THEN CASE WHEN sure THEN 'verified' WHEN sure IS NOT NULL THEN 'drawn' WHEN valves > 0 THEN 'not credited' ELSE 'none' END END AS outcome
 FROM heads h LEFT JOIN sums s USING (chain) LEFT JOIN relief USING (chain)""")
 def g_answers(spark, sf_dir):
     """The envelope of every question."""
     found, _ = _answered(spark, sf_dir)
-    return found.envelopes.select("question_id", "status", "kind", "tag", "rows", "verified", "outcome")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.envelopes.select("question_id", "status", "kind", "tag", count("rows"), count("verified"), "outcome")
 
 
-@_register(f"""WITH {_ITEMS} SELECT item, item_type, detail, number FROM rows_
-UNION ALL SELECT item, equipment_type, name, NULL FROM items WHERE equipment_type = 'vessel' AND EXISTS (SELECT 1 FROM heads WHERE k = 6)
+@_register(f"""WITH {_ITEMS} SELECT item, item_type, detail, coalesce(number, 0) AS number FROM rows_
+UNION ALL SELECT item, equipment_type, name, 0 FROM items WHERE equipment_type = 'vessel' AND EXISTS (SELECT 1 FROM heads WHERE k = 6)
 UNION ALL SELECT NULL, 'pump', NULL, (SELECT count(*) FROM items WHERE equipment_type = 'pump') WHERE EXISTS (SELECT 1 FROM heads WHERE k = 7)""")
 def g_answer_rows(spark, sf_dir):
     """The rows of every intent."""
     found, _ = _answered(spark, sf_dir)
-    return found.rows.select("item", "item_type", "detail", "number")
+    return found.rows.select("item", "item_type", "detail", F.coalesce("number", F.lit(0)).alias("number"))

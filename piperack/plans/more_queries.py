@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from piperack.functions import questions
 from piperack.functions.plant import IN_LINE
+from piperack.checkpoints import shared_folder
 from piperack.operators import contraction, graph, studies
 from piperack.plans import standins as s
 from piperack.sources import exports
@@ -122,11 +122,10 @@ def s_telemetry_window(spark, sf_dir):
 @_register("SELECT event_type AS kind, user_id AS actor, count(*) AS n FROM events GROUP BY ALL")
 def x_jsonl_roundtrip(spark, sf_dir):
     """Events appended as JSON lines in two writes, read back with a schema, and counted."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     events = s.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("actor"), "value")
     from uuid import uuid4
 
-    folder = f"{base}/jsonl-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/jsonl-{uuid4().hex}"
     for half in (events.where("value >= 50"), events.where("value < 50 or value is null")):
         exports.append_jsonl(half, folder)
     return spark.read.schema("kind string, actor long, value double").option("mode", "FAILFAST").json(folder).groupBy("kind", "actor").agg(F.count(F.lit(1)).alias("n"))
@@ -138,3 +137,20 @@ def x_worksheet_json(spark, sf_dir):
     findings = s.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.col("l_returnflag").alias("deviation"), F.col("l_linestatus").alias("kind"), F.col("l_linenumber").alias("ordinal"), F.concat(F.lit('"P'), F.col("l_partkey"), F.lit('"\n')).alias("text"), F.col("l_discount").alias("confidence"))
     rows = exports.worksheet_json(findings).select(F.from_json("row", "node_id long, deviation string, findings array<struct<ordinal:int>>").alias("r")).select("r.*")
     return rows.select("node_id", "deviation", F.size("findings").cast("long").alias("findings"), F.aggregate("findings", F.lit(0).cast("long"), lambda n, f: n + f["ordinal"]).alias("ordinals"))
+
+
+_SAID = """CASE n WHEN 1 THEN 'MATCH ' || st || '-[:FLOWS_TO*1..12]->(found:PlantItem) WHERE found.equipment_type = "vessel" RETURN DISTINCT found.tag, found.equipment_type'
+  WHEN 2 THEN 'MATCH (found:PlantItem)-[:FLOWS_TO*1..12]->' || st || ' RETURN DISTINCT found.tag, found.equipment_type'
+  WHEN 3 THEN 'MATCH way = ' || st || '-[:FLOWS_TO*1..12]->(goal:PlantItem {tag: "S-' || l_suppkey || '"}) RETURN way ORDER BY length(way)'
+  WHEN 4 THEN 'MATCH ' || st || '-[way:FLOWS_TO|CONNECTED_TO]-(found:PlantItem) RETURN found.tag, type(way)'
+  WHEN 5 THEN 'MATCH way = ' || st || '-[:FLOWS_TO*1..12]->(found:PlantItem) WHERE found.equipment_type = "relief_valve" RETURN way'
+  WHEN 6 THEN 'MATCH ' || st || ' RETURN start' ELSE 'MATCH (found:PlantItem) WHERE found.equipment_type = "valve" RETURN found.equipment_type, count(found)' END"""
+
+
+@_register(f"""SELECT l_orderkey, l_linenumber, l_partkey, {_SAID} AS statement FROM (SELECT *, l_linenumber AS n, '(start:PlantItem {{tag: "P-' || l_partkey || '"}})' AS st FROM lineitem)""")
+def x_intent_cypher(spark, sf_dir):
+    """An intent of each kind about every line's part, as a statement for a graph store."""
+    n = F.col("l_linenumber")
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in _WORDINGS.values()]), n.cast("int"))
+    lines = s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"), F.concat(F.lit("P-"), "l_partkey").alias("tag"), F.concat(F.lit("S-"), "l_suppkey").alias("target"), F.when(n == 1, "vessel").when(n == 7, "valve").alias("equipment_type"))
+    return exports.intent_cypher(lines).select("l_orderkey", "l_linenumber", "l_partkey", "statement")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from piperack.operators import symbols, topology
+from piperack.operators import condense, symbols, topology
 from piperack.plans import drawing_queries as d
 from piperack.plans import standins as s
 from piperack.plans import table_queries as t
@@ -145,3 +145,62 @@ def geo_capsules(spark, sf_dir):
     rows = s.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.pmod(F.degrees(F.atan2(F.element_at("embedding", 13).cast("double"), F.element_at("embedding", 14).cast("double"))), F.lit(360.0)).alias("opening"))
     arcs = t._points(spark, sf_dir).join(rows, "id").withColumns({"r": 12.0 + F.col("id") % 9, "span": (90 + F.col("id") % 200).cast("double")})
     return symbols.capsules(arcs)
+
+
+# The same graph as a plant, a third of it in line; a study node is a customer's vessels and lines.
+_KINDS = ("vessel", "valve", "check_valve", "line", "instrument", "pump")
+_VIEW = f"""WITH RECURSIVE {_PIPES},
+items AS (SELECT 'O' || k AS tag, c, ([{", ".join(f"'{x}'" for x in _KINDS)}])[k % 6 + 1] AS kind FROM o),
+flows AS (SELECT id, 'O' || a AS src, 'O' || b AS dst, length % 3 > 0 AS verified, style AS line FROM edges),
+pipes AS (SELECT f.* FROM flows f JOIN items x ON x.tag = src JOIN items y ON y.tag = dst WHERE src <> dst AND x.kind <> 'instrument' AND y.kind <> 'instrument'),
+links AS (SELECT id, src AS here, dst AS there, verified::INTEGER AS along, 0 AS against, line FROM pipes UNION ALL SELECT id, dst, src, 0, verified::INTEGER, line FROM pipes),
+degree AS (SELECT here AS tag, count(*) AS n FROM links GROUP BY here),
+told AS (SELECT l.*, i.kind IN ('valve', 'check_valve', 'relief_valve') AS inline, n = 1 AS ends FROM links l JOIN items i ON i.tag = there JOIN degree d ON d.tag = there),
+members AS (SELECT c AS node_id, tag FROM items WHERE kind IN ('vessel', 'line')),
+walk AS (
+  SELECT m.tag AS start, there AS here, inline, ends, []::VARCHAR[] AS via, 1 AS hops, along, against, [line] AS lines FROM (SELECT DISTINCT tag FROM members) m JOIN told ON told.here = m.tag
+  UNION ALL SELECT start, t.there, t.inline, t.ends, list_append(via, t.here), hops + 1, w.along + t.along, w.against + t.against, list_append(lines, t.line) FROM walk w JOIN told t ON t.here = w.here WHERE w.inline AND t.there <> start AND NOT list_contains(via, t.there)),
+met AS (SELECT node_id, start, here AS other, via, hops, along + against AS verified_hops, list_sort(list_distinct(lines)) AS lines, CASE WHEN along = hops THEN 1 WHEN against = hops THEN -1 ELSE 0 END AS way FROM walk JOIN members ON tag = start WHERE NOT inline OR ends)"""
+
+
+def _view(spark, sf_dir):
+    edges, _ = _pipes(spark, sf_dir)
+    o = s.table(spark, sf_dir, "orders")
+    tag = lambda c: F.concat(F.lit("O"), F.col(c))
+    nodes = o.select(tag("o_orderkey").alias("tag"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("equipment_type"), F.col("o_custkey").alias("node_id"))
+    flows = edges.select(tag("a").alias("src"), tag("b").alias("dst"), (F.col("length") % 3 > 0).alias("verified"), F.array("style").alias("lines"))
+    return condense.view(nodes.where("equipment_type in ('vessel', 'line')").select("node_id", "tag"), flows, nodes.select("tag", "equipment_type"))
+
+
+@_register(f"""{_VIEW}, turned AS (SELECT node_id, CASE WHEN swap THEN other ELSE start END AS source, CASE WHEN swap THEN start ELSE other END AS target, CASE WHEN swap THEN list_reverse(via) ELSE via END AS via, CASE way WHEN 0 THEN 'unknown' ELSE 'known' END AS direction, verified_hops, hops, lines
+  FROM (SELECT *, way = -1 OR way = 0 AND other < start AS swap FROM met))
+SELECT node_id, source, target, array_to_string(via, ',') AS via, direction, verified_hops, hops, array_to_string(lines, ',') AS lines FROM turned
+QUALIFY row_number() OVER (PARTITION BY node_id, source, target, direction, list_sort(via) ORDER BY via, hops, verified_hops, lines) = 1""")
+def n_view_connections(spark, sf_dir):
+    """What the items of every study node meet once in-line items are folded away."""
+    found = _view(spark, sf_dir).connections
+    return found.select("node_id", "source", "target", F.array_join("via", ",").alias("via"), "direction", "verified_hops", "hops", F.array_join("lines", ",").alias("lines"))
+
+
+@_register(f"""{_VIEW}, seen AS (SELECT node_id, tag, 'member' AS role FROM members UNION ALL SELECT DISTINCT node_id, other, CASE WHEN kind IN ('line', 'valve', 'check_valve', 'relief_valve') THEN 'boundary' ELSE 'neighbour' END FROM met JOIN items ON items.tag = other
+  WHERE (node_id, other) NOT IN (SELECT (node_id, tag) FROM members)),
+taps AS (SELECT a AS tag, string_agg(DISTINCT b, ',' ORDER BY b) AS instruments FROM (SELECT src AS a, dst AS b FROM flows UNION ALL SELECT dst, src FROM flows) JOIN items ON items.tag = b WHERE kind = 'instrument' GROUP BY a)
+SELECT node_id, s.tag, role, kind AS equipment_type, coalesce(instruments, '') AS instruments FROM seen s JOIN items i ON i.tag = s.tag LEFT JOIN taps t ON t.tag = s.tag""")
+def n_view_items(spark, sf_dir):
+    """The items of every study node's view with their roles and instruments."""
+    return _view(spark, sf_dir).items.select("node_id", "tag", "role", "equipment_type", F.array_join("instruments", ",").alias("instruments"))
+
+
+@_register(f"""WITH RECURSIVE {t._POINTS}, owned AS (SELECT id, page AS sheet, id % 3 AS owner, page * 10 + id % 3 AS page, x, y, CASE WHEN id % 5 = 0 THEN 'N' || id END AS label FROM points),
+{_led_sql("owned", "id", "< 90")},
+clusters AS (SELECT turn.id, turn.page, leader, label FROM turn JOIN led ON led.page = turn.page AND led.k = turn.k),
+kept AS (SELECT page, leader, min([(label IS NULL)::BIGINT, id])[2] AS kept FROM clusters GROUP BY ALL),
+named AS (SELECT id, kept FROM clusters JOIN kept USING (page, leader)),
+pipes AS (SELECT id, id AS a, lead(id) OVER (PARTITION BY sheet ORDER BY id) AS b FROM owned)
+SELECT p.id, x.kept AS a, y.kept AS b FROM pipes p JOIN named x ON x.id = p.a JOIN named y ON y.id = p.b WHERE x.kept <> y.kept""")
+def geo_nozzles(spark, sf_dir):
+    """Edges between the nozzles that are left once those of one owner that lie together are one."""
+    points = t._points(spark, sf_dir)
+    nozzles = points.withColumns({"owner": F.col("id") % 3, "label": F.when(F.col("id") % 5 == 0, F.concat(F.lit("N"), "id"))})
+    pipes = points.select("id", F.col("id").alias("a"), F.lead("id").over(Window.partitionBy("page").orderBy("id")).alias("b")).where("b is not null")
+    return symbols.merged_nozzles(nozzles, pipes, 90.0)[1].select("id", "a", "b")

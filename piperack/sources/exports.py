@@ -15,6 +15,27 @@ def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return items.union(flows)
 
 
+def intent_cypher(intents: DataFrame, hops: int = 12) -> DataFrame:
+    """``intents`` (kind, tag, target, equipment_type, ...) with statement: the same question to a graph store that ``cypher``
+    has filled; null for what is no question."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(c), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    item = lambda name, c: F.concat(F.lit(f"({name}:PlantItem {{tag: "), quoted(c), F.lit("})"))
+    typed = F.coalesce(F.concat(F.lit(" WHERE found.equipment_type = "), quoted("equipment_type")), F.lit(""))
+    found, all_found, start, kind = "(found:PlantItem)", F.lit(" RETURN DISTINCT found.tag, found.equipment_type"), item("start", "tag"), F.col("kind")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    statement = (
+        F.when(kind == "downstream", say("MATCH ", start, f"-[:FLOWS_TO*1..{hops}]->{found}", typed, all_found))
+        .when(kind == "upstream", say(f"MATCH {found}-[:FLOWS_TO*1..{hops}]->", start, typed, all_found))
+        .when(kind == "neighbours", say("MATCH ", start, f"-[way:FLOWS_TO|CONNECTED_TO]-{found}", typed, " RETURN found.tag, type(way)"))
+        .when(kind == "relief", say("MATCH way = ", start, f"-[:FLOWS_TO*1..{hops}]->{found} WHERE found.equipment_type = \"relief_valve\" RETURN way"))
+        .when(kind == "path", say("MATCH way = ", start, f"-[:FLOWS_TO*1..{hops}]->", item("goal", "target"), " RETURN way ORDER BY length(way)"))
+        .when(kind == "info", say("MATCH ", start, " RETURN start"))
+        .when(kind == "list", say(f"MATCH {found}", typed, " RETURN found.tag, found.name ORDER BY found.tag"))
+        .when(kind == "count", say(f"MATCH {found}", typed, " RETURN found.equipment_type, count(found)"))
+    )
+    return intents.withColumn("statement", statement)
+
+
 def append_jsonl(events: DataFrame, path: str) -> None:
     """Events appended as JSON lines; each write adds files and rewrites none."""
     events.write.mode("append").json(path)

@@ -86,11 +86,18 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, value of text files: a block starts at that byte of its file, and line orders the lines of one
+    block, so (block, line) is the order of a file however it is split over tasks."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
 def last_runs(spark: SparkSession, path: str, schema: str, limit: int = 200) -> DataFrame:
     """The records in the last ``limit`` lines of one log file, newest first, lines that are no JSON left out after that."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    tail = lines.orderBy(F.desc("line")).limit(limit)
-    return tail.select("line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null and to_json(r) <> '{}'").orderBy(F.desc("line")).select("r.*")
+    newest = [F.desc("block"), F.desc("line")]
+    tail = numbered_lines(spark, path).orderBy(*newest).limit(limit)
+    return tail.select("block", "line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null and to_json(r) <> '{}'").orderBy(*newest).select("r.*")
 
 
 def citations(spark: SparkSession, path: str, pattern: str) -> DataFrame:

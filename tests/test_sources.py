@@ -88,6 +88,21 @@ def test_run_log_keeps_the_last_lines(spark, tmp_path):
     assert [r.a for r in readers.last_runs(spark, str(tmp_path / "log.jsonl"), "a int", 3).collect()] == [3, 2]
 
 
+def test_last_lines_of_a_file_of_many_splits(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text("".join(f'{{"a": {k}, "pad": "{"x" * (k % 97)}"}}\n' for k in range(4000)))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        lines = readers.numbered_lines(spark, str(tmp_path / "log.jsonl"))
+        assert lines.select("block").distinct().count() > 20
+        assert [json.loads(r.value)["a"] for r in lines.orderBy("block", "line").collect()] == list(range(4000))
+        assert [r.a for r in readers.last_runs(spark, str(tmp_path / "log.jsonl"), "a int", 50).collect()] == list(range(3999, 3949, -1))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_event_log_round_trip_and_bad_lines(spark, tmp_path):
     events = spark.createDataFrame([("e1", "accepted"), ("e2", "edited")], "event_id string, action string")
     exports.append_jsonl(events.limit(1), str(tmp_path / "t"))
@@ -133,6 +148,8 @@ def test_evidence_gate_cases(spark):
     rows = [(k, v, 0.85) for k, vs in cases.items() for v in vs]
     got = {r.finding_id: (r.outcome, r.confidence) for r in worksheet.stage_b(spark.createDataFrame(rows, "finding_id string, verdict string, confidence double")).collect()}
     assert got == {"bad": ("rejected", None), "none": ("unsupported inference", 0.3), "all": ("released", 0.85), "half": ("stripped", 0.55)}
+    left = spark.createDataFrame([("open", None, 0.85), ("open", None, 0.85), ("some", None, 0.85), ("some", "supported", 0.85)], "finding_id string, verdict string, confidence double")
+    assert {r.finding_id: (r.outcome, r.kept, r.unchecked, r.confidence) for r in worksheet.stage_b(left).collect()} == {"open": ("unchecked", 0, 2, 0.85), "some": ("released", 1, 1, 0.85)}
 
 
 def test_screening_rules(spark):

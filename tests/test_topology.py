@@ -124,3 +124,11 @@ def test_valves_and_capsules_by_hand(spark):
     arcs = [(1, 1, 0.0, 0.0, 15.0, 180.0, 90.0), (1, 2, 0.0, 60.0, 15.0, 180.0, 270.0), (1, 3, 0.0, 80.0, 15.0, 180.0, 270.0), (1, 4, 200.0, 0.0, 15.0, 180.0, 90.0), (1, 5, 260.0, 0.0, 30.0, 180.0, 180.0)]
     found = symbols.capsules(spark.createDataFrame(arcs, "page int, id long, x double, y double, r double, span double, opening double")).collect()
     assert [(r.a, r.b, r.orientation, r.x0, r.y0, r.x1, r.y1) for r in found] == [(1, 2, "V", -15.0, -15.0, 15.0, 75.0)]
+
+
+def test_nozzles_of_one_owner_merge(spark):
+    rows = [(1, 1, "V-1", 0.0, 0.0, None), (1, 2, "V-1", 7.0, 0.0, "N1"), (1, 3, "V-1", 14.0, 0.0, None), (1, 4, "V-2", 1.0, 0.0, None), (2, 5, "V-1", 0.0, 0.0, None), (1, 6, None, 0.0, 0.0, None), (1, 7, None, 1.0, 0.0, None)]
+    edges = [(1, 1, 2), (2, 1, 3), (3, 3, 4), (4, 5, 9), (5, 6, 7)]
+    kept, left = symbols.merged_nozzles(spark.createDataFrame(rows, "page int, id long, owner string, x double, y double, label string"), spark.createDataFrame(edges, "id long, a long, b long"))
+    assert sorted(r.id for r in kept.collect()) == [2, 3, 4, 5, 6]  # the third is too far from the first, which leads
+    assert sorted((e.id, e.a, e.b) for e in left.collect()) == [(2, 2, 3), (3, 3, 4), (4, 5, 9)]
