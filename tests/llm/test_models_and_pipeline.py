@@ -267,3 +267,24 @@ def test_the_key_comes_from_the_session(spark):
     frame = spark.createDataFrame([("héllo",)], "m string")
     for key in ("k", "x" * 200):
         assert frame.select(pii._hmac(key, F.col("m"))).first()[0] == hmac.new(key.encode(), "héllo".encode(), "sha512").hexdigest()
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, very long texts, repeated rows and extra columns of names that stages use go through all stages."""
+    import corpus_pipeline
+
+    good = "The committee of the harbour met on Monday and wrote down what every member had said about the new bridge. "
+    texts = [good + f"Item {k} was left for another day." for k in range(30)] + [None, "", " ", good * 3000, good + "Item 3 was left for another day."]
+    rows = [(k, x, "en", "s", len(x or ""), 0.5, "tag", "k") for k, x in enumerate(texts)]
+    rows += [rows[4], rows[4], (None, good + "without an id", "en", None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, tag string, component string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 20)] + [(k, 0, 0) for k in (30, 31, 32)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b1", "wrote down what every member had said about the new bridge Item 7 was")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.columns
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == before, name
+    ids = [r.doc_id for r in docs.collect()]
+    assert ids and len(ids) == len(set(ids)) and set(ids) <= {None, *range(len(texts))}

@@ -350,7 +350,8 @@ def test_contexts_show_what_whole_texts_show_and_share_a_key():
         assert runs == brute_passages(one.decode(), other.decode())[0]
         at, key, plain, code = passages.edit_keys(contexts, mark)
         of_text = lambda at, key, plain: [{(int(k), bool(p)) for t, k, p in zip(at, key, plain, strict=True) if who[t] == text} for text in (0, 1)]
-        met = lambda found: {k for k, p in found[0] for k2, p2 in found[1] if k == k2 and not (p and p2)}
+        sides = lambda found: [({k for k, _ in f}, {k for k, p in f if not p}) for f in found]
+        met = lambda found: (lambda one, other: one[1] & other[0] | one[0] & other[1])(*sides(found))
         full = met(of_text(*passages.full_keys(contexts, mark, at, code)))
         assert bool(full) <= bool(runs)  # a full key is shared by none that don't share a passage
         linked, shared = linked + bool(runs), shared + bool(full and met(of_text(at, key, plain)))
