@@ -6,7 +6,7 @@ grid, so a page with all the symbols there are is spread over tasks like any oth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piperack.checkpoints import cut
@@ -20,6 +20,11 @@ MOST_STROKES, MIDDLE = 8, (0.3, 0.7)
 HEAD_SPAN, HEAD_RADIUS, UNLIKE, FAR, ASIDE = (100.0, 280.0), 12.0, (2.0, 0.15), (0.5, 12.0), 55.0
 
 
+def tenths(x: Column) -> Column:
+    """``x`` in tenths, halves away from zero, by its value times ten: 69.35 - 13 is 56.4, though its digits fall short of 56.35."""
+    return F.round(x * 10) / 10
+
+
 def pinches(diagonals: DataFrame, reach: float, cluster: float) -> DataFrame:
     """page, id, crossings, x, y, t, u, strokes, x0, y0, x1, y1: clusters of the crossings of ``diagonals``.
 
@@ -54,14 +59,14 @@ def valves(diagonals: DataFrame, bars: DataFrame, circles: DataFrame, reach: flo
     middle = F.col("t").between(*MIDDLE) & F.col("u").between(*MIDDLE)
     singles = found.where("crossings = 1 and strokes = 2").where(middle)
     taken = found.where("crossings >= 2 and strokes >= 3").union(singles.join(barred(singles, diagonals, bars, touch), ["page", "id"], "left_semi").select(*found.columns))
-    taken = cut(taken.withColumns({"x": F.round("x", 1), "y": F.round("y", 1)}))
+    taken = cut(taken.withColumns({"x": tenths(F.col("x")), "y": tenths(F.col("y"))}))
     led = leaders(taken, apart, [-F.col("strokes")], strict=True)
     kept = taken.join(led.where("id = leader").select("page", "id"), ["page", "id"])
     around = circles.where(F.col("r").between(*rings)).select("page", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "r")
     inside = within(kept.select("page", "id", "x", "y"), around, rings[1] + touch).where(F.col("d") < F.col("r") + touch).select("page", "id").distinct()
     kept = kept.join(inside, ["page", "id"], "left_anti")
     lying = F.when(F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0"), "H").otherwise("V")
-    return kept.select("page", "id", "x", "y", "strokes", lying.alias("orientation"), *[F.round(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return kept.select("page", "id", "x", "y", "strokes", lying.alias("orientation"), *[tenths(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def capsules(arcs: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def capsules(arcs: DataFrame) -> DataFrame:
         "x0": F.when(flat, F.least("x", "o_x")).otherwise(F.col("x")) - r, "y0": F.when(flat, F.col("y")).otherwise(F.least("y", "o_y")) - r,
         "x1": F.when(flat, F.greatest("x", "o_x")).otherwise(F.col("x")) + r, "y1": F.when(flat, F.col("y")).otherwise(F.greatest("y", "o_y")) + r,
     }
-    return found.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(r, 1).alias("r"), F.when(flat, "H").otherwise("V").alias("orientation"), *[F.round(x, 1).alias(c) for c, x in box.items()])
+    return found.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), tenths(r).alias("r"), F.when(flat, "H").otherwise("V").alias("orientation"), *[tenths(x).alias(c) for c, x in box.items()])
 
 
 def merged_nozzles(nozzles: DataFrame, edges: DataFrame, distance: float = 8.0) -> tuple[DataFrame, DataFrame]:

@@ -132,3 +132,11 @@ def test_nozzles_of_one_owner_merge(spark):
     kept, left = symbols.merged_nozzles(spark.createDataFrame(rows, "page int, id long, owner string, x double, y double, label string"), spark.createDataFrame(edges, "id long, a long, b long"))
     assert sorted(r.id for r in kept.collect()) == [2, 3, 4, 5, 6]  # the third is too far from the first, which leads
     assert sorted((e.id, e.a, e.b) for e in left.collect()) == [(2, 2, 3), (3, 3, 4), (4, 5, 9)]
+
+
+def test_halves_of_a_tenth_go_by_the_value_times_ten(spark):
+    """69.35 - 13 is 56.349999999999994 in digits, and 563.5 times ten."""
+    got = spark.createDataFrame([(69.35, 13.0), (-69.35, -13.0), (0.25, 0.5), (None, 1.0)], "x double, r double").select(symbols.tenths(F.col("x") - F.col("r")).alias("v"))
+    assert [r.v for r in got.collect()] == [56.4, -56.4, -0.3, None]
+    arcs = spark.createDataFrame([(8, 414, 103.392, 69.35, 13.0, 180.0, 90.0), (8, 425, 103.4, 124.564, 13.0, 180.0, 270.0)], "page int, id long, x double, y double, r double, span double, opening double")
+    assert [(r.a, r.b, r.y0) for r in symbols.capsules(arcs).collect()] == [(414, 425, 56.4)]
