@@ -65,10 +65,11 @@ def _row(item, item_type, detail, number) -> list[Column]:
     return [null(item, "string").alias("item"), null(item_type, "string").alias("item_type"), null(detail, "string").alias("detail"), null(number, "long").alias("number")]
 
 
-def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated: DataFrame | None = None, cutoff: int = 12, most_paths: int = 5) -> Answers:
+def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated: DataFrame | None = None, cutoff: int | None = 12, most_paths: int = 5) -> Answers:
     """The answers to questions(question_id, question) over nodes(tag, equipment_type, name) and edges(src, dst, verified).
 
-    ``translated`` (question_id, kind, tag, target, equipment_type) speaks for questions that the words don't read."""
+    ``translated`` (question_id, kind, tag, target, equipment_type) speaks for questions that the words don't read. Ways of more than
+    ``cutoff`` edges are left out; None leaves out none."""
     own = read.intents(questions, nodes)
     if translated is not None:
         other = reground(translated.join(own.where("kind is null").select("question_id"), "question_id", "left_semi"), nodes)
@@ -122,7 +123,7 @@ def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated
     return Answers(envelopes, rows, shown.union(ends).distinct())
 
 
-def _sentence(asked: DataFrame, cutoff: int) -> Column:
+def _sentence(asked: DataFrame, cutoff: int | None) -> Column:
     kind, tag, rows, verified = asked.kind, asked.tag, F.col("rows").cast("string"), F.col("verified").cast("string")
     what = F.coalesce(F.concat(F.replace(asked.equipment_type, F.lit("_"), F.lit(" ")), F.lit("(s)")), F.lit("item(s)"))
     say = F.concat
@@ -141,7 +142,7 @@ def _sentence(asked: DataFrame, cutoff: int) -> Column:
         .when(kind.isin("downstream", "upstream"), say(rows, F.lit(" "), what, F.lit(" "), kind, F.lit(" of "), tag, F.lit(": "), verified, F.lit(" by verified flow, "), (F.col("rows") - F.col("verified")).cast("string"), F.lit(" across unverified connections only.")))
         .when(kind == "neighbours", say(rows, F.lit(" connection(s) at "), tag, F.lit(", "), verified, F.lit(" of verified flow.")))
         .when((kind == "path") & (F.col("rows") > 0), say(rows, F.lit(" way(s) from "), tag, F.lit(" to "), asked.target, F.lit("; the shortest has "), F.col("least").cast("string"), F.lit(" hop(s).")))
-        .when(kind == "path", say(F.lit("No way from "), tag, F.lit(" to "), asked.target, F.lit(f" within {cutoff} hops.")))
+        .when(kind == "path", say(F.lit("No way from "), tag, F.lit(" to "), asked.target, F.lit("." if cutoff is None else f" within {cutoff} hops.")))
         .when(kind == "relief", F.element_at(relief, F.col("outcome")))
         .when(kind == "list", say(rows, F.lit(" "), what, F.lit(" in the plant.")))
         .when(kind == "count", say(F.coalesce("total", F.lit(0)).cast("string"), F.lit(" "), what, F.lit(" in the plant.")))

@@ -6,6 +6,8 @@ reverse of every unverified one, so that unverified flow can be walked both ways
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +149,9 @@ def isolation_boundary(graph: DataFrame, nodes: DataFrame, starts: DataFrame) ->
     return found.where("start <> node").select("start", "node", "side")
 
 
-def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int = 12) -> DataFrame:
-    """source, target, path, verified for every simple path of at most ``cutoff`` edges between ``ends`` (source, target).
+def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int | None = 12) -> DataFrame:
+    """source, target, path, verified for every simple path of at most ``cutoff`` edges, or of any length where that is None,
+    between ``ends`` (source, target).
 
     A path grows from the source for as long as the target is in reach of the edges left to it: the distances to the
     targets, walked backwards first, prune every other branch.
@@ -156,7 +159,7 @@ def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int = 12) -> DataFra
     back = ends.select(F.col("target").alias("goal"), F.col("target").alias("node"), F.lit(0).alias("far")).distinct()
     front = cut(back)
     far = Grown(front)
-    for k in range(1, cutoff):
+    for k in count(1) if cutoff is None else range(1, cutoff):
         front = front.join(graph, front.node == graph.dst).select("goal", F.col("src").alias("node"), F.lit(k).alias("far")).distinct()
         front = cut(front.join(far.whole, ["goal", "node"], "left_anti"))
         if front.isEmpty():
@@ -166,10 +169,10 @@ def simple_paths(graph: DataFrame, ends: DataFrame, cutoff: int = 12) -> DataFra
     steps = graph.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("verified").alias("sure"))
     grown = ends.where("source <> target").select("source", "target", F.col("source").alias("at"), F.array("source").alias("path"), F.lit(True).alias("verified"))
     done = None
-    for k in range(1, cutoff + 1):
+    for k in count(1) if cutoff is None else range(1, cutoff + 1):
         grown = grown.join(steps, "at").where(~F.array_contains("path", F.col("to")))
         grown = grown.select("source", "target", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("verified") & F.col("sure")).alias("verified"))
-        grown = cut(grown.join(near.select(F.col("goal").alias("target"), F.col("node").alias("at"), "far"), ["target", "at"]).where(F.col("far") <= cutoff - k).select("source", "target", "at", "path", "verified"))
+        grown = cut(grown.join(near.select(F.col("goal").alias("target"), F.col("node").alias("at"), "far"), ["target", "at"]).where(F.lit(True) if cutoff is None else F.col("far") <= cutoff - k).select("source", "target", "at", "path", "verified"))
         if done is None:
             done = Grown(grown.where("at = target"))
         elif grown.isEmpty():

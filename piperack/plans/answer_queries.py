@@ -48,7 +48,7 @@ def _answered(spark, sf_dir):
     asked = sizes.select(F.col("chain").alias("question_id"), F.replace(F.replace(words, F.lit("@"), tag(F.lit(1))), F.lit("$"), tag(F.col("n"))).alias("question"))
     # parts of tags, which are in the graph for even orders only
     other = sizes.where("k in (8, 9)").select(F.col("chain").alias("question_id"), F.lit("downstream").alias("kind"), F.concat_ws("-", F.when(F.col("k") == 9, F.lit("Z")), "chain", F.lit(1)).alias("tag"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("equipment_type"))
-    return answers.answers(asked, nodes, edges, other), edges
+    return answers.answers(asked, nodes, edges, other, cutoff=None), edges
 
 
 _ITEMS = f"""{s.CHAIN_SQL}, items AS (SELECT 'Q-' || chain || '-' || pos AS item, chain, pos, equipment_type, verified, 'item ' || tag AS name, max(pos) OVER (PARTITION BY chain) AS n FROM chains),

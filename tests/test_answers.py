@@ -91,3 +91,12 @@ def test_a_large_frontier_is_shuffled(spark, monkeypatch):
     nodes, edges = plant(spark)
     found = graph.flagged_closure(graph.query_graph(edges), spark.createDataFrame([("2401-K-001",)], "start string")).collect()
     assert {r.node: r.verified for r in found} == {"2401-V-001": True, "2401-PSV-001": True, "2401-V-002": False, "2401-FT-001": False}
+
+
+def test_a_way_of_any_length_without_a_cutoff(spark):
+    n = 16
+    nodes = spark.createDataFrame([(f"2401-V-{k}", "vessel", "v") for k in range(n)], "tag string, equipment_type string, name string")
+    edges = spark.createDataFrame([(f"2401-V-{k}", f"2401-V-{k + 1}", True) for k in range(n - 1)], "src string, dst string, verified boolean")
+    asked = spark.createDataFrame([(1, f"path from 2401-V-0 to 2401-V-{n - 1}")], "question_id long, question string")
+    assert [r.number for r in answers.answers(asked, nodes, edges, cutoff=None).rows.collect()] == [n - 1]
+    assert answers.answers(asked, nodes, edges).rows.count() == 0
