@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def folded_neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.select("tag", "other", flow.alias("flow"))
 
 
-def propose_by_rules(neighbours: DataFrame, nodes: DataFrame, prefix: str = "PN") -> DataFrame:
+def propose_by_rules(neighbours: DataFrame, nodes: DataFrame, prefix: str = "PN", by_plant: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node_id, tag, placed over folded ``neighbours``: items that share a design intent are one study node.
 
     Grouping items (neither lines, nor in line, nor instruments, nor breaks) that meet are one node; breaks that feed
@@ -56,27 +58,33 @@ def propose_by_rules(neighbours: DataFrame, nodes: DataFrame, prefix: str = "PN"
     flow feeds it, and what it feeds may then join that. In each round every train takes its smallest member that is
     fed, and of that the smallest feeder. placed is "grouped", "attached", "ambiguous" (fed by several sections) or
     "standalone". Items without neighbours have no node. Ids are told by the smallest tag.
+    ``by_plant`` finds the components of edges (plant, src, dst) where neighbours have a plant.
     """
     kinds = nodes.where(~F.col("equipment_type").isin(*IN_LINE, "instrument", "line")).select("tag", F.col("equipment_type").isin(*[t for t in BOUNDARY if t != "line"]).alias("breaks"))
     active = cut(kinds.join(neighbours.select("tag").distinct(), "tag", "left_semi"))
     met = neighbours.join(active, "tag").join(active.select(F.col("tag").alias("other"), F.col("breaks").alias("other_breaks")), "other")
-    joined = met.where("(not breaks and not other_breaks) or (breaks and other_breaks and flow = 'both')").select(F.col("tag").alias("src"), F.col("other").alias("dst"))
-    labels = components(joined).withColumnRenamed("node", "tag")
+    joined = met.where("(not breaks and not other_breaks) or (breaks and other_breaks and flow = 'both')").withColumnsRenamed({"tag": "src", "other": "dst"})
+    labels = (by_plant or components)(joined).withColumnRenamed("node", "tag")
     state = active.join(labels, "tag", "left").select("tag", "breaks", F.coalesce("component", "tag").alias("train"))
-    section = state.groupBy("train").agg(F.bool_or(~F.col("breaks")).alias("placed"))
-    state = cut(state.join(section, "train").select("tag", "breaks", "train", F.when(F.col("placed"), F.col("train")).alias("section"), F.when(F.col("placed"), "grouped").alias("placed")))
-    feeds = cut(met.where("breaks and flow = 'in'").select("tag", "other"))
+    section = state.groupBy("train").agg(F.bool_or(~F.col("breaks")).alias("grouped"))
+    state = cut(state.join(section, "train"))
+    front = state.where("grouped").select("tag", F.col("train").alias("section"), F.lit("grouped").alias("placed"))
+    waiting = state.where("not grouped").select("tag", "train")
+    feeds = cut(met.where("breaks and flow = 'in'").select("tag", "other").join(waiting, "tag"))
+    done = Grown(front)
     while True:
-        of = state.where("section is not null").select(F.col("tag").alias("other"), F.col("section").alias("feeder"))
-        offers = state.where("section is null").select("tag", "train").join(feeds, "tag").join(of, "other")
+        # what was placed before the last round feeds no train that still waits
+        offers = feeds.join(front.select(F.col("tag").alias("other"), F.col("section").alias("feeder")), "other")
         each = offers.groupBy("train", "tag").agg(F.min(F.struct("other", "feeder")).alias("o"), (F.min("feeder") < F.max("feeder")).alias("several"))
         taken = cut(each.groupBy("train").agg(F.min(F.struct("tag", F.col("o.feeder").alias("feeder"), "several")).alias("t")).select("train", "t.feeder", "t.several"))
         if taken.isEmpty():
             break
-        state = cut(state.join(taken, "train", "left").select("tag", "breaks", "train", F.coalesce("section", "feeder").alias("section"), F.coalesce("placed", F.when(F.col("several"), "ambiguous").when(F.col("feeder").isNotNull(), "attached")).alias("placed")))
-    named = state.withColumn("section", F.coalesce("section", "train"))
+        front = cut(waiting.join(taken, "train").select("tag", F.col("feeder").alias("section"), F.when(F.col("several"), "ambiguous").otherwise("attached").alias("placed")))
+        done.add(front)
+        waiting, feeds = cut(waiting.join(taken, "train", "left_anti")), cut(feeds.join(taken, "train", "left_anti"))
+    named = done.whole.union(waiting.select("tag", "train", F.lit("standalone")))
     first = named.groupBy("section").agg(F.min("tag").alias("first"))
-    return named.join(first, "section").select(F.concat_ws("-", F.lit(prefix), "first").alias("node_id"), "tag", F.coalesce("placed", F.lit("standalone")).alias("placed"))
+    return named.join(first, "section").select(F.concat_ws("-", F.lit(prefix), "first").alias("node_id"), "tag", "placed")
 
 
 def folded_boundaries(members: DataFrame, neighbours: DataFrame, nodes: DataFrame) -> DataFrame:

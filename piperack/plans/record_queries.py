@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from piperack.functions.plant import GUIDEWORDS, PARAMETERS
-from piperack.operators import graph, records, studies
+from piperack.operators import graph, plants, records, studies
 from piperack.plans import standins as s
 from piperack.plans.study_queries import _MATRIX, _STUDIED
 
@@ -149,18 +149,19 @@ folded AS (SELECT tag, other, CASE WHEN sure THEN 'out' ELSE 'unknown' END AS fl
 
 
 def _lines(spark, sf_dir):
-    """Each line of an order as an item of its own, connected with the order's next one."""
+    """Each line of an order as an item of its own, connected with the order's next one; each order a plant."""
     chains = graph.cut(s.chains(spark, sf_dir))
     at = lambda k: F.concat_ws("/", F.col("chain").cast("string"), (F.col("pos") + k).cast("string"))
-    nodes = chains.select(at(0).alias("tag"), "equipment_type")
-    edges = chains.where("next is not null").select(at(0).alias("src"), at(1).alias("dst"), "verified")
+    plant = F.col("chain").alias("plant")
+    nodes = chains.select(plant, at(0).alias("tag"), "equipment_type")
+    edges = chains.where("next is not null").select(plant, at(0).alias("src"), at(1).alias("dst"), "verified")
     return nodes, edges
 
 
 @_register(f"{_FOLDED} SELECT * FROM folded")
 def n_folded(spark, sf_dir):
     nodes, edges = _lines(spark, sf_dir)
-    return studies.folded_neighbours(edges, nodes)
+    return plants.folded_neighbours(nodes, edges).drop("plant")
 
 
 _RULED = f"""{_FOLDED},
@@ -175,7 +176,7 @@ placed AS (SELECT tag, CASE WHEN alone THEN tag ELSE min(tag) OVER (PARTITION BY
 @_register(f"{_RULED} SELECT 'PN-' || first AS node_id, tag, placed FROM placed")
 def n_rules(spark, sf_dir):
     nodes, edges = _lines(spark, sf_dir)
-    return studies.propose_by_rules(graph.cut(studies.folded_neighbours(edges, nodes)), nodes)
+    return studies.propose_by_rules(graph.cut(plants.folded_neighbours(nodes, edges)), nodes, by_plant=plants.components)
 
 
 @_register(f"""{_RULED} SELECT 'PN-' || p.first AS node_id, p.tag AS at_member, f.other AS tag, f.flow,
@@ -183,8 +184,8 @@ def n_rules(spark, sf_dir):
 FROM placed p JOIN folded f ON f.tag = p.tag JOIN items i ON i.tag = f.other LEFT JOIN placed o ON o.tag = f.other WHERE o.first IS NULL OR o.first <> p.first""")
 def n_rule_boundaries(spark, sf_dir):
     nodes, edges = _lines(spark, sf_dir)
-    neighbours = graph.cut(studies.folded_neighbours(edges, nodes))
-    return studies.folded_boundaries(studies.propose_by_rules(neighbours, nodes), neighbours, nodes)
+    neighbours = graph.cut(plants.folded_neighbours(nodes, edges))
+    return studies.folded_boundaries(studies.propose_by_rules(neighbours, nodes, by_plant=plants.components), neighbours, nodes)
 
 
 _ORDER_PATHS = f"""WITH {s.CHAIN_SQL}, items AS (SELECT chain || '/' || pos AS tag, chain, pos, equipment_type, verified OR next IS NULL AS sure FROM chains),
