@@ -218,6 +218,6 @@ SELECT chain::VARCHAR AS chain, CASE WHEN sure THEN 'verified' WHEN sure IS NOT
 def g_relief_orders(spark, sf_dir):
     """The answer on relief for the first line of each order."""
     nodes, edges = _lines(spark, sf_dir)
-    starts = nodes.where(F.col("tag").endswith("/1")).select(F.col("tag").alias("start"))
-    found = graph.relief_outcomes(graph.cut(graph.query_graph(edges)), nodes, starts)
+    starts = nodes.where(F.col("tag").endswith("/1")).select("plant", F.col("tag").alias("start"))
+    found = plants.relief_outcomes(nodes, edges, starts)
     return found.select(F.split_part("start", F.lit("/"), F.lit(1)).alias("chain"), "outcome", "valves")
