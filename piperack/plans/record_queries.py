@@ -194,9 +194,10 @@ paths AS (SELECT chain, count(*) - 1 AS hops, bool_and(sure) AS sure, string_agg
 
 def _order_paths(spark, sf_dir):
     nodes, edges = _lines(spark, sf_dir)
-    spread = nodes.select(F.split_part("tag", F.lit("/"), F.lit(1)).alias("chain"), F.split_part("tag", F.lit("/"), F.lit(2)).cast("int").alias("pos"))
-    ends = spread.groupBy("chain").agg(F.max("pos").alias("n")).where("n > 1").select(F.concat("chain", F.lit("/1")).alias("source"), F.concat_ws("/", "chain", F.col("n").cast("string")).alias("target"))
-    return nodes, graph.simple_paths(graph.cut(graph.query_graph(edges)), graph.cut(ends))
+    spread = nodes.select("plant", F.split_part("tag", F.lit("/"), F.lit(2)).cast("int").alias("pos"))
+    at = lambda pos: F.concat_ws("/", F.col("plant").cast("string"), pos.cast("string"))
+    ends = spread.groupBy("plant").agg(F.max("pos").alias("n")).where("n > 1").select("plant", at(F.lit(1)).alias("source"), at(F.col("n")).alias("target"))
+    return nodes, plants.simple_paths(nodes, edges, ends)
 
 
 @_register(f"{_ORDER_PATHS} SELECT chain::VARCHAR AS chain, hops, CASE WHEN sure THEN 'verified' ELSE 'unverified' END AS flow, path FROM paths")
