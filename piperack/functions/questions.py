@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from piperack.checkpoints import cut
+
+#: Words that are broadcast at most.
+FEW = 50_000
 # What items are called. A plural ends in s.
 TYPE_NAMES = {
     "heat exchanger": "heat_exchanger",
@@ -65,11 +69,19 @@ def mentioned(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     whole, else of the one tag that ends in it after a hyphen; where several do, it is unsure, and the first and the last
     of them are told."""
     words = questions.select("question_id", F.posexplode(_words(F.col("question"))).alias("pos", "word")).where(F.col("word").rlike(r"\p{N}"))
+    whole = nodes.groupBy(F.lower("tag").alias("word")).agg(F.max("tag").alias("exact"))
+    read = cut(words.join(whole, "word", "left"))
+    # only words that spell no tag whole are looked for at the ends of tags
+    rest = cut(read.where("exact is null").select("word").distinct())
+    size = rest.count()
     parts = F.split(F.lower("tag"), "-")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, k, F.size(parts)), "-").alias("word"), (k == 1).alias("whole")))
-    ends = nodes.select("tag", F.explode(tails).alias("e")).select("tag", "e.word", "e.whole")
-    ends = ends.groupBy("word").agg(F.max(F.when(F.col("whole"), F.col("tag"))).alias("exact"), F.count(F.lit(1)).alias("n"), F.min("tag").alias("least"), F.max("tag").alias("most"))
-    read = words.join(ends, "word").select("question_id", "pos", F.coalesce("exact", F.when(F.col("n") == 1, F.col("least"))).alias("tag"), F.when(F.col("exact").isNull() & (F.col("n") > 1), F.struct("word", "n", "least", "most")).alias("unsure"))
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "-"))
+    ends = nodes.select("tag", parts.alias("parts")).where("size(parts) > 1").select("tag", F.explode(tails).alias("word")).join(F.broadcast(rest) if size <= FEW else rest, "word", "left_semi")
+    ends = ends.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("least"), F.max("tag").alias("most"))
+    told = lambda df: df.select("question_id", "pos", F.coalesce("exact", F.when(F.col("n") == 1, F.col("least"))).alias("tag"), F.when(F.col("exact").isNull() & (F.col("n") > 1), F.struct("word", "n", "least", "most")).alias("unsure"))
+    spelt = read.where("exact is not null").select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("least"), F.lit(None).cast("string").alias("most"))
+    found = told(spelt)
+    read = found.union(told(read.where("exact is null").join(ends, "word"))) if size else found
     listed = read.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("found"), F.collect_list("unsure").alias("unsure"))
     tags = F.array_distinct(F.filter(F.transform("found", lambda x: x["tag"]), lambda t: t.isNotNull()))
     return listed.select("question_id", tags.alias("tags"), "unsure")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from piperack.checkpoints import cut
 from piperack.functions import questions as read
-from piperack.operators import graph
+from piperack.operators import graph, plants
 
 #: What an intent is told by.
 INTENT = ["kind", "tag", "target", "equipment_type"]
@@ -69,8 +69,9 @@ def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated
     """The answers to questions(question_id, question) over nodes(tag, equipment_type, name) and edges(src, dst, verified).
 
     ``translated`` (question_id, kind, tag, target, equipment_type) speaks for questions that the words don't read. Ways of more than
-    ``cutoff`` edges are left out; None leaves out none."""
-    own = read.intents(questions, nodes)
+    ``cutoff`` edges are left out; None leaves out none. Where nodes and edges have a plant as well, which no edge leaves, each
+    walk is made within its plant (see ``plants``)."""
+    own = cut(read.intents(questions, nodes))  # read once, however often it is looked at
     if translated is not None:
         other = reground(translated.join(own.where("kind is null").select("question_id"), "question_id", "left_semi"), nodes)
         own = own.where("kind is not null").union(other.select(*own.columns)).union(own.where("kind is null").join(other.select("question_id"), "question_id", "left_anti"))
@@ -78,19 +79,30 @@ def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated
     wanted = cut(asked.where("status = 'ok'").select(*INTENT).distinct())
     of = lambda *kinds: wanted.where(F.col("kind").isin(*kinds))
     starts = lambda kind: of(kind).select(F.col("tag").alias("start")).distinct()
-    walk, types = cut(graph.query_graph(edges)), nodes.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"))
+    types = nodes.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"))
     flow = F.when(F.col("verified"), "verified").otherwise("unverified")
     fits = F.col("equipment_type").isNull() | (F.col("equipment_type") == F.col("node_type"))
 
     # downstream and relief start from one closure, upstream from that of the reversed graph
-    below, above = cut(graph.reach(walk, starts("downstream").union(starts("relief")))), cut(graph.reach(walk, starts("upstream"), forward=False))
+    down, up, ends = starts("downstream").union(starts("relief")).distinct(), starts("upstream"), cut(of("path").select(F.col("tag").alias("source"), "target").distinct())
+    if "plant" in nodes.columns:
+        homes = cut(of(*NEEDS_TAG).select("tag").distinct().join(nodes.select("plant", "tag"), "tag"))
+        at_home = lambda df, end: df.join(homes.withColumnRenamed("tag", end), end)
+        below, above = cut(plants.reach(nodes, edges, at_home(down, "start"))), cut(plants.reach(nodes, edges, at_home(up, "start"), forward=False))
+        # a target in another plant is out of reach
+        inside = at_home(ends, "source").join(nodes.select("plant", F.col("tag").alias("target")), ["plant", "target"])
+        paths = plants.simple_paths(nodes, edges, inside, cutoff)
+        outcomes = plants.relief_outcomes(nodes, edges, at_home(starts("relief"), "start"))
+    else:
+        walk = cut(graph.query_graph(edges))
+        below, above = cut(graph.reach(walk, down)), cut(graph.reach(walk, up, forward=False))
+        paths, outcomes = graph.simple_paths(walk, ends, cutoff), graph.relief_outcomes(walk, nodes, starts("relief"))
     traced = lambda kind, found: of(kind).join(found.withColumnRenamed("start", "tag"), "tag").join(types, "node")
     parts = [traced(kind, found).where(fits).select(*INTENT, *_row(F.col("node"), F.col("node_type"), flow, None)) for kind, found in (("downstream", below), ("upstream", above))]
     parts.append(traced("relief", below).where("node_type = 'relief_valve'").select(*INTENT, *_row(F.col("node"), F.col("node_type"), flow, None)))
     near = graph.neighbours(edges, of("neighbours").select("tag").distinct())
     parts.append(of("neighbours").join(near, "tag").withColumnRenamed("neighbour", "node").join(types, "node").where(fits).select(*INTENT, *_row(F.col("node"), F.col("node_type"), F.col("relationship"), None)))
-    ends = cut(of("path").select(F.col("tag").alias("source"), "target").distinct())
-    paths = cut(graph.first_paths(graph.simple_paths(walk, ends, cutoff), most_paths).withColumnRenamed("source", "tag"))
+    paths = cut(graph.first_paths(paths, most_paths).withColumnRenamed("source", "tag"))
     parts.append(of("path").join(paths, ["tag", "target"]).select(*INTENT, *_row(F.array_join("path", " → "), None, flow, F.size("path") - 1)))
     named = nodes.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"), "name")
     parts.append(of("list").join(named, F.col("equipment_type") == F.col("node_type")).select(*INTENT, *_row(F.col("node"), F.col("node_type"), F.col("name"), None)))
@@ -108,7 +120,7 @@ def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated
         rows = rows.union(p)
     rows = cut(rows)
 
-    outcomes = graph.relief_outcomes(walk, nodes, starts("relief")).select(F.col("start").alias("tag"), F.lit("relief").alias("kind"), "outcome")
+    outcomes = outcomes.select(F.col("start").alias("tag"), F.lit("relief").alias("kind"), "outcome")
     sure = F.col("detail").isin("verified", "FLOWS_TO (out)", "FLOWS_TO (in)")
     sums = rows.groupBy(*INTENT).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(sure, 1)).alias("verified"), F.min("number").alias("least"), F.sum("number").alias("total"))
     same = [wanted[c].eqNullSafe(sums[c]) for c in INTENT]

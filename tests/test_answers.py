@@ -100,3 +100,18 @@ def test_a_way_of_any_length_without_a_cutoff(spark):
     asked = spark.createDataFrame([(1, f"path from 2401-V-0 to 2401-V-{n - 1}")], "question_id long, question string")
     assert [r.number for r in answers.answers(asked, nodes, edges, cutoff=None).rows.collect()] == [n - 1]
     assert answers.answers(asked, nodes, edges).rows.count() == 0
+
+
+def test_items_of_plants_are_walked_within_their_rows(spark, monkeypatch):
+    """With a plant the answers are those without one, and no small plant goes by levels."""
+    nodes, edges = plant(spark)
+    asked = spark.createDataFrame(list(enumerate(q for q in ASKED if q)), "question_id long, question string")
+    told = lambda found: (sorted(map(repr, found.envelopes.collect())), sorted(map(repr, found.rows.collect())))
+    expected = told(answers.answers(asked, nodes, edges))
+
+    def levels(*_, **__):
+        raise AssertionError("a small plant went by levels")
+
+    monkeypatch.setattr(graph, "spread_bits", levels)
+    at = "case when {0} rlike '(V-009|XV-9|PSV-002)$' then 2 else 1 end as plant"
+    assert told(answers.answers(asked, nodes.selectExpr("*", at.format("tag")), edges.selectExpr("*", at.format("src")))) == expected
