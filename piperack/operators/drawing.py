@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piperack.checkpoints import Grown, cut
-from piperack.operators.geometry import foot, point_segments, within
+from piperack.operators.geometry import closest, foot, point_segments, within
 
 
 def segments_of(paths: DataFrame, least: float = 1.0) -> DataFrame:
@@ -79,9 +79,7 @@ def gap_bridges(segments: DataFrame, low: float = 1.2, high: float = 8.0, offset
 def weighted_nearest(symbols: DataFrame, tags: DataFrame, cutoff: float, apart: bool = False) -> DataFrame:
     """page, id, tag, d: the tag (page, other, ox, oy, weight) of the least weighted distance within ``cutoff``; ties: the
     smaller. With ``apart`` both are of one kind, and none is its own tag."""
-    pairs = within(symbols, tags, cutoff)
-    best = (pairs.where("id <> other") if apart else pairs).withColumn("w", F.col("d") * F.col("weight")).where(F.col("w") <= cutoff)
-    return best.groupBy("page", "id").agg(F.min(F.struct("w", F.col("other").alias("tag"), "d")).alias("m")).select("page", "id", "m.tag", "m.d")
+    return closest(symbols, tags, cutoff, apart=apart).withColumnRenamed("other", "tag")
 
 
 def arrows_on_runs(arrows: DataFrame, segments: DataFrame, distance: float = 6.0, parallel: float = 0.85) -> DataFrame:

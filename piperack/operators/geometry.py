@@ -6,11 +6,17 @@ Spark can shuffle and split, and never a comparison of all with all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piperack.checkpoints import cut
+
 # Distances in points.
 SNAP, T_SPLIT, NEAR_ENDS = 1.2, 1.2, (0.02, 0.98)
+#: Rows in a cell at the start of a search, as a row sees them on the mean.
+CROWD = 4
 
 
 def stroke_class(width: Column) -> Column:
@@ -37,12 +43,42 @@ def within(left: DataFrame, right: DataFrame, distance: float, page: str = "page
     return probes.join(cells, [page, "cx", "cy"]).withColumn("d", d).where(F.col("d") <= distance).drop("cx", "cy")
 
 
+def closest(left: DataFrame, right: DataFrame, cutoff: float, page: str = "page", apart: bool = False) -> DataFrame:
+    """page, id, other, d: of ``right`` (page, other, ox, oy, weight) the least weighted distance from each of ``left`` (page, id,
+    x, y), where it and the distance are ``cutoff`` at most; ties go to the smaller other.
+
+    The search starts in cells of a few rows and doubles its reach until all that is out of reach must be farther than what
+    is found, so pairs grow as the rows do, however close they stand. Of rows alike in place and weight the two smallest
+    are enough, one of which may be the row itself.
+    """
+    spot = [page, "ox", "oy", "weight"]
+    place = F.row_number().over(Window.partitionBy(*spot).orderBy("other"))
+    spots = cut(right.select(*spot, "other").distinct().withColumn("_k", place).where(F.col("_k") <= (2 if apart else 1)).drop("_k"))
+    halved, least = 0, spots.agg(F.min("weight")).first()[0]
+    # a row shares its cell with so many on the mean; rows alike in place are two, so halving the cells thins them out
+    while least is not None and least > 0 and halved < 48:
+        side = cutoff / 2**halved
+        cells = spots.groupBy(page, _cell(F.col("ox"), side).alias("cx"), _cell(F.col("oy"), side).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+        many = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if many <= CROWD:
+            break
+        halved += max(1, math.ceil(math.log(many / CROWD, 4)))
+    open_, done = left.select(page, "id", "x", "y"), None
+    for k in range(halved, -1, -1):
+        reach = cutoff / 2**k
+        pairs = within(open_, spots, reach, page).withColumn("w", F.col("d") * F.col("weight")).where(F.col("w") <= cutoff)
+        best = (pairs.where("id <> other") if apart else pairs).groupBy(page, "id").agg(F.min(F.struct("w", "other", "d")).alias("m"))
+        found = best.select(page, "id", "m.other", "m.d") if not k else cut(best.where(F.col("m.w") < reach * least).select(page, "id", "m.other", "m.d"))
+        done = found if done is None else done.union(found)
+        if k:
+            open_ = cut(open_.join(found, [page, "id"], "left_anti"))
+    return done
+
+
 def nearest(left: DataFrame, right: DataFrame, cutoff: float, page: str = "page", apart: bool = False) -> DataFrame:
     """page, id, other, d: the nearest of ``right`` for each of ``left`` within ``cutoff``; ties go to the smaller other.
     With ``apart`` both are of one kind, and none is its own nearest."""
-    pairs = within(left, right, cutoff, page)
-    best = (pairs.where("id <> other") if apart else pairs).groupBy(page, "id").agg(F.min(F.struct("d", "other")).alias("m"))
-    return best.select(page, "id", F.col("m.other").alias("other"), F.col("m.d").alias("d"))
+    return closest(left, right.withColumn("weight", F.lit(1.0)), cutoff, page, apart)
 
 
 def snap(points: DataFrame, tolerance: float = SNAP, page: str = "page") -> DataFrame:
