@@ -48,12 +48,13 @@ def texts_inside(circles: DataFrame, spans: DataFrame, margin: float = 2.0) -> D
     return hits.groupBy("page", "id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("oy", "other"))), lambda s: s["other"])).alias("texts"))
 
 
-def crossings(segments: DataFrame, reach: float, low: float = 30.0, high: float = 150.0, slack: float = 0.4) -> DataFrame:
+def crossings(segments: DataFrame, reach: float, low: float = 30.0, high: float = 150.0, slack: float = 0.4, firsts: Column | None = None) -> DataFrame:
     """page, a, b, x, y, t, u where two segments (page, id, ax, ay, bx, by, angle, mx, my) cross between ``low`` and ``high`` degrees.
 
-    Midpoints must be within ``reach``; the crossing may lie ``slack`` of a length beyond either's ends.
+    Midpoints must be within ``reach``; the crossing may lie ``slack`` of a length beyond either's ends. ``firsts`` tells
+    which segments may be a.
     """
-    left = segments.select("page", "id", F.col("mx").alias("x"), F.col("my").alias("y"), *[F.col(c).alias(f"l{c}") for c in ("ax", "ay", "bx", "by", "angle")])
+    left = (segments if firsts is None else segments.where(firsts)).select("page", "id", F.col("mx").alias("x"), F.col("my").alias("y"), *[F.col(c).alias(f"l{c}") for c in ("ax", "ay", "bx", "by", "angle")])
     right = segments.select("page", F.col("id").alias("other"), F.col("mx").alias("ox"), F.col("my").alias("oy"), *[F.col(c).alias(f"r{c}") for c in ("ax", "ay", "bx", "by", "angle")])
     pairs = within(left, right, reach).where("id < other")
     turn = F.abs(F.col("langle") - F.col("rangle"))

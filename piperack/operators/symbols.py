@@ -6,16 +6,20 @@ grid, so a page with all the symbols there are is spread over tasks like any oth
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piperack.checkpoints import cut
 from piperack.operators.drawing import crossings
 from piperack.operators.geometry import within
-from piperack.operators.topology import greedy_matching, leaders
+from piperack.operators.topology import greedy_matching, leaders, leaders_in_blocks, with_leader
 
 # Strokes of a symbol at most, and where along both strokes a single crossing must lie.
 MOST_STROKES, MIDDLE = 8, (0.3, 0.7)
+#: Pairs of strokes near each other, by the counts of cells, in the first block that leaders are chosen from.
+AT_ONCE = 4_000_000
 # An arc's span and least radius as a head, unlike radii, distances by the radius, and how far a head may open aside.
 HEAD_SPAN, HEAD_RADIUS, UNLIKE, FAR, ASIDE = (100.0, 280.0), 12.0, (2.0, 0.15), (0.5, 12.0), 55.0
 
@@ -25,18 +29,35 @@ def tenths(x: Column) -> Column:
     return F.round(x * 10) / 10
 
 
-def pinches(diagonals: DataFrame, reach: float, cluster: float) -> DataFrame:
-    """page, id, crossings, x, y, t, u, strokes, x0, y0, x1, y1: clusters of the crossings of ``diagonals``.
+def _blocks(strokes: DataFrame, reach: float) -> list[Column]:
+    """Which strokes are a block's firsts, in the order of their ids: one block, or blocks that double if pairs are many."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    n, square = strokes.groupBy("page", cell("mx"), cell("my")).count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+    halvings = math.ceil(math.log2(max(1.0, 4.5 * (square or 0) / AT_ONCE)))
+    sample = sorted(r.id for r in strokes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, (n or 0) // 4096))) == 0).select("id").distinct().collect()) if halvings else []
+    bounds = sorted({sample[len(sample) >> k] for k in range(halvings, 0, -1)}) if sample else []
+    ahead = [F.lit(True), *[F.col("id") > b for b in bounds]]
+    return [low & high for low, high in zip(ahead, [*[F.col("id") <= b for b in bounds], F.lit(True)], strict=True)]
+
+
+def pinches(diagonals: DataFrame, reach: float, cluster: float, most: int) -> DataFrame:
+    """page, id, crossings, x, y, t, u, strokes, x0, y0, x1, y1: clusters of the crossings of ``diagonals`` with ``most`` strokes or fewer.
 
     A crossing is named by its strokes, and leads those after it that are nearer than ``cluster``; x and y are the mean
-    of a cluster, the box holds its strokes, t and u tell where a single crossing lies on both."""
-    found = cut(crossings(diagonals, reach).withColumn("id", F.struct("a", "b")))
-    led = leaders(found.select("page", "id", "x", "y"), cluster, [], strict=True)
-    own = found.join(led, ["page", "id"])
+    of a cluster, the box holds its strokes, t and u tell where a single crossing lies on both.
+
+    Crossings grow with the square of a page's strokes, so they are drawn anew for each use and never stored: once in blocks
+    to choose the leaders, once to count clusters, once for those clusters that are small enough to have few strokes."""
+    diagonals = cut(diagonals.select("page", "id", "ax", "ay", "bx", "by", "angle", "mx", "my"))
+    found = lambda firsts: crossings(diagonals, reach, firsts=firsts).withColumn("id", F.struct("a", "b"))
+    chosen = leaders_in_blocks([found(firsts) for firsts in _blocks(diagonals, reach)], cluster, strict=True)
+    led = with_leader(found(None), chosen, cluster, strict=True)
+    few = cut(led.groupBy("page", "leader").count().where(F.col("count") <= most * (most - 1) // 2).select("page", "leader"))  # so many pairs have ``most`` strokes
+    own = cut(with_leader(found(None), chosen, cluster, True, few).join(few, ["page", "leader"], "left_semi"))
     places = own.groupBy("page", "leader").agg(F.count(F.lit(1)).alias("crossings"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("t").alias("t"), F.min("u").alias("u"))
     strokes = own.select("page", "leader", F.explode(F.array("a", "b")).alias("id")).distinct().join(diagonals.select("page", "id", "ax", "ay", "bx", "by"), ["page", "id"])
     boxes = strokes.groupBy("page", "leader").agg(F.count(F.lit(1)).alias("strokes"), F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by")).alias("y1"))
-    return places.join(boxes, ["page", "leader"]).withColumnRenamed("leader", "id")
+    return places.join(boxes.where(F.col("strokes") <= most), ["page", "leader"]).withColumnRenamed("leader", "id")
 
 
 def barred(singles: DataFrame, diagonals: DataFrame, bars: DataFrame, reach: float) -> DataFrame:
@@ -55,7 +76,7 @@ def valves(diagonals: DataFrame, bars: DataFrame, circles: DataFrame, reach: flo
     A cluster is a valve if it has two crossings and three strokes, or one crossing in the middle of both and a bar at two
     of their ends; more than eight strokes are hatching. Of valves nearer than ``apart`` the one with most strokes stays
     (ties: the smaller id), and none stays within a circle (page, id, x, y, r) whose radius is within ``rings``."""
-    found = cut(pinches(diagonals, reach, cluster).where(F.col("strokes") <= MOST_STROKES))
+    found = cut(pinches(diagonals, reach, cluster, MOST_STROKES))
     middle = F.col("t").between(*MIDDLE) & F.col("u").between(*MIDDLE)
     singles = found.where("crossings = 1 and strokes = 2").where(middle)
     taken = found.where("crossings >= 2 and strokes >= 3").union(singles.join(barred(singles, diagonals, bars, touch), ["page", "id"], "left_semi").select(*found.columns))

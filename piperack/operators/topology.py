@@ -33,12 +33,27 @@ def leaders(points: DataFrame, distance: float, order: list[Column], strict: boo
     are one point but for their ids; points without a place lead themselves.
     """
     rank = F.struct(*order, F.col("id"))
-    side = distance / math.sqrt(2)
     placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    at = cut(placed.groupBy("page", "x", "y").agg(F.min(rank).alias("rank")))
-    at = at.withColumns({"cx": F.floor(F.col("x") / side).cast("long"), "cy": F.floor(F.col("y") / side).cast("long")})
-    reach = lambda x, y: F.sqrt((F.col("x") - F.col(x)) ** 2 + (F.col("y") - F.col(y)) ** 2)
-    near = reach("lx", "ly") < distance if strict else reach("lx", "ly") <= distance
+    at = _in_cells(cut(placed.groupBy("page", "x", "y").agg(F.min(rank).alias("rank"))), distance)
+    every = _around(chosen_leaders(at, distance, strict)).drop("cx", "cy").withColumnsRenamed({"nx": "cx", "ny": "cy"})
+    led = at.join(every, ["page", "cx", "cy"]).where(_near(distance, strict)).groupBy("page", "x", "y").agg(F.min("leader").alias("leader"))
+    own = placed.join(led, ["page", "x", "y"]).select("page", "id", F.col("leader.id").alias("leader"))
+    return own.union(points.select("page", "id", "x", "y").where("x is null or y is null or isnan(x) or isnan(y)").select("page", "id", F.col("id").alias("leader")))
+
+
+def _in_cells(df: DataFrame, distance: float) -> DataFrame:
+    """``df`` (x, y, ...) with the cell of each row, as cx, cy; its diagonal is ``distance``."""
+    side = distance / math.sqrt(2)
+    return df.withColumns({"cx": F.floor(F.col("x") / side).cast("long"), "cy": F.floor(F.col("y") / side).cast("long")})
+
+
+def _near(distance: float, strict: bool) -> Column:
+    reach = F.sqrt((F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2)
+    return reach < distance if strict else reach <= distance
+
+
+def chosen_leaders(at: DataFrame, distance: float, strict: bool) -> DataFrame:
+    """page, cx, cy, leader, lx, ly: the leaders among ``at`` (page, x, y, rank, cx, cy), in the order of their ranks."""
     left, chosen = at, None
     while True:
         firsts = left.groupBy("page", "cx", "cy").agg(F.min(F.struct("rank", "x", "y")).alias("f"))
@@ -47,16 +62,58 @@ def leaders(points: DataFrame, distance: float, order: list[Column], strict: boo
         if chosen is None:
             chosen = Grown(found)
         elif found.isEmpty():
-            break
+            return chosen.whole
         else:
             chosen.add(found)
         new = _around(found).drop("cx", "cy").withColumnsRenamed({"nx": "cx", "ny": "cy"})
-        taken = left.join(new, ["page", "cx", "cy"]).where(near).select("page", "x", "y").distinct()
+        taken = left.join(new, ["page", "cx", "cy"]).where(_near(distance, strict)).select("page", "x", "y").distinct()
         left = cut(left.join(taken, ["page", "x", "y"], "left_anti"))
-    every = _around(chosen.whole).drop("cx", "cy").withColumnsRenamed({"nx": "cx", "ny": "cy"})
-    led = at.join(every, ["page", "cx", "cy"]).where(near).groupBy("page", "x", "y").agg(F.min("leader").alias("leader"))
-    own = placed.join(led, ["page", "x", "y"]).select("page", "id", F.col("leader.id").alias("leader"))
-    return own.union(points.select("page", "id", "x", "y").where("x is null or y is null or isnan(x) or isnan(y)").select("page", "id", F.col("id").alias("leader")))
+
+
+#: Cells with leaders around that are broadcast at most; more are joined by a shuffle.
+CELLS = 100_000
+
+
+def _leaders_by_cell(chosen: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """page, cx, cy, around: the leaders that may be in reach of a cell's points, some twenty at most, earliest first."""
+    few = F.lit(True) if among is None else F.col("few")
+    named = chosen if among is None else chosen.join(among.select("page", F.struct(F.col("leader").alias("id")).alias("leader"), F.lit(True).alias("few")), ["page", "leader"], "left")
+    cells = _around(named).groupBy("page", F.col("nx").alias("cx"), F.col("ny").alias("cy")).agg(F.sort_array(F.collect_list(F.struct("leader", "lx", "ly"))).alias("around"), F.bool_or(few).alias("few"))
+    cells = cut(cells.where("few").drop("few"))
+    return F.broadcast(cells) if cells.count() <= CELLS else cells
+
+
+def leaders_in_blocks(blocks: list[DataFrame], distance: float, strict: bool) -> DataFrame:
+    """page, cx, cy, leader, lx, ly: the leaders of points (page, id, x, y) that come in ``blocks``, all of a block before those
+    of the next, and by id within it.
+
+    Only points out of reach of the leaders of earlier blocks are kept, the others are read once and never shuffled or
+    stored; so blocks that grow are as good as one, but for the room they take.
+    """
+    chosen = None
+    for block in blocks:
+        at = _in_cells(block.select("page", "x", "y", F.struct("id").alias("rank")), distance)
+        if chosen is not None:
+            at = at.join(_leaders_by_cell(chosen), ["page", "cx", "cy"], "left").where(~F.coalesce(F.exists("around", _reached(distance, strict)), F.lit(False))).drop("around")
+        found = chosen_leaders(_in_cells(cut(at.groupBy("page", "x", "y").agg(F.min("rank").alias("rank"))), distance), distance, strict)
+        chosen = found if chosen is None else cut(chosen.union(found))
+    return chosen
+
+
+def _reached(distance: float, strict: bool):
+    def reached(l):  # noqa: E741
+        d = F.sqrt((F.col("x") - l["lx"]) ** 2 + (F.col("y") - l["ly"]) ** 2)
+        return d < distance if strict else d <= distance
+
+    return reached
+
+
+def with_leader(points: DataFrame, chosen: DataFrame, distance: float, strict: bool, among: DataFrame | None = None) -> DataFrame:
+    """``points`` (page, id, x, y, ...) with the earliest leader in reach of each, as leader; ``chosen`` has all of them.
+    Given ``among`` (page, leader), points in cells that none of these is near are left out."""
+    cells = _leaders_by_cell(chosen) if among is None else _leaders_by_cell(chosen, among)
+    led = _in_cells(points, distance).join(cells, ["page", "cx", "cy"])
+    return led.withColumn("leader", F.try_element_at(F.filter("around", _reached(distance, strict)), F.lit(1))["leader"]["id"]).drop("cx", "cy", "around")
 
 
 def greedy_matching(pairs: DataFrame, order: list[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from piperack.operators import symbols, topology
+from piperack.operators import drawing, symbols, topology
 
 
 @pytest.mark.parametrize("strict", [True, False])
@@ -126,6 +126,28 @@ def test_valves_and_capsules_by_hand(spark):
     assert [(r.a, r.b, r.orientation, r.x0, r.y0, r.x1, r.y1) for r in found] == [(1, 2, "V", -15.0, -15.0, 15.0, 75.0)]
 
 
+def test_crossings_of_a_crowded_page_are_not_stored(spark, monkeypatch):
+    rnd = random.Random(3)
+    at = [(rnd.gauss(0, 12), rnd.gauss(0, 12), rnd.uniform(0, math.pi), rnd.uniform(8, 30)) for _ in range(260)]
+    ends = [(x - r * math.cos(w), y - r * math.sin(w), x + r * math.cos(w), y + r * math.sin(w)) for x, y, w, r in at]
+    rows = [(i % 2, i, *e, math.degrees(math.atan2(e[3] - e[1], e[2] - e[0])) % 180, (e[0] + e[2]) / 2, (e[1] + e[3]) / 2) for i, e in enumerate(ends)]
+    lines = spark.createDataFrame(rows, "page int, id long, ax double, ay double, bx double, by double, angle double, mx double, my double")
+    every = drawing.crossings(lines, 20.0).withColumn("id", F.struct("a", "b"))
+    led = every.join(topology.leaders(every.select("page", "id", "x", "y"), 4.0, [], strict=True), ["page", "id"]).toPandas()
+    expected = {}
+    for (page, leader), own in led.groupby(["page", "leader"]):
+        if len(strokes := {*own.a, *own.b}) <= 8:
+            expected[page, leader["a"], leader["b"]] = len(own), len(strokes), round(own.x.mean(), 6), round(own.y.mean(), 6)
+    assert len(led) > 3000 and len(expected) > 20
+    stored, plain = [], symbols.cut
+    keep = lambda df: stored.append(plain(df)) or stored[-1]
+    monkeypatch.setattr(symbols, "cut", keep)
+    monkeypatch.setattr(topology, "cut", keep)
+    monkeypatch.setattr(symbols, "AT_ONCE", 500, raising=False)
+    got = {(r.page, r.id.a, r.id.b): (r.crossings, r.strokes, round(r.x, 6), round(r.y, 6)) for r in symbols.pinches(lines, 20.0, 4.0, 8).collect()}
+    assert got == expected and max(df.count() for df in stored) < len(led) / 3
+
+
 def test_nozzles_of_one_owner_merge(spark):
     rows = [(1, 1, "V-1", 0.0, 0.0, None), (1, 2, "V-1", 7.0, 0.0, "N1"), (1, 3, "V-1", 14.0, 0.0, None), (1, 4, "V-2", 1.0, 0.0, None), (2, 5, "V-1", 0.0, 0.0, None), (1, 6, None, 0.0, 0.0, None), (1, 7, None, 1.0, 0.0, None)]
     edges = [(1, 1, 2), (2, 1, 3), (3, 3, 4), (4, 5, 9), (5, 6, 7)]
