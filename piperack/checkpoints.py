@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: for large tables that are read more than once, as columns
+    take a fraction of a checkpoint's room, and a reader takes only those that it needs."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables-{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Grown:
     """The union of tables that are cut already; it is cut itself only now and then, so that plans stay short."""
 

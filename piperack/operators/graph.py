@@ -32,6 +32,18 @@ def query_graph(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "verified").unionByName(backward.join(edges, ["src", "dst"], "left_anti"))
 
 
+def drawn_or_back(steps: DataFrame) -> DataFrame:
+    """src, dst, verified, drawn: the rows of ``query_graph`` over ``any_verified`` of ``steps``, in one aggregation; drawn tells
+    the edges from their reverses."""
+    ahead = F.col("src") < F.col("dst")
+    ends = steps.where("src <> dst").groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+    ends = ends.agg(F.bool_or(ahead).alias("f"), F.bool_or(F.when(ahead, F.col("verified"))).alias("fv"), F.bool_or(~ahead).alias("b"), F.bool_or(F.when(~ahead, F.col("verified"))).alias("bv"))
+    row = lambda when, src, dst, verified, drawn: F.when(when, F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), verified.alias("verified"), F.lit(drawn).alias("drawn")))
+    one, other = F.col("f"), F.col("b")
+    rows = [row(one, "lo", "hi", F.col("fv"), True), row(other, "hi", "lo", F.col("bv"), True), row(one & ~F.col("fv") & ~other, "hi", "lo", F.lit(False), False), row(other & ~F.col("bv") & ~one, "lo", "hi", F.lit(False), False)]
+    return ends.select(F.explode(F.array(*rows)).alias("e")).where("e is not null").select("e.*")
+
+
 #: Rows of a frontier that are broadcast at most; a larger one is joined by a shuffle.
 FRONTIER = 50_000
 
@@ -60,7 +72,9 @@ def spread_bits(edges: DataFrame, front: DataFrame, on: list[str], stop: DataFra
     front = cut(front)
     size = front.count()
     while size:
-        walked = front if first or stop is None else front.join(stop, on, "left_anti")
+        walked = front
+        if not first and stop is not None:  # only the stops that the frontier stands at are matched with it
+            walked = front.join(small(stop.join(small(front.select(*on).distinct(), size), on, "left_semi"), size), on, "left_anti")
         steps = edges.withColumnRenamed("src", on[-1])
         met = small(walked, size).join(steps, on).groupBy("word", *lanes, F.col("dst").alias(on[-1]))
         met = met.agg(F.bit_or("bits").alias("bits"), F.bit_or(F.when(F.col("verified"), F.col("sure")).otherwise(F.lit(0).cast("long"))).alias("sure"))

@@ -22,8 +22,7 @@ def _register(sql: str):
 
 
 def _load(spark, sf_dir):
-    edges = graph.cut(s.edges(spark, sf_dir))
-    return s.nodes(spark, sf_dir), edges, graph.cut(graph.query_graph(edges))  # walked once a level
+    return s.nodes(spark, sf_dir), *s.walked(spark, sf_dir)  # walked once a level
 
 
 def _reach_sql(forward: bool) -> str:
@@ -37,7 +36,7 @@ FROM every JOIN nodes ON tag = node WHERE node <> (SELECT start FROM hub)"""
 
 def _reached(spark, sf_dir, forward):
     nodes, edges, walk = _load(spark, sf_dir)
-    found = graph.reach(walk, s.hub(edges), forward).select(F.col("node").alias("tag"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("flow"))
+    found = graph.reach(walk, graph.cut(s.hub(edges)), forward).select(F.col("node").alias("tag"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("flow"))
     return nodes.join(found, "tag").select("tag", "equipment_type", "flow")
 
 
@@ -63,7 +62,7 @@ FROM drawn JOIN nodes ON tag = node WHERE node <> start AND equipment_type = 're
 @_register(_relief_sql())
 def g_relief(spark, sf_dir):
     nodes, edges, walk = _load(spark, sf_dir)
-    return graph.relief_paths(walk, nodes, s.hub(edges)).select(F.col("node").alias("relief_valve"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("flow"))
+    return graph.relief_paths(walk, nodes, graph.cut(s.hub(edges))).select(F.col("node").alias("relief_valve"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("flow"))
 
 
 def _isolation_sql() -> str:
@@ -78,7 +77,7 @@ WHERE node <> start AND equipment_type IN ('valve', 'control_valve')"""
 @_register(_isolation_sql())
 def g_isolation(spark, sf_dir):
     nodes, edges, walk = _load(spark, sf_dir)
-    return graph.isolation_boundary(walk, nodes, s.hub(edges)).select(F.col("node").alias("tag"), "side")
+    return graph.isolation_boundary(walk, nodes, graph.cut(s.hub(edges))).select(F.col("node").alias("tag"), "side")
 
 
 _PATHS_SQL = f"""WITH RECURSIVE {s.GRAPH_SQL},
@@ -90,7 +89,7 @@ paths AS (SELECT path, sure FROM walks, sink WHERE node = goal)"""
 
 def _paths(spark, sf_dir):
     nodes, edges, walk = _load(spark, sf_dir)
-    start = s.hub(edges)
+    start = graph.cut(s.hub(edges))
     sink = edges.join(start, edges.dst == start.start, "left_anti").groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1)
     ends = start.withColumn("one", F.lit(1)).join(sink.select(F.col("dst").alias("target"), F.lit(1).alias("one")), "one").select(F.col("start").alias("source"), "target")
     return nodes, graph.simple_paths(walk, graph.cut(ends), 3)
@@ -121,7 +120,7 @@ seen AS (SELECT dst AS tag, CASE WHEN verified THEN 'FLOWS_TO (out)' ELSE 'CONNE
 SELECT tag, equipment_type, relationship FROM seen JOIN nodes USING (tag)""")
 def g_neighbours(spark, sf_dir):
     nodes, edges, _ = _load(spark, sf_dir)
-    found = graph.neighbours(edges, s.hub(edges).select(F.col("start").alias("tag")))
+    found = graph.neighbours(edges, graph.cut(s.hub(edges)).select(F.col("start").alias("tag")))
     return found.select(F.col("neighbour").alias("tag"), "relationship").join(nodes, "tag").select("tag", "equipment_type", "relationship")
 
 

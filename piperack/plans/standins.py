@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from piperack.checkpoints import stored
 from piperack.functions.plant import EQUIPMENT_TYPES
 from piperack.operators import graph
 
@@ -33,10 +34,25 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("chain"), "pos", F.concat(F.lit("P"), "l_partkey").alias("tag"), "equipment_type", "verified", F.concat(F.lit("P"), "after").alias("next"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    steps = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("P"), F.lead("l_partkey").over(along)).alias("dst"), (F.col("l_linestatus") == "F").alias("verified"))
-    return graph.any_verified(steps.where("dst is not null"))
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(along).alias("dst"), (F.col("l_linestatus") == "F").alias("verified"))
+    return steps.where("dst is not null")
+
+
+def _tagged(found: DataFrame) -> DataFrame:
+    """``found`` with its keys, which are narrower while they are shuffled, as tags."""
+    return found.withColumns({c: F.concat(F.lit("P"), c) for c in ("src", "dst")})
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(graph.any_verified(_steps(spark, sf_dir)))
+
+
+def walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The edges and their query graph, from one table that is written once."""
+    every = stored(_tagged(graph.drawn_or_back(_steps(spark, sf_dir))))
+    return every.where("drawn").drop("drawn"), every.drop("drawn")
 
 
 def hub(found: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small plants with known answers."""
 
+import random
+
 import pytest
 
 from piperack.functions import questions
@@ -184,3 +186,13 @@ def test_types_by_tag(spark):
     tags = {"2401-K-001": "compressor", "2401-PK-2": "compressor", "2401-V-1": "vessel", "2401-T-9": "tank", "2401-P-101A": "pump", "2401-E-5": "heat_exchanger", "XV-1": "vessel", "": "vessel"}
     rows = spark.createDataFrame([(t,) for t in tags], "tag string").select("tag", type_of_tag(F.col("tag")).alias("t")).collect()
     assert {r.tag: r.t for r in rows} == tags
+
+
+def test_edges_and_their_reverses_in_one_aggregation(spark):
+    rnd = random.Random(4)
+    steps = spark.createDataFrame([(rnd.randrange(12), rnd.randrange(12), rnd.choice([True, False, False, None])) for _ in range(160)], "src long, dst long, verified boolean")
+    edges = graph.any_verified(steps)
+    rows = lambda df: sorted(map(str, df.select("src", "dst", "verified").collect()))
+    found = graph.drawn_or_back(steps)
+    assert rows(found.where("drawn")) == rows(edges)
+    assert rows(found) == rows(graph.query_graph(edges)) and found.where("not drawn").count()
