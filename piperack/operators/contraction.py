@@ -8,10 +8,10 @@ independent of the order of rows. All starts advance together, a level a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import Grown, cut
+from piperack.checkpoints import Grown, cut, stored
 from piperack.functions.plant import type_of_tag
 
 
@@ -34,34 +34,64 @@ def terminals_of(model: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return elements.select("id", "tag").union(nozzles), nodes
 
 
+def _walk(start: Column, other: Column, lines: Column, sources: Column, forward: Column, backward: Column) -> Column:
+    """A walk without its direction: a, b, lines, sources and how its votes lie between the smaller item and the larger one."""
+    way = F.when(forward & backward, "branch").when(forward | backward, F.when(forward == (start < other), "ahead").otherwise("astern")).otherwise("none")
+    return F.struct(F.least(start, other).alias("a"), F.greatest(start, other).alias("b"), lines.alias("lines"), sources.alias("sources"), way.alias("class"))
+
+
 def walks(terminals: DataFrame, segments: DataFrame) -> DataFrame:
-    """start, other, lines, sources, forward, backward: for every terminal the terminals that its walks end at."""
-    hops = segments.select(F.col("a").alias("at"), F.col("b").alias("to"), "lines", "direction", "source")
-    back = segments.select("b", "a", "lines", (-F.col("direction")).alias("direction"), "source")
-    hops = cut(hops.union(back).withColumn("lines", F.coalesce("lines", F.array().cast("array<string>"))))
-    ends = terminals.select(F.col("id").alias("to"), F.col("tag").alias("other"))
+    """a, b, lines, sources, class: for every terminal the walks to the terminals that they end at, by their items.
+
+    Segments get the tags of both ends first: those between two terminals are walks already and are never shuffled again,
+    levels are joined only for walks that go on through other elements."""
     empty = F.array().cast("array<string>")
-    front = terminals.select(F.col("id").alias("start"), F.col("tag").alias("tag"), F.col("id").alias("at"), empty.alias("lines"), empty.alias("sources"), F.lit(False).alias("forward"), F.lit(False).alias("backward"))
-    seen, found = Grown(front.select("start", "at")), None
-    while True:
-        step = front.withColumnRenamed("lines", "had").join(hops, "at")
-        voted = F.col("direction") != 0
-        step = step.select(
-            "start", "tag", F.col("to").alias("at"),
+    hops = segments.select("a", "b", F.coalesce("lines", empty).alias("lines"), F.coalesce("direction", F.lit(0)).cast("int").alias("direction"), "source")
+    turn = F.col("a") > F.col("b")
+    hops = hops.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lines", F.when(turn, -F.col("direction")).otherwise(F.col("direction")).alias("direction"), "source")
+    for end in ("a", "b"):
+        hops = hops.join(terminals.select(F.col("id").alias(end), F.col("tag").alias(f"tag_{end}")), end, "left")
+    voted = F.col("direction") != 0
+    own = F.when(voted, F.array(F.coalesce("source", F.lit("")))).otherwise(empty)
+    ahead = [F.array_sort(F.array_distinct("lines")).alias("lines"), own.alias("sources"), (F.col("direction") > 0).alias("forward"), (F.col("direction") < 0).alias("backward")]
+    # in one aggregation, for which nothing is shuffled: of segments side by side between terminals the smallest signature either
+    # way, others as they are
+    between = F.col("tag_a").isNotNull() & F.col("tag_b").isNotNull() & (F.col("a") != F.col("b"))
+    either = [F.struct("lines", "sources", "forward", "backward"), F.struct("lines", "sources", F.col("backward").alias("forward"), F.col("forward").alias("backward"))]
+    hops = hops.select("a", "b", "tag_a", "tag_b", F.when(~between, F.struct("lines", "direction", "source")).alias("hop"), *ahead).groupBy("a", "b", "tag_a", "tag_b")
+    every = stored(hops.agg(F.min(F.when(between, either[0])).alias("w"), F.min(F.when(between, either[1])).alias("back"), F.collect_set("hop").alias("hops")))
+    direct = every.where("w is not null")
+    rest = every.where("w is null and a <> b").select("a", "b", "tag_a", "tag_b", F.explode("hops").alias("h")).select("a", "b", "tag_a", "tag_b", "h.*")
+    parts = lambda w: [F.col(f"{w}.{c}") for c in ("lines", "sources", "forward", "backward")]
+    found = direct.where("tag_a <> tag_b").select(F.explode(F.array_distinct(F.array(_walk(F.col("tag_a"), F.col("tag_b"), *parts("w")), _walk(F.col("tag_b"), F.col("tag_a"), *parts("back"))))).alias("p")).select("p.*")
+    ways = cut(rest.select(F.col("a").alias("at"), F.col("tag_a").alias("tag"), F.col("b").alias("to"), F.col("tag_b").alias("other"), "lines", "direction", "source").union(rest.select("b", "tag_b", "a", "tag_a", "lines", -F.col("direction"), "source")))
+    inner = ways.where("tag is null").drop("tag")
+    keys = ["start", "tag", "at"]
+    least = lambda df: df.groupBy(*keys).agg(F.min(F.struct("lines", "sources", "forward", "backward")).alias("w")).select(*keys, "w.*")
+    front = cut(least(ways.where("tag is not null").select(F.col("at").alias("start"), "tag", F.col("to").alias("at"), *ahead)))
+    seen, later, level = Grown(front.select("start", "at")), None, 1
+    while not front.isEmpty():
+        level += 1
+        step = front.withColumnRenamed("lines", "had").join(inner, "at").where("to <> start")
+        step = cut(step.select(
+            "start", "tag", F.col("to").alias("at"), "other",
             F.array_sort(F.array_union("had", "lines")).alias("lines"),
             F.when(voted, F.array_sort(F.array_union("sources", F.array(F.coalesce("source", F.lit("")))))).otherwise(F.col("sources")).alias("sources"),
             (F.col("forward") | (F.col("direction") > 0)).alias("forward"), (F.col("backward") | (F.col("direction") < 0)).alias("backward"),
-        )
-        fresh = step.join(seen.whole, ["start", "at"], "left_anti").groupBy("start", "tag", "at").agg(F.min(F.struct("lines", "sources", "forward", "backward")).alias("w"))
-        fresh = cut(fresh.select("start", "tag", "at", "w.*"))
-        if fresh.isEmpty():
-            break
-        seen.add(fresh.select("start", "at"))
-        placed = fresh.join(ends.withColumnRenamed("to", "at"), "at", "left")
-        reached = placed.where("other is not null and other <> tag").select(F.col("tag").alias("start"), "other", "lines", "sources", "forward", "backward")
-        found = reached if found is None else found.union(reached)
-        front = placed.where("other is null").drop("other")
-    return found if found is not None else front.where("false").select(F.col("tag").alias("start"), F.col("tag").alias("other"), "lines", "sources", "forward", "backward")
+        ))
+        ended = step.where("other is not null").withColumn("level", F.lit(level))
+        if later is None:
+            later = Grown(ended)
+        else:
+            later.add(ended)
+        front = cut(least(step.where("other is null").join(seen.whole, ["start", "at"], "left_anti")))
+        seen.add(front.select("start", "at"))
+    if later is None:
+        return found
+    # an element that segments lead to at once, or fewer of them, is met that way only
+    near = direct.select(F.col("a").alias("start"), F.col("b").alias("at")).union(direct.select("b", "a"))
+    fresh = later.whole.groupBy(*keys, "other").agg(F.min(F.struct("level", "lines", "sources", "forward", "backward")).alias("w")).join(near, ["start", "at"], "left_anti")
+    return found.union(fresh.where("other <> tag").select(_walk(F.col("tag"), F.col("other"), *parts("w")).alias("p")).select("p.*"))
 
 
 def contract(terminals: DataFrame, segments: DataFrame) -> DataFrame:
@@ -70,10 +100,7 @@ def contract(terminals: DataFrame, segments: DataFrame) -> DataFrame:
     Walks between two items pool by their votes: each one-way class gives a known edge in its direction; where there is
     none, all give one unknown edge, with a note if the votes of some walk turn round on the way.
     """
-    pairs = walks(terminals, segments).select(
-        F.least("start", "other").alias("a"), F.greatest("start", "other").alias("b"), "lines", "sources",
-        F.when(F.col("forward") & F.col("backward"), "branch").when(F.col("forward") | F.col("backward"), F.when(F.col("forward") == (F.col("start") < F.col("other")), "ahead").otherwise("astern")).otherwise("none").alias("class"),
-    )
+    pairs = walks(terminals, segments).repartition("a", "b").distinct()  # walks alike count once
     gathered = lambda c, when: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(when, F.col(c))))))
     is_class = lambda k: F.col("class") == k
     sums = pairs.groupBy("a", "b").agg(

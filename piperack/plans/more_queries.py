@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from piperack.functions import questions
 from piperack.functions.plant import IN_LINE
-from piperack.checkpoints import shared_folder
+from piperack.checkpoints import shared_folder, stored
 from piperack.operators import contraction, graph, studies
 from piperack.plans import standins as s
 from piperack.sources import exports
@@ -38,7 +38,7 @@ SELECT source, target, 'known' AS direction FROM known
 UNION ALL SELECT DISTINCT least(source, target), greatest(source, target), 'unknown' FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE least(k.source, k.target) = least(p.source, p.target) AND greatest(k.source, k.target) = greatest(p.source, p.target))""")
 def g_contract(spark, sf_dir):
     """Each line of an order is a drawn element, terminal unless its item is in line; each order a run of segments."""
-    found = graph.cut(s.chains(spark, sf_dir))
+    found = stored(s.chains(spark, sf_dir))
     element = lambda k: F.concat_ws("-", F.col("chain"), F.col("pos") + k)
     terminals = found.where(~F.col("equipment_type").isin(*IN_LINE)).select(element(0).alias("id"), "tag")
     lines = found.where("next is not null").select(element(0).alias("a"), element(1).alias("b"), F.array().cast("array<string>").alias("lines"), F.col("verified").cast("int").alias("direction"), F.lit("arrow").alias("source"))
