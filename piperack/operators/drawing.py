@@ -94,8 +94,11 @@ def arrows_on_runs(arrows: DataFrame, segments: DataFrame, distance: float = 6.0
 
 def labels_on_runs(spans: DataFrame, segments: DataFrame, cutoff: float = 30.0) -> DataFrame:
     """page, id, seg, d: the run nearest to each label (page, id, x, y); ties: the smaller run."""
-    best = point_segments(spans, segments, cutoff).groupBy("page", "id").agg(F.min(F.struct("d", "seg")).alias("m"))
-    return best.select("page", "id", "m.seg", "m.d")
+    # two minima of numbers need no sort of the pairs, which one of a struct would; pairs are made anew for the second
+    spans = spans.select("page", "id", "x", "y")
+    least = point_segments(spans, segments, cutoff).groupBy("page", "id").agg(F.min("d").alias("least"))
+    at = cut(spans.join(least, ["page", "id"]))
+    return point_segments(at, segments, cutoff).where("d = least").groupBy("page", "id", "d").agg(F.min("seg").alias("seg")).select("page", "id", "seg", "d")
 
 
 def owned_edges(edges: DataFrame, boxes: DataFrame, margin: float = 2.0) -> DataFrame:

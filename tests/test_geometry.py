@@ -38,3 +38,12 @@ def test_nearest_is_brute_force_with_few_pairs(spark, monkeypatch):
     assert found == {i: b[1:] for i in range(len(rows)) if (b := brute(i, heavy))}
     found = {r.id: r.other for r in geometry.nearest(points, others, 90.0).collect()}
     assert found == {i: min(o for o, *at in rows if at == list(r[1:])) for i, r in enumerate(rows)}
+
+
+def test_labels_take_the_nearest_run_without_a_sort(spark):
+    """Ties go to the smaller run; a sort of all pairs in reach is as large as they are."""
+    runs = spark.createDataFrame([(1, 7, 0.0, 0.0, 10.0, 0.0), (1, 5, 0.0, 4.0, 10.0, 4.0), (1, 3, 0.0, 9.0, 10.0, 9.0), (2, 9, 0.0, 0.0, 1.0, 0.0)], "page int, seg long, ax double, ay double, bx double, by double")
+    spans = spark.createDataFrame([(1, 1, 5.0, 2.0), (1, 2, 5.0, 8.0), (2, 3, 50.0, 0.0)], "page int, id long, x double, y double")
+    found = drawing.labels_on_runs(spans, runs, 5.0)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 5, 2.0), (1, 2, 3, 1.0)]
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
