@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from piperack.operators import drawing
+from piperack.checkpoints import stored
+from piperack.operators import drawing, plants
 from piperack.plans import standins as s
 from piperack.plans import table_queries as t
 
@@ -111,13 +112,11 @@ known(id, chain, pos) AS (SELECT id, chain, pos FROM e WHERE verified UNION SELE
 SELECT id, CASE WHEN id IN (SELECT id FROM known) THEN 1 ELSE 0 END AS direction FROM e""")
 def geo_orient(spark, sf_dir):
     """Runs of every order, seeded by its finished lines; nodes of two edges pass the direction on."""
-    from piperack.checkpoints import cut
-
-    found = cut(s.chains(spark, sf_dir).where("next is not null"))
-    at = lambda k: F.concat_ws("-", F.col("chain"), F.col("pos") + k)
-    edges = found.select((F.col("chain") * 100 + F.col("pos")).alias("id"), at(0).alias("a"), at(1).alias("b"), "verified")
-    seeds = edges.where("verified").select("id", F.lit(1).alias("direction"), F.lit(0).alias("priority"), F.lit("arrow").alias("source"))
-    return drawing.orient(edges, seeds).select("id", "direction")
+    found = stored(s.chains(spark, sf_dir).where("next is not null").select("chain", "pos", "verified"))
+    number = (F.col("chain") * 100 + F.col("pos")).alias("id")
+    edges = found.select(F.col("chain").alias("plant"), number, F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"))
+    seeds = found.where("verified").select(F.col("chain").alias("plant"), number, F.lit(1).alias("direction"), F.lit(0).alias("priority"), F.lit("arrow").alias("source"))
+    return plants.orient(edges, seeds).select("id", "direction")
 
 
 @_register("""WITH d AS (SELECT DISTINCT l_orderkey AS arc, l_quantity * 7.0 % 360 AS angle FROM lineitem),
