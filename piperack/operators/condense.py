@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import Grown, cut
+from piperack.checkpoints import Grown, cut, stored
 from piperack.functions.plant import IN_LINE
+from piperack.operators import graph
 from piperack.operators.topology import collapsed_chains
 
 _WALK = ["start", "here", "inline", "used", "via", "hops", "along", "against", "lines"]
@@ -30,41 +31,75 @@ class View:
 
 
 def stretches(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """here, there, run, inner, hops, along, against, lines, inline, ends: stretches between items that aren't in line or branch,
-    either way; ``along`` counts the hops verified from here to there. Instruments are left out; inline and ends tell if
-    ``there`` is in line and if nothing goes on from it. edges has src, dst, verified, lines."""
-    kinds = nodes.where(F.coalesce(F.col("equipment_type") != "instrument", F.lit(True))).select("tag", F.coalesce(F.col("equipment_type").isin(*IN_LINE), F.lit(False)).alias("inline"))
-    pipes = edges.where("src <> dst").join(kinds.select(F.col("tag").alias("src")), "src", "left_semi").join(kinds.select(F.col("tag").alias("dst")), "dst", "left_semi")
-    pipes = cut(pipes.select(F.monotonically_increasing_id().alias("id"), "src", "dst", "verified", F.coalesce("lines", F.array().cast("array<string>")).alias("lines")))
-    runs, members = collapsed_chains(pipes.select("id", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("solid").alias("style"), F.lit(0.0).alias("length")), kinds.where("not inline").select(F.col("tag").alias("node")))
-    hops = members.where("edge is not null").join(pipes.withColumnRenamed("id", "edge"), "edge")
-    sure = lambda end: F.sum((F.col("verified") & (F.col(end) == F.col("node"))).cast("long"))
-    told = hops.groupBy("run").agg(F.count(F.lit(1)).alias("hops"), sure("src").alias("along"), sure("dst").alias("against"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"), F.transform(F.sort_array(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "node")))), lambda x: x["node"]).alias("inner"))
-    whole = runs.where("not ring").join(told, "run").select("run", "a", "b", "inner", "hops", "along", "against", "lines")
-    both = whole.select(F.col("a").alias("here"), F.col("b").alias("there"), "run", "inner", "hops", "along", "against", "lines").union(whole.select("b", "a", "run", F.reverse("inner"), "hops", "against", "along", "lines"))
-    degree = pipes.select(F.explode(F.array("src", "dst")).alias("tag")).groupBy("tag").agg((F.count(F.lit(1)) == 1).alias("ends"))
-    return cut(both.join(kinds.join(degree, "tag").withColumnRenamed("tag", "there"), "there").where("here <> there").distinct())
+    """here, there, run, inner, hops, along, against, lines, at_inline, inline, ends: stretches between items that aren't in line or
+    branch, either way; ``along`` counts the hops verified from here to there. Instruments are left out; at_inline and inline tell
+    if ``here`` and ``there`` are in line, ends if nothing goes on from there. edges has src, dst, verified, lines.
+
+    Only edges between two in-line items of two edges are ranked as chains; what leads out of these chains is put to their ends.
+    """
+    kinds = nodes.where(F.coalesce(F.col("equipment_type") != "instrument", F.lit(True))).groupBy("tag").agg(F.max(F.coalesce(F.col("equipment_type").isin(*IN_LINE), F.lit(False))).alias("inline"))
+    kind = lambda end: kinds.select(F.col("tag").alias(end), F.col("inline").alias(f"{end}_inline"))
+    pipes = edges.where("src <> dst").join(kind("src"), "src").join(kind("dst"), "dst")
+    pipes = stored(pipes.select(F.monotonically_increasing_id().alias("id"), "src", "dst", F.coalesce("verified", F.lit(False)).alias("verified"), F.sort_array(F.array_distinct(F.coalesce("lines", F.array().cast("array<string>")))).alias("lines"), "src_inline", "dst_inline"))
+    ends = F.filter(F.array(*[F.when(F.col(f"{end}_inline"), F.col(end)) for end in ("src", "dst")]), lambda e: e.isNotNull())
+    turns = stored(pipes.select(F.explode(ends).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+    degree = lambda end: turns.select(F.col("tag").alias(end), F.col("n").alias(f"{end}_n"))
+    none = F.lit(None).cast("long")
+    plain = pipes.where("not src_inline and not dst_inline").select("*", none.alias("src_n"), none.alias("dst_n"))
+    rest = stored(pipes.where("src_inline or dst_inline").join(degree("src"), "src", "left").join(degree("dst"), "dst", "left").select(*plain.columns))
+    through = lambda end: F.coalesce(F.col(f"{end}_n") == 2, F.lit(False))
+    inner, outer = rest.where(through("src") & through("dst")), rest.where(through("src") != through("dst"))
+    # an end at an item that is passed: what lies beyond it, and if the flow is verified out to that or in from it
+    sure = lambda end: F.col("verified") & through(end)
+    pick = lambda c, end, other: F.when(through("src"), F.col(f"{other}{c}")).otherwise(F.col(f"{end}{c}"))
+    side = F.struct(pick("", "src", "dst").alias("tag"), pick("_inline", "src", "dst").alias("inline"), (F.coalesce(pick("_n", "src", "dst"), F.lit(0)) == 1).alias("ends"), "id", sure("src").cast("long").alias("out"), sure("dst").cast("long").alias("in"), "lines")
+    at = stored(outer.select(pick("", "dst", "src").alias("node"), side.alias("side")).groupBy("node").agg(F.collect_list("side").alias("sides")))
+    lone = at.where("size(sides) = 2").select(F.get("sides", F.lit(0)).alias("x"), F.get("sides", F.lit(1)).alias("y"), F.array("node").alias("inner"), *[F.lit(0).cast("long").alias(c) for c in ("hops", "along", "against")], F.array().cast("array<string>").alias("lines"))
+    # longer chains, whose ends have one side each; rings have none
+    members = collapsed_chains(inner.select("id", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("solid").alias("style"), F.lit(0.0).alias("length")), inner.select(F.col("src").alias("node")).where("false"))[1]
+    hops = members.join(inner.select(F.col("id").alias("edge"), "src", "dst", "verified", "lines"), "edge", "left")
+    way = lambda end: F.coalesce(F.sum((F.col("verified") & (F.col(end) == F.col("node"))).cast("long")), F.lit(0))
+    told = hops.groupBy("run").agg(F.count("edge").alias("hops"), way("src").alias("along"), way("dst").alias("against"), F.flatten(F.collect_set("lines")).alias("lines"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("inner"))
+    one = at.where("size(sides) = 1").select("node", F.get("sides", F.lit(0)).alias("side"))
+    told = told.withColumns({"first": F.get("inner", F.lit(0)), "last": F.element_at("inner", -1)})
+    long_ = told.join(one.select(F.col("node").alias("first"), F.col("side").alias("x")), "first").join(one.select(F.col("node").alias("last"), F.col("side").alias("y")), "last").select(*lone.columns)
+
+    def link(x, y, inner, along, against):
+        lines = F.sort_array(F.array_distinct(F.concat("x.lines", "lines", "y.lines")))
+        return F.struct(x["tag"].alias("here"), y["tag"].alias("there"), F.col("x.id").alias("run"), inner.alias("inner"), (F.col("hops") + 2).alias("hops"), (along + x["in"] + y["out"]).alias("along"), (against + x["out"] + y["in"]).alias("against"), lines.alias("lines"), x["inline"].alias("at_inline"), y["inline"].alias("inline"), y["ends"].alias("ends"))
+
+    x, y, along, against = map(F.col, ("x", "y", "along", "against"))
+    folded = lone.union(long_).where("x.tag <> y.tag").select(F.inline(F.array(link(x, y, F.col("inner"), along, against), link(y, x, F.reverse("inner"), against, along))))
+    direct = plain.union(rest.where(~through("src") & ~through("dst")))
+    none = F.array().cast("array<string>").alias("inner")
+    step = lambda a, b, along, against: F.struct(F.col(a).alias("here"), F.col(b).alias("there"), F.col("id").alias("run"), none, F.lit(1).cast("long").alias("hops"), along.cast("long").alias("along"), against.cast("long").alias("against"), "lines", F.col(f"{a}_inline").alias("at_inline"), F.col(f"{b}_inline").alias("inline"), (F.coalesce(f"{b}_n", F.lit(0)) == 1).alias("ends"))
+    direct = direct.select(F.inline(F.array(step("src", "dst", F.col("verified"), F.lit(0)), step("dst", "src", F.lit(0), F.col("verified")))))
+    return stored(direct.union(folded))
 
 
 def connections(links: DataFrame, starts: DataFrame) -> DataFrame:
     """start, other, via, hops, along, against, lines for what each of ``starts`` (start) meets over ``links``: a walk crosses
     branching in-line items until an item that isn't in line, or one that nothing goes on from; no item twice."""
     steps = links.withColumnsRenamed({"hops": "more", "along": "more_along", "against": "more_against", "lines": "more_lines", "inline": "then_inline"})
-    front = starts.select(F.col("start"), F.col("start").alias("here"), F.lit(True).alias("inline"), F.array().cast("array<long>").alias("used"), F.array().cast("array<string>").alias("via"), F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("along"), F.lit(0).cast("long").alias("against"), F.array().cast("array<string>").alias("lines")).distinct()
-    done = None
-    while True:
-        on = front.where("inline").join(steps, "here").where("there <> start").where(~F.array_contains("used", F.col("run")) & ~F.array_contains("via", F.col("there")) & ~F.arrays_overlap("via", "inner"))
-        passed = F.when(F.col("here") == F.col("start"), F.col("via")).otherwise(F.concat("via", F.array("here")))
-        on = on.select("start", F.col("there").alias("here"), F.col("then_inline").alias("inline"), "ends", F.concat("used", F.array("run")).alias("used"), F.concat(passed, "inner").alias("via"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("along") + F.col("more_along")).alias("along"), (F.col("against") + F.col("more_against")).alias("against"), F.array_union("lines", "more_lines").alias("lines"))
-        on = cut(on)
+    shown = lambda df: df.where("not inline or ends").select("start", F.col("here").alias("other"), "via", "hops", "along", "against", F.sort_array("lines").alias("lines"))
+    # the first level is what the links themselves say
+    first = links.where("here <> there").join(starts.select(F.col("start").alias("here")).distinct(), "here", "left_semi")
+    first = first.select(F.col("here").alias("start"), F.col("there").alias("here"), "inline", "ends", F.array("run").alias("used"), F.col("inner").alias("via"), "hops", "along", "against", "lines")
+    first = stored(first)
+    done, steps = None, steps.where("at_inline")
+    front = first.where("inline and not ends").select(*_WALK)
+    few = front.count()
+    while few:
+        on = (F.broadcast(front) if few <= graph.FRONTIER else front).join(steps, "here").where("there <> start").where(~F.array_contains("used", F.col("run")) & ~F.array_contains("via", F.col("there")) & ~F.arrays_overlap("via", "inner"))
+        on = on.select("start", F.col("there").alias("here"), F.col("then_inline").alias("inline"), "ends", F.concat("used", F.array("run")).alias("used"), F.concat("via", F.array("here"), "inner").alias("via"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("along") + F.col("more_along")).alias("along"), (F.col("against") + F.col("more_against")).alias("against"), F.array_union("lines", "more_lines").alias("lines"))
+        on = stored(on)
         if done is None:
-            done = Grown(on)
-        elif on.isEmpty():
-            break
+            done = Grown(shown(on), every=40)
         else:
-            done.add(on)
+            done.add(shown(on))
         front = on.where("inline and not ends").select(*_WALK)
-    return done.whole.where("not inline or ends").select("start", F.col("here").alias("other"), "via", "hops", "along", "against", F.sort_array("lines").alias("lines"))
+        few = front.count()
+    return shown(first) if done is None else shown(first).union(done.whole)
 
 
 def view(members: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1) -> View:
@@ -81,7 +116,7 @@ def view(members: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1)
     front, ways = own, []
     seen = own
     for _ in range(hops):
-        met = cut(connections(links, front.select(F.col("tag").alias("start")).distinct()))
+        met = connections(links, front.select(F.col("tag").alias("start")))
         mine = front.join(met, front.tag == met.start).drop("tag")
         way = F.when(F.col("along") == F.col("hops"), 1).when(F.col("against") == F.col("hops"), -1).otherwise(0)
         swap = (way == -1) | (way == 0) & (F.col("other") < F.col("start"))
@@ -97,9 +132,8 @@ def view(members: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1)
     taps = edges.select("src", "dst").union(edges.select("dst", "src")).join(types.where("equipment_type = 'instrument'").select(F.col("tag").alias("dst")), "dst", "left_semi")
     taps = taps.groupBy(F.col("src").alias("tag")).agg(F.sort_array(F.collect_set("dst")).alias("instruments"))
     every = every.join(types, "tag", "left").join(taps, "tag", "left").select("node_id", "tag", "role", "equipment_type", F.coalesce("instruments", F.array().cast("array<string>")).alias("instruments"))
-    same = F.when(F.col("direction") == "known", F.lit("")).otherwise(F.array_join(F.sort_array("via"), ","))
     # ways told from both of their ends are one; of ways alike but for the order of their items, the smaller
-    once = told.groupBy("node_id", "source", "target", "direction", F.sort_array("via").alias("set"), same.alias("same")).agg(F.min(F.struct("via", "hops", "verified_hops", "lines")).alias("c"))
+    once = told.groupBy("node_id", "source", "target", "direction", F.sort_array("via").alias("set")).agg(F.min(F.struct("via", "hops", "verified_hops", "lines")).alias("c"))
     return View(every, once.select("node_id", "source", "target", "c.via", "direction", "c.verified_hops", "c.hops", "c.lines"))
 
 

@@ -50,3 +50,14 @@ def test_rings_and_loops_of_valves_end(spark):
     edges = [("V-1", "X0", True), ("X0", "X1", True), ("X1", "X2", True), ("X2", "X0", True), ("X2", "V-2", True), ("X3", "X4", True), ("X4", "X5", True), ("X5", "X3", True), ("X1", "X1", False)]
     _, ways, _ = shown(spark, nodes, edges, ["V-1"])
     assert [(w[:3]) for w in ways] == [("V-1", "V-2", ("X0", "X1", "X2")), ("V-1", "V-2", ("X0", "X2"))] or sorted(w[2] for w in ways) == [("X0", "X1", "X2"), ("X0", "X2")]
+
+
+def test_only_inner_edges_of_chains_are_ranked(spark, monkeypatch):
+    """Chains of one and of three valves, a ring of valves and plain edges: what is ranked is what joins two passed items."""
+    ranked, own = [], condense.collapsed_chains
+    monkeypatch.setattr(condense, "collapsed_chains", lambda edges, anchors: ranked.append(edges.count()) or own(edges, anchors))
+    nodes = [(f"V-{k}", V) for k in range(5)] + [(f"X{k}", X) for k in range(6)]
+    edges = [("V-0", "X0", True, ["b"]), ("X0", "V-1", True, ["a"]), ("V-1", "V-2", True), ("X1", "V-0", True), ("X2", "X1", True, ["c"]), ("X2", "X3", True), ("X3", "V-3", True), ("X4", "X5", True), ("X5", "X4", True), ("V-3", "V-4", False)]
+    _, ways, _ = shown(spark, nodes, edges, ["V-0", "V-3"])
+    assert ranked == [4]  # two of the chain, two of the ring
+    assert ways == [("V-0", "V-1", ("X0",), "known", "2/2", ("a", "b")), ("V-0", "V-3", ("X1", "X2", "X3"), "unknown", "4/4", ("c",)), ("V-3", "V-4", (), "unknown", "0/1", ())]
