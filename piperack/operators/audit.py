@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import cut
+from piperack.checkpoints import cut, stored
+from piperack.operators import graph
 
 #: Letters by which keywords are looked for in texts.
 LEAD = 3
@@ -102,13 +103,17 @@ def slot_recall(gold: DataFrame, rows: DataFrame) -> DataFrame:
     items = gold.groupBy("label", "slot", "item").agg(F.flatten(F.collect_list("match_any")).alias("match_any"))
     ways = items.select("label", "slot", "item", F.posexplode("match_any").alias("way", "words")).withColumn("words", F.filter(F.transform("words", F.lower), lambda w: w != ""))
     words = cut(ways.select(F.explode("words").alias("word")).distinct())
+    few = words.count() <= graph.FRONTIER
+    small = F.broadcast if few else lambda df: df
     # a keyword may stand anywhere in a text, within words and across them, so it is looked for by its first letters
     leads = words.select(F.substring("word", 1, LEAD).alias("lead"), "word")
-    texts = cut(rows.select("label", "slot", F.xxhash64("text").alias("text_id"), F.lower("text").alias("text")).where("text is not null").distinct())
+    texts = stored(rows.select("label", "slot", F.xxhash64("text").alias("text_id"), F.lower("text").alias("text")).where("text is not null").distinct())
     places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
     grams = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, LEAD + 1)]), lambda n: F.transform(places, lambda i: F.substr(F.col("text"), i, n)))))
-    near = texts.select("label", "slot", "text_id", "text", F.explode(grams).alias("lead")).join(leads.select("lead").distinct(), "lead", "left_semi")
-    met = cut(near.join(leads, "lead").where(F.contains("text", F.col("word"))).select("label", "slot", "text_id", "word").distinct())
+    # few leads come to the texts, which aren't shuffled by each of their letters; of many, texts come after their leads
+    near = texts.select("label", "slot", "text_id", *(["text"] if few else []), F.explode(grams).alias("lead")).join(small(leads.select("lead").distinct()), "lead", "left_semi")
+    near = near if few else near.join(texts, ["label", "slot", "text_id"])
+    met = stored(near.join(small(leads), "lead").where(F.contains("text", F.col("word"))).select("label", "slot", "text_id", "word"))
     # an alternative's rarest word leads to the texts, which must have the others too
     counts = met.groupBy("label", "slot", "word").agg(F.count(F.lit(1)).alias("texts"))
     needed = ways.select("label", "slot", "item", "way", F.array_distinct("words").alias("words"), F.explode(F.array_distinct("words")).alias("word")).join(counts, ["label", "slot", "word"], "left")

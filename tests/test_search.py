@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from piperack.operators import audit, search
@@ -59,3 +60,18 @@ def test_nearest_rank_by_counts(spark):
         for g, vs in groups.items():
             held = sorted(v for v in vs if v is not None)
             assert got[g] == (len(held), held[max(0, math.ceil(q * len(held) - 1e-9) - 1)] if held else None)
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_texts_are_not_shuffled_by_their_letters(spark, monkeypatch, few):
+    """Few keywords come to the texts; many give the same."""
+    from piperack.operators import graph
+
+    plans, own = [], audit.stored
+    monkeypatch.setattr(graph, "FRONTIER", few)
+    monkeypatch.setattr(audit, "stored", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or own(df))
+    gold = [("all", "u", 1, [["Over", "pump"], ["x"]]), ("all", "u", 2, [["mpx"]]), ("all", "v", 1, [["rel"]]), ("all", "u", 3, [[]])]
+    rows = [("all", "u", "The pump runs overfull"), ("all", "u", "pumps"), ("all", "u", "pumps"), ("all", "v", None), ("all", "v", "RELIEF")]
+    got = audit.slot_recall(spark.createDataFrame(gold, "label string, slot string, item int, match_any array<array<string>>"), spark.createDataFrame(rows, "label string, slot string, text string"))
+    assert sorted((r.slot, r.expected, r.matched) for r in got.collect()) == [("u", 3, 2), ("v", 1, 1)]
+    assert few == 0 or "SortMergeJoin" not in plans[-1] and plans[-1].count("BroadcastHashJoin") == 2
