@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piperack.checkpoints import cut, stored
 from piperack.operators import worksheet
 from piperack.operators.audit import rate
 
@@ -19,20 +20,33 @@ PROVENANCE = {"accepted": "ai_generated_human_approved", "edited": "ai_generated
 # in Java's and in DuckDB's expressions.
 TAG = r"(?<![A-Za-z0-9_])[A-Z]{1,4}-[A-Z]{0,3}[0-9]{1,5}[A-Z]{0,2}(?![A-Za-z0-9_])"
 
+#: Words that are broadcast: the commonest of all texts.
+COMMON = 10_000
+
 
 def tag_references(texts: DataFrame, known: DataFrame) -> DataFrame:
     """text_id, tags (sorted, distinct) for texts(text_id, text): what is shaped like a tag and cites no standard, and the
     ``known`` tags (tag; letters, digits and hyphens) that stand in the text between other characters.
 
-    Known tags are found by a join with the runs of hyphened parts of each word, so no text is held against every tag.
+    Each distinct word is read once: known tags are found by a join with the runs of its hyphened parts, so no text is held
+    against every tag. The commonest words meet the texts as a broadcast, and only rarer ones are shuffled, with their text's id.
     """
-    shaped = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(TAG), F.lit(0))).alias("tag")).where(~F.substring_index("tag", "-", 1).isin(*STANDARDS))
-    words = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"), F.lit(0)))).alias("word"))
-    parts = words.select("text_id", F.split("word", "-").alias("p"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.transform(F.sequence(F.lit(1), F.size("p") - i + 1), lambda n: F.array_join(F.slice("p", i, n), "-"))))
-    literal = parts.select("text_id", F.explode(runs).alias("tag")).join(known.select("tag").distinct(), "tag").select("text_id", "tag")
-    found = shaped.union(literal).groupBy("text_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    return texts.select("text_id").join(found, "text_id", "left").select("text_id", F.coalesce("tags", F.expr("cast(array() as array<string>)")).alias("tags"))
+    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"), F.lit(0)))).alias("word")
+    words = texts.select("text_id", word)
+    counted = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    parts = counted.select("word", F.split("word", "-").alias("p"))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.transform(F.sequence(F.lit(1), F.size("p") - i + 1), lambda n: F.array_join(F.slice("p", i, n), "-"))))
+    runs = F.when(F.size("p") == 1, F.array("word")).otherwise(every)
+    holds = stored(parts.select("word", F.explode(runs).alias("tag")).join(known.select("tag").distinct(), "tag").groupBy("word").agg(F.collect_set("tag").alias("tags")))
+    common = cut(counted.orderBy(F.desc("n"), "word").limit(COMMON).select("word").join(holds, "word", "left").withColumn("common", F.lit(True)))
+    met = words.join(F.broadcast(common), "word", "left").where("common is null or tags is not null")
+    rare = met.where("common is null").select("text_id", "word").join(holds, "word").select("text_id", "tags")
+    standards = lambda tag: F.substring_index(tag, "-", 1).isin(*STANDARDS)
+    shaped = F.filter(F.regexp_extract_all("text", F.lit(TAG), F.lit(0)), lambda tag: ~standards(tag))
+    found = texts.select("text_id", shaped.alias("tags"), F.lit(1).alias("row")).union(rare.union(met.where("common").select("text_id", "tags")).select("text_id", "tags", F.lit(0)))
+    one = found.groupBy("text_id").agg(F.flatten(F.collect_list("tags")).alias("tags"), F.sum("row").cast("int").alias("rows"))
+    # as many rows as texts of an id
+    return one.select("text_id", F.array_sort(F.array_distinct("tags")).alias("tags"), F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("col")
 
 
 def value_or_null(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from piperack.functions import sheets
 from piperack.operators import records, studies
 
@@ -77,3 +79,14 @@ def test_values_that_stand_for_none(spark):
 def test_pages_of_a_range():
     assert sheets.page_numbers(" All ", 3) == sheets.page_numbers(None, 3) == sheets.page_numbers("", 3) == [1, 2, 3]
     assert sheets.page_numbers("4-6, 2,2,,9-20, 0", 10) == [2, 4, 5, 6, 9, 10] and sheets.page_numbers("5-3", 9) == []
+
+
+@pytest.mark.parametrize("common", [1, 10_000])
+def test_common_and_rare_words_hold_tags_alike(spark, monkeypatch, common):
+    """A word is read once however many texts have it; two texts of one id share their tags, and each keeps a row."""
+    monkeypatch.setattr(records, "COMMON", common)
+    texts = spark.createDataFrame([(k, f"Open V1-A, see X{k}-B-2") for k in range(5)] + [(7, "V1"), (7, "X3-B"), (8, "by hand")], "text_id long, text string")
+    known = spark.createDataFrame([("V1",), ("X3-B",), ("B-2",)], "tag string")
+    got = sorted((r.text_id, tuple(r.tags)) for r in records.tag_references(texts, known).collect())
+    held = lambda k: ("B-2", "V1", "X3-B") if k == 3 else ("B-2", "V1")
+    assert got == sorted([(k, held(k)) for k in range(5)] + [(7, ("V1", "X3-B"))] * 2 + [(8, ())])
