@@ -43,6 +43,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+def term_counts(spread: DataFrame, wanted: DataFrame) -> DataFrame:
+    """chunk_id, term, tf, length for spread(chunk_id, length, term), a row for each word, of the ``wanted`` terms (term).
+
+    Rows are dealt by chunk before they are counted: a task that reads many texts would else hold all their terms."""
+    dealt = spread.join(wanted, "term", "left_semi").repartition("chunk_id")
+    return dealt.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id, chunk_id, score of the chunks that share a term with a query.
 
@@ -54,7 +62,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame
     if not totals.n:
         return asked.select("query_id", F.lit(None).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")).where("false")
     wanted = asked.select("term").distinct()
-    hits = sized.select("chunk_id", "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    hits = term_counts(sized.select("chunk_id", "length", F.explode("t").alias("term")), wanted)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(totals.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(totals.mean))

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
-from piperack.checkpoints import cut
+from piperack.checkpoints import cut, stored
 from piperack.operators import retrieval as r
 
 #: Queries of a block, and candidates of a list that a fused search starts with.
@@ -68,10 +69,13 @@ def rows_of(cells: DataFrame, chunks: DataFrame | None = None, wanted: DataFrame
     vectors = cells.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "value")).alias("cells"))
     if chunks is None:
         return vectors.select("chunk_id", "cells", F.lit(None).cast(TERMS).alias("terms"), F.lit(None).cast("double").alias("length"))
+    return vectors.join(terms_of(chunks, wanted, text), "chunk_id", "full").select("chunk_id", F.coalesce("cells", F.array().cast(CELLS)).alias("cells"), F.coalesce("terms", F.array().cast(TERMS)).alias("terms"), F.coalesce("length", F.lit(0.0)).alias("length"))
+
+
+def terms_of(chunks: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """chunk_id, terms, length of the chunks that hold ``wanted`` words (term), as in ``rows_of``."""
     sized = chunks.select("chunk_id", r.tokens(F.col(text)).alias("t")).select("chunk_id", F.size("t").cast("double").alias("length"), F.explode("t").alias("term"))
-    hits = sized.join(wanted, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    hits = hits.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"), F.first("length").alias("length"))
-    return vectors.join(hits, "chunk_id", "full").select("chunk_id", F.coalesce("cells", F.array().cast(CELLS)).alias("cells"), F.coalesce("terms", F.array().cast(TERMS)).alias("terms"), F.coalesce("length", F.lit(0.0)).alias("length"))
+    return r.term_counts(sized, wanted).groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"), F.first("length").alias("length"))
 
 
 def blocks_of(cells: DataFrame, dim: int, weights: DataFrame | None = None, mean: float = 1.0, size: int = BLOCK) -> Iterator[Block]:
@@ -124,11 +128,32 @@ def best_of(rows: DataFrame, block: Block, k: int, digits: int, channels: tuple[
 
 def top_by_cosine(rows: DataFrame, cells: DataFrame, dim: int, k: int, digits: int) -> DataFrame:
     """query_id, rank, chunk_id, score: the ``k`` best chunks of each query (cells: query_id, bucket, value)."""
-    kind, out = cells.schema["query_id"].dataType, None
+    return _best_by(COSINE, cut(rows), blocks_of(cells, dim), cells.schema["query_id"].dataType, k, digits)
+
+
+def top_by_bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int, text: str = "text") -> DataFrame:
+    """query_id, rank, chunk_id, score: the ``k`` best chunks of each query (query_id, query) by ``retrieval.bm25``."""
+    chunks = chunks.select("chunk_id", text)
+    asked = cut(r.query_terms(queries))
+    totals = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(r.tokens(F.col(text)))).alias("mean")).first()
+    rows = stored(terms_of(chunks, asked.select("term").distinct(), text).withColumn("cells", F.array().cast(CELLS)))
+    weights = _weighed(asked, rows, totals.n)
+    none = asked.where("false").select("query_id", F.lit(0).alias("bucket"), F.lit(0.0).alias("value"))
+    return _best_by(BM25, rows, blocks_of(none, 1, weights, totals.mean or 1.0), queries.schema["query_id"].dataType, k, digits)
+
+
+def _weighed(asked: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """query_id, term, weight of the terms that are ``asked`` and that some of the ``n`` chunks hold."""
+    df = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return cut(asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight")))
+
+
+def _best_by(channel: int, rows: DataFrame, blocks: Iterable[Block], kind: DataType, k: int, digits: int) -> DataFrame:
+    out = None
     order = Window.partitionBy("query").orderBy(F.desc("score"), "chunk_id")
-    rows = cut(rows)
-    for block in blocks_of(cells, dim):
-        found = best_of(rows, block, k, digits).withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for block in blocks:
+        found = best_of(rows, block, k, digits, (channel,)).withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         named = found.select(F.element_at(F.lit(block.ids), F.col("query") + 1).cast(kind).alias("query_id"), F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
         out = named if out is None else out.union(named)
     return rows.sparkSession.createDataFrame([], f"query_id {kind.simpleString()}, rank long, chunk_id long, score double") if out is None else out
@@ -187,9 +212,7 @@ def search(chunks: DataFrame, queries: DataFrame, boosts: DataFrame, k: int = 5,
     wanted = cut(asked.select("term").distinct())
     totals = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(r.tokens(F.col(text)))).alias("mean")).first()
     rows = cut(rows_of(r.hashed_vector(chunks, "chunk_id", text).select("chunk_id", "bucket", "value"), chunks, wanted, text))
-    df = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(totals.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = cut(asked.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight")))
+    weights = _weighed(asked, rows, totals.n)
     cells = cut(r.hashed_vector(queries, "query_id", "query").select("query_id", "bucket", "value"))
     kind, out = queries.schema["query_id"].dataType, None
     for block in blocks_of(cells, r.DIM, weights, totals.mean or 1.0):

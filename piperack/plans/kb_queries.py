@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from piperack.operators import retrieval as r
@@ -57,15 +56,9 @@ def _top(score: str, k: int, digits: int) -> str:
     return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, {digits}) DESC, chunk_id) AS rank, chunk_id, round(score, {digits}) AS score FROM {score} QUALIFY rank <= {k}"
 
 
-def _ranked(scores, k, digits):
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    rounded = scores.withColumn("score", F.round("score", digits))
-    return rounded.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
-
-
 @_register(f"WITH {s.CHUNKS_SQL} {_top('bm25', 20, 6)}")
 def kb_bm25_topk(spark, sf_dir):
-    return _ranked(r.bm25(s.indexed(spark, sf_dir), s.asked(spark, sf_dir)), 20, 6)
+    return search.top_by_bm25(s.indexed(spark, sf_dir), s.asked(spark, sf_dir), 20, 6)
 
 
 @_register(f"WITH {s.CHUNKS_SQL}, {s.VECTORS_SQL} SELECT id AS chunk_id, bucket, raw, round(value, 6) AS value FROM vectors WHERE side = 'c'")

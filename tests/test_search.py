@@ -75,3 +75,19 @@ def test_texts_are_not_shuffled_by_their_letters(spark, monkeypatch, few):
     got = audit.slot_recall(spark.createDataFrame(gold, "label string, slot string, item int, match_any array<array<string>>"), spark.createDataFrame(rows, "label string, slot string, text string"))
     assert sorted((r.slot, r.expected, r.matched) for r in got.collect()) == [("u", 3, 2), ("v", 1, 1)]
     assert few == 0 or "SortMergeJoin" not in plans[-1] and plans[-1].count("BroadcastHashJoin") == 2
+
+
+def test_top_by_bm25_in_blocks(spark, monkeypatch):
+    """The best of each query as all scores rank them, with more than one block, and nothing of nothing."""
+    monkeypatch.setattr(search, "BLOCK", 2)
+    monkeypatch.setattr(search.blocks_of, "__defaults__", (None, 1.0, 2))
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice("pump valve tank line seal trip flow".split()) for _ in range(n))
+    chunks = spark.createDataFrame([(k, text(rnd.randrange(9))) for k in range(60)] + [(99, None)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(k, text(3)) for k in range(5)] + [(7, "unheard of")], "query_id long, query string")
+    ranked = {}
+    for x in r.bm25(chunks, queries).collect():
+        ranked.setdefault(x.query_id, []).append((-round(x.score, 6), x.chunk_id))
+    expected = sorted((q, k + 1, c, -s) for q, xs in ranked.items() for k, (s, c) in enumerate(sorted(xs)[:7]))
+    assert sorted(map(tuple, search.top_by_bm25(chunks, queries, 7, 6).collect())) == expected
+    assert search.top_by_bm25(chunks.limit(0), queries, 7, 6).count() == 0
