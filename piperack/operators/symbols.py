@@ -1,7 +1,7 @@
 """Symbols made of several strokes: valves at clusters of crossings, capsules of two arcs.
 
-Clusters and pairs are greedy in a stated order, found by the rounds of ``topology``; every other join goes through a
-grid, so a page with all the symbols there are is spread over tasks like any other.
+Clusters are greedy in a stated order, found by the rounds of ``topology``; joins go through a grid, so a page with all
+the valves there are is spread over tasks like any other. Pairs of heads are found page by page (see ``pairing``).
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from piperack.checkpoints import cut
 from piperack.operators.drawing import crossings
 from piperack.operators.geometry import within
-from piperack.operators.topology import greedy_matching, leaders, leaders_in_blocks, with_leader
+from piperack.operators.pairing import facing
+from piperack.operators.topology import leaders, leaders_in_blocks, with_leader
 
 # Strokes of a symbol at most, and where along both strokes a single crossing must lie.
 MOST_STROKES, MIDDLE = 8, (0.3, 0.7)
 #: Pairs of strokes near each other, by the counts of cells, in the first block that leaders are chosen from.
 AT_ONCE = 4_000_000
-# An arc's span and least radius as a head, unlike radii, distances by the radius, and how far a head may open aside.
-HEAD_SPAN, HEAD_RADIUS, UNLIKE, FAR, ASIDE = (100.0, 280.0), 12.0, (2.0, 0.15), (0.5, 12.0), 55.0
+# An arc's span and least radius as a head.
+HEAD_SPAN, HEAD_RADIUS = (100.0, 280.0), 12.0
 
 
 def tenths(x: Column) -> Column:
@@ -96,26 +97,13 @@ def capsules(arcs: DataFrame) -> DataFrame:
     Two heads of like radius that open towards each other pair one to one: of all pairs the one with the smallest first
     head is taken first, then that with the smallest second. Angles are in degrees."""
     heads = arcs.where(F.col("span").between(*HEAD_SPAN) & (F.col("r") >= HEAD_RADIUS)).select("page", "id", "x", "y", "r", "opening")
-    scale = lambda k: F.lit(FAR[1] * 2.0) * F.pow(F.lit(2.0), k)  # noqa: E731  # cells as wide as the largest reach of a radius class
-    level = F.floor(F.log2("r"))
-    left = heads.select("*", level.alias("k"), F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("i")).select("*", F.explode(F.array(*[F.lit(j) for j in (-1, 0, 1)])).alias("j"))
-    left = left.withColumns({"cx": F.floor(F.col("x") / scale(F.col("k"))) + F.col("i"), "cy": F.floor(F.col("y") / scale(F.col("k"))) + F.col("j")}).drop("i", "j")
-    right = heads.select("page", *[F.col(c).alias(f"o_{c}") for c in ("id", "x", "y", "r", "opening")], F.explode(F.array(level - 1, level, level + 1)).alias("k"))
-    right = right.withColumns({"cx": F.floor(F.col("o_x") / scale(F.col("k"))), "cy": F.floor(F.col("o_y") / scale(F.col("k")))})
-    pairs = left.join(right, ["page", "k", "cx", "cy"]).where("id < o_id")
-    dx, dy = F.col("o_x") - F.col("x"), F.col("o_y") - F.col("y")
-    d, axis = F.sqrt(dx * dx + dy * dy), F.degrees(F.atan2(dy, dx))
-    turn = lambda angle, to: (lambda a: F.least(a, 360 - a))(F.pmod(F.col(angle) - to, F.lit(360.0)))
-    fits = (F.abs(F.col("r") - F.col("o_r")) <= F.greatest(F.lit(UNLIKE[0]), F.col("r") * UNLIKE[1])) & d.between(F.col("r") * FAR[0], F.col("r") * FAR[1])
-    pairs = pairs.where(fits & (turn("opening", axis) <= ASIDE) & (turn("o_opening", axis + 180) <= ASIDE))
-    named = pairs.select(F.struct("page", "id").alias("a"), F.struct("page", F.col("o_id").alias("id")).alias("b"), "x", "y", "o_x", "o_y", ((F.col("r") + F.col("o_r")) / 2).alias("r"))
-    found = greedy_matching(named, [])
+    found = facing(heads).withColumn("r", (F.col("r") + F.col("o_r")) / 2)
     flat, r = F.abs(F.col("o_x") - F.col("x")) >= F.abs(F.col("o_y") - F.col("y")), F.col("r")
     box = {
         "x0": F.when(flat, F.least("x", "o_x")).otherwise(F.col("x")) - r, "y0": F.when(flat, F.col("y")).otherwise(F.least("y", "o_y")) - r,
         "x1": F.when(flat, F.greatest("x", "o_x")).otherwise(F.col("x")) + r, "y1": F.when(flat, F.col("y")).otherwise(F.greatest("y", "o_y")) + r,
     }
-    return found.select(F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), tenths(r).alias("r"), F.when(flat, "H").otherwise("V").alias("orientation"), *[tenths(x).alias(c) for c, x in box.items()])
+    return found.select("page", "a", "b", tenths(r).alias("r"), F.when(flat, "H").otherwise("V").alias("orientation"), *[tenths(x).alias(c) for c, x in box.items()])
 
 
 def merged_nozzles(nozzles: DataFrame, edges: DataFrame, distance: float = 8.0) -> tuple[DataFrame, DataFrame]:

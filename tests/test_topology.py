@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from piperack.operators import drawing, symbols, topology
+from piperack.operators import drawing, pairing, symbols, topology
 
 
 @pytest.mark.parametrize("strict", [True, False])
@@ -162,3 +162,50 @@ def test_halves_of_a_tenth_go_by_the_value_times_ten(spark):
     assert [r.v for r in got.collect()] == [56.4, -56.4, -0.3, None]
     arcs = spark.createDataFrame([(8, 414, 103.392, 69.35, 13.0, 180.0, 90.0), (8, 425, 103.4, 124.564, 13.0, 180.0, 270.0)], "page int, id long, x double, y double, r double, span double, opening double")
     assert [(r.a, r.b, r.y0) for r in symbols.capsules(arcs).collect()] == [(414, 425, 56.4)]
+
+
+def _brute_pairs(heads):
+    """One by one: the pair with the smallest first head, then the smallest second; rows of one id are one head."""
+    aside = lambda w: min(w % 360, 360 - w % 360)
+
+    def fits(a, b):
+        d, axis = math.hypot(b[2] - a[2], b[3] - a[3]), math.degrees(math.atan2(b[3] - a[3], b[2] - a[2]))
+        return a[0] == b[0] and a[1] < b[1] and abs(a[4] - b[4]) <= max(2.0, a[4] * 0.15) and a[4] * 0.5 <= d <= a[4] * 12 and aside(a[6] - axis) <= 55 and aside(b[6] - axis - 180) <= 55
+
+    used, found = set(), set()
+    for page, a, b in sorted({(a[0], a[1], b[1]) for a in heads for b in heads if fits(a, b)}):
+        if not used & {(page, a), (page, b)}:
+            used |= {(page, a), (page, b)}
+            found.add((page, a, b))
+    return found
+
+
+ARC = "page int, id long, x double, y double, r double, span double, opening double"
+
+
+def test_capsules_of_a_crowded_page_need_few_rounds(spark, monkeypatch):
+    """Each pair waits for the one before it here, so rounds of pairs that come first at both ends were as many as pairs."""
+    heads = [(1, i, float(i % 7), 60.0 * (i % 2), 15.0, 180.0, 90.0 if i % 2 == 0 else 270.0) for i in range(60)]
+    cuts, plain = [], topology.cut
+    keep = lambda df: cuts.append(1) or plain(df)
+    for module in (topology, pairing):
+        monkeypatch.setattr(module, "cut", keep)
+    found = symbols.capsules(spark.createDataFrame(heads, ARC))
+    assert len(cuts) <= 4
+    assert {(r.page, r.a, r.b) for r in found.collect()} == _brute_pairs(heads) and found.count() == 30
+
+
+def test_capsules_in_blocks_equal_brute_force(spark, monkeypatch):
+    """Radii of several classes, places far apart, rows of one id, and rows that pair with nothing."""
+    rnd = random.Random(5)
+    size = lambda: rnd.choice([rnd.uniform(12, 20), rnd.uniform(28, 36), 16.0, 32.0, 100.0])
+    heads = [(i % 3, i // 3 if i % 40 else 7, rnd.gauss(0, 150) + 5000 * (i % 11 == 0), rnd.gauss(0, 150), size(), 180.0, rnd.uniform(0, 360)) for i in range(600)]
+    nan, inf = float("nan"), float("inf")
+    odd = [(1, 900, nan, 0.0, 15.0, 180.0, 90.0), (1, 901, 0.0, inf, 15.0, 180.0, 90.0), (1, 902, 0.0, 0.0, inf, 180.0, 90.0), (1, 903, 0.0, 0.0, 15.0, 180.0, None), (None, 904, 0.0, 0.0, 15.0, 180.0, 90.0), (None, 905, 0.0, 60.0, 15.0, 180.0, 270.0), (1, None, 0.0, 60.0, 15.0, 180.0, 270.0)]
+    expected = _brute_pairs(heads)
+    arcs = spark.createDataFrame([*heads, *odd], ARC)
+    for size in (pairing.AT_ONCE, 70):
+        monkeypatch.setattr(pairing, "AT_ONCE", size)
+        got = [(r.page, r.a, r.b) for r in symbols.capsules(arcs).collect()]
+        assert len(got) == len(expected) > 100 and set(got) == expected
+    assert symbols.capsules(arcs.where("id < 0")).count() == 0
