@@ -26,11 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: for large tables that are read more than once, as columns
-    take a fraction of a checkpoint's room, and a reader takes only those that it needs."""
+    take a fraction of a checkpoint's room, and a reader takes only those that it needs, and of ``by``, columns of few
+    values, only the values that it asks for."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables-{uuid4()}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -51,6 +51,11 @@ def _words(question: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(question), r"[^\p{L}\p{N}_-]+"), lambda w: F.trim(w, F.lit("-"))), lambda w: w != "")
 
 
+def _told_apart(word: Column) -> Column:
+    """Whether a word has a digit: it may be a tag, and is none of those that weigh or name a type."""
+    return word.rlike(r"\p{N}")
+
+
 def _weight(words: Column, kind: str) -> Column:
     """What the words together weigh for a kind."""
     weights = F.create_map(*[F.lit(x) for pair in WEIGHTS[kind].items() for x in pair])
@@ -68,15 +73,16 @@ def mentioned(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     """question_id, tags in the order of mention, unsure: a word with a digit is a mention of the tag that it spells
     whole, else of the one tag that ends in it after a hyphen; where several do, it is unsure, and the first and the last
     of them are told."""
-    words = questions.select("question_id", F.posexplode(_words(F.col("question"))).alias("pos", "word")).where(F.col("word").rlike(r"\p{N}"))
-    whole = nodes.groupBy(F.lower("tag").alias("word")).agg(F.max("tag").alias("exact"))
+    words = cut(questions.select("question_id", F.posexplode(_words(F.col("question"))).alias("pos", "word")).where(_told_apart(F.col("word"))))
+    # only tags that are said are sorted by their words
+    whole = nodes.select("tag", F.lower("tag").alias("word")).join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.max("tag").alias("exact"))
     read = cut(words.join(whole, "word", "left"))
-    # only words that spell no tag whole are looked for at the ends of tags
+    # only words that spell no tag whole are looked for at the ends of tags, at ends of as many parts as they have
     rest = cut(read.where("exact is null").select("word").distinct())
-    size = rest.count()
-    parts = F.split(F.lower("tag"), "-")
-    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "-"))
-    ends = nodes.select("tag", parts.alias("parts")).where("size(parts) > 1").select("tag", F.explode(tails).alias("word")).join(F.broadcast(rest) if size <= FEW else rest, "word", "left_semi")
+    size, lengths = rest.agg(F.count(F.lit(1)), F.collect_set(F.size(F.split("word", "-")))).first()
+    tails = F.array(*[F.substring_index("whole", "-", -k) for k in sorted(lengths)]).cast("array<string>")
+    ends = nodes.select("tag", F.lower("tag").alias("whole")).select("tag", "whole", F.explode(tails).alias("word")).where("word <> whole").select("tag", "word")
+    ends = ends.join(F.broadcast(rest) if size <= FEW else rest, "word", "left_semi")
     ends = ends.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("least"), F.max("tag").alias("most"))
     told = lambda df: df.select("question_id", "pos", F.coalesce("exact", F.when(F.col("n") == 1, F.col("least"))).alias("tag"), F.when(F.col("exact").isNull() & (F.col("n") > 1), F.struct("word", "n", "least", "most")).alias("unsure"))
     spelt = read.where("exact is not null").select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("least"), F.lit(None).cast("string").alias("most"))
@@ -87,15 +93,30 @@ def mentioned(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     return listed.select("question_id", tags.alias("tags"), "unsure")
 
 
-def intents(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+def intents(questions: DataFrame, nodes: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """question_id, kind, tag, target, equipment_type, unsure for questions(question_id, question).
 
     kind is null where no words weigh enough, "no tag" where the heaviest kind lacks a tag, and "ambiguous" where a
-    mention may be several tags: unsure has those mentions. A null question has no words."""
-    found = questions.join(mentioned(questions, nodes), "question_id", "left")
-    read = found.select("question_id", _words(F.coalesce("question", F.lit(""))).alias("words"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "unsure")
+    mention may be several tags: unsure has those mentions. A null question has no words. ``mentions`` has what is
+    ``mentioned``, where that is known already. Questions alike but for their tags are weighed once."""
+    found = questions.join(mentioned(questions, nodes) if mentions is None else mentions, "question_id", "left")
+    shape = F.transform(_words(F.coalesce("question", F.lit(""))), lambda w: F.when(_told_apart(w), "#").otherwise(w))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    read = cut(found.select("question_id", F.array_join(shape, " ").alias("shape"), tags.alias("tags"), "unsure", F.size(tags).alias("n")))
+    shapes = cut(read.select("shape", "n").distinct())
+    if shapes.count() <= FEW:
+        read = read.join(F.broadcast(_weighed(shapes)), ["shape", "n"])
+    else:
+        read = _weighed(read)
+    kind = F.when(F.size("unsure") > 0, "ambiguous").otherwise(F.col("kind"))
+    return read.select("question_id", kind.alias("kind"), F.get("tags", F.lit(0)).alias("tag"), F.when(kind == "path", F.get("tags", F.lit(1))).alias("target"), "equipment_type", "unsure")
+
+
+def _weighed(shapes: DataFrame) -> DataFrame:
+    """``shapes`` (shape, n, ...) with kind and equipment_type: of a question's words, # for one with a digit, and its number of tags."""
+    read = shapes.withColumn("words", F.filter(F.split("shape", " "), lambda w: w != ""))
     read = read.withColumn("names", F.concat("words", F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))))
-    n, typed = F.size("tags"), F.col("equipment_type").isNotNull()
+    n, typed = F.col("n"), F.col("equipment_type").isNotNull()
     weigh = lambda kind, extra=0: _weight(F.col("words"), kind) + extra
     needs_tag = lambda kind: F.when(n > 0, kind).otherwise("no tag")
     worth = {  # what a kind weighs, whether it has what it works on, and what it is called
@@ -110,6 +131,5 @@ def intents(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     }
     # hints alone are no question
     votes = [F.when(fits & (weight >= LEAST), F.struct(weight.alias("weight"), name.alias("kind"))) for weight, fits, name in worth.values()]
-    kind = F.when(F.size("unsure") > 0, "ambiguous").otherwise(F.array_max(F.array(*votes))["kind"])
-    read = read.withColumn("equipment_type", _type(F.col("names"))).withColumn("kind", kind)
-    return read.select("question_id", "kind", F.get("tags", F.lit(0)).alias("tag"), F.when(F.col("kind") == "path", F.get("tags", F.lit(1))).alias("target"), "equipment_type", "unsure")
+    read = read.withColumn("equipment_type", _type(F.col("names"))).withColumn("kind", F.array_max(F.array(*votes))["kind"])
+    return read.select(*shapes.columns, "kind", "equipment_type")

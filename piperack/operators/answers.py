@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import cut
+from piperack.checkpoints import cut, stored
 from piperack.functions import questions as read
 from piperack.operators import graph, plants
 
@@ -32,15 +32,19 @@ class Answers:
     marked: DataFrame
 
 
-def reground(intents: DataFrame, nodes: DataFrame) -> DataFrame:
+def _said(intents: DataFrame, as_id: str) -> DataFrame:
+    """question_id (the intent's, and 1 for its tag or 2 for its target), question for what ``intents`` name."""
+    part = lambda side, c: intents.select(F.struct(F.col("question_id").cast(as_id).alias("own"), F.lit(side).alias("side")).alias("question_id"), F.col(c).alias("question"))
+    return part(1, "tag").union(part(2, "target")).where("question is not null")
+
+
+def reground(intents: DataFrame, nodes: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """question_id, kind, tag, target, equipment_type, unsure for intents that name tags in part, as another reader of
     questions gives them: a tag that is in the graph stays, a part of one becomes it, and what names none stays as it is,
-    for the guard. A part of several is unsure."""
-    words = intents.select(F.concat_ws(" ", "question_id", F.lit("1")).alias("question_id"), F.col("tag").alias("question"))
-    words = words.union(intents.select(F.concat_ws(" ", "question_id", F.lit("2")), "target")).where("question is not null")
-    found = read.mentioned(words, nodes)
-    side = lambda n, name: found.where(F.col("question_id").endswith(f" {n}")).select(F.expr("left(question_id, length(question_id) - 2)").alias("q"), F.get("tags", F.lit(0)).alias(name), F.col("unsure").alias(f"{name}_unsure"))
-    both = intents.withColumn("q", F.col("question_id").cast("string")).join(side(1, "own"), "q", "left").join(side(2, "other"), "q", "left")
+    for the guard. A part of several is unsure. ``mentions`` has what their tags mention, where that is known already."""
+    found = read.mentioned(_said(intents, intents.schema["question_id"].dataType.simpleString()), nodes) if mentions is None else mentions
+    side = lambda n, name: found.where(F.col("question_id.side") == n).select(F.col("question_id.own").alias("q"), F.get("tags", F.lit(0)).alias(name), F.col("unsure").alias(f"{name}_unsure"))
+    both = intents.withColumn("q", F.col("question_id")).join(side(1, "own"), "q", "left").join(side(2, "other"), "q", "left")
     unsure = F.concat(*[F.coalesce(c, F.array().cast(found.schema["unsure"].dataType)) for c in ("own_unsure", "other_unsure")])
     return both.select("question_id", "kind", F.coalesce("own", "tag").alias("tag"), F.coalesce("other", "target").alias("target"), "equipment_type", unsure.alias("unsure"))
 
@@ -60,6 +64,12 @@ def guarded(intents: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("question_id", *INTENT, status.alias("status"))
 
 
+def _walks(kind: Column) -> Column:
+    """The walks that a kind of question takes, a row each."""
+    walks = {"downstream": ("below",), "relief": ("below", "relief"), "upstream": ("above",), "path": ("paths",), "neighbours": ("near",), "info": ("told",)}
+    return F.explode(F.coalesce(*[F.when(kind == k, F.array(*[F.lit(w) for w in v])) for k, v in walks.items()]))
+
+
 def _row(item, item_type, detail, number) -> list[Column]:
     null = lambda x, kind: (F.lit(x) if x is None else x).cast(kind)
     return [null(item, "string").alias("item"), null(item_type, "string").alias("item_type"), null(detail, "string").alias("detail"), null(number, "long").alias("number")]
@@ -71,47 +81,66 @@ def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated
     ``translated`` (question_id, kind, tag, target, equipment_type) speaks for questions that the words don't read. Ways of more than
     ``cutoff`` edges are left out; None leaves out none. Where nodes and edges have a plant as well, which no edge leaves, each
     walk is made within its plant (see ``plants``)."""
-    own = cut(read.intents(questions, nodes))  # read once, however often it is looked at
-    if translated is not None:
-        other = reground(translated.join(own.where("kind is null").select("question_id"), "question_id", "left_semi"), nodes)
-        own = own.where("kind is not null").union(other.select(*own.columns)).union(own.where("kind is null").join(other.select("question_id"), "question_id", "left_anti"))
-    asked = cut(guarded(own, nodes))
+    if translated is None:
+        own = cut(read.intents(questions, nodes))  # read once, however often it is looked at
+    else:
+        # all tags that anybody names are looked for together
+        as_id = questions.schema["question_id"].dataType.simpleString()
+        asked = questions.select(F.struct(F.col("question_id").alias("own"), F.lit(0).alias("side")).alias("question_id"), "question")
+        mentions = cut(read.mentioned(asked.union(_said(translated, as_id)), nodes))
+        own = cut(read.intents(questions, nodes, mentions.where("question_id.side = 0").withColumn("question_id", F.col("question_id.own"))))
+        unread = own.where("kind is null").select("question_id")
+        other = cut(reground(translated.join(unread, "question_id", "left_semi"), nodes, mentions))
+        own = cut(own.where("kind is not null").union(other.select(*own.columns)).union(own.where("kind is null").join(other.select("question_id"), "question_id", "left_anti")))
+    # the items that questions name, for all that is asked of these alone
+    named = own.select(F.explode(F.array_compact(F.array("tag", "target"))).alias("tag")).distinct()
+    named = stored(nodes.join(named, "tag", "left_semi"))
+    asked = cut(guarded(own, named))
     wanted = cut(asked.where("status = 'ok'").select(*INTENT).distinct())
     of = lambda *kinds: wanted.where(F.col("kind").isin(*kinds))
-    starts = lambda kind: of(kind).select(F.col("tag").alias("start")).distinct()
-    types = nodes.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"))
     flow = F.when(F.col("verified"), "verified").otherwise("unverified")
     fits = F.col("equipment_type").isNull() | (F.col("equipment_type") == F.col("node_type"))
 
     # downstream and relief start from one closure, upstream from that of the reversed graph
-    down, up, ends = starts("downstream").union(starts("relief")).distinct(), starts("upstream"), cut(of("path").select(F.col("tag").alias("source"), "target").distinct())
     if "plant" in nodes.columns:
-        homes = cut(of(*NEEDS_TAG).select("tag").distinct().join(nodes.select("plant", "tag"), "tag"))
-        at_home = lambda df, end: df.join(homes.withColumnRenamed("tag", end), end)
-        below, above = cut(plants.reach(nodes, edges, at_home(down, "start"))), cut(plants.reach(nodes, edges, at_home(up, "start"), forward=False))
+        homes = named.select("plant", "tag")
+        walks = of(*NEEDS_TAG).select(_walks(F.col("kind")).alias("what"), F.col("tag").alias("start"), F.when(F.col("kind") == "path", F.col("target")).alias("target")).distinct()
+        walks = walks.join(homes.withColumnRenamed("tag", "start"), "start").select("plant", "what", "start", "target")
         # a target in another plant is out of reach
-        inside = at_home(ends, "source").join(nodes.select("plant", F.col("tag").alias("target")), ["plant", "target"])
-        paths = plants.simple_paths(nodes, edges, inside, cutoff)
-        outcomes = plants.relief_outcomes(nodes, edges, at_home(starts("relief"), "start"))
+        inside = walks.where("what = 'paths'").join(homes.withColumnRenamed("tag", "target"), ["plant", "target"], "left_semi")
+        walks = cut(walks.where("what <> 'paths'").union(inside.select(*walks.columns)))
+        rows = plants.held(nodes, edges, walks)
+        own = lambda what, *names: (nodes, edges, walks.where(F.col("what") == what).select("plant", F.col("start").alias(names[0]), *names[1:]))
+        below, above = cut(plants.typed_reach(*own("below", "start"), own=rows("below"))), plants.typed_reach(*own("above", "start"), forward=False, own=rows("above"))
+        paths = plants.simple_paths(*own("paths", "source", "target"), cutoff, rows("paths"))
+        outcomes = plants.relief_outcomes(*own("relief", "start"), rows("relief"))
+        met, ways = plants.neighbours(*own("near", "tag"), rows("near")), plants.connections(*own("told", "tag"), rows("told"))
     else:
         walk = cut(graph.query_graph(edges))
-        below, above = cut(graph.reach(walk, down)), cut(graph.reach(walk, up, forward=False))
+        starts = lambda *kinds: of(*kinds).select(F.col("tag").alias("start")).distinct()
+        ends = cut(of("path").select(F.col("tag").alias("source"), "target").distinct())
+        types = nodes.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"))
+        typed = lambda found, node="node": found.withColumnRenamed(node, "node").join(types, "node")
+        near, told = of("neighbours").select("tag").distinct(), of("info").select("tag").distinct()
+        below, above = cut(typed(graph.reach(walk, starts("downstream", "relief")))), typed(graph.reach(walk, starts("upstream"), forward=False))
         paths, outcomes = graph.simple_paths(walk, ends, cutoff), graph.relief_outcomes(walk, nodes, starts("relief"))
-    traced = lambda kind, found: of(kind).join(found.withColumnRenamed("start", "tag"), "tag").join(types, "node")
+        met = typed(graph.neighbours(edges, near), "neighbour")
+        ways = edges.select(F.explode(F.array("src", "dst")).alias("tag")).join(told, "tag", "left_semi").groupBy("tag").count()
+    traced = lambda kind, found: of(kind).join(found.withColumnRenamed("start", "tag"), "tag")
     parts = [traced(kind, found).where(fits).select(*INTENT, *_row(F.col("node"), F.col("node_type"), flow, None)) for kind, found in (("downstream", below), ("upstream", above))]
     parts.append(traced("relief", below).where("node_type = 'relief_valve'").select(*INTENT, *_row(F.col("node"), F.col("node_type"), flow, None)))
-    near = graph.neighbours(edges, of("neighbours").select("tag").distinct())
-    parts.append(of("neighbours").join(near, "tag").withColumnRenamed("neighbour", "node").join(types, "node").where(fits).select(*INTENT, *_row(F.col("node"), F.col("node_type"), F.col("relationship"), None)))
+    parts.append(of("neighbours").join(met, "tag").where(fits).select(*INTENT, *_row(F.col("node"), F.col("node_type"), F.col("relationship"), None)))
     paths = cut(graph.first_paths(paths, most_paths).withColumnRenamed("source", "tag"))
     parts.append(of("path").join(paths, ["tag", "target"]).select(*INTENT, *_row(F.array_join("path", " → "), None, flow, F.size("path") - 1)))
-    named = nodes.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"), "name")
-    parts.append(of("list").join(named, F.col("equipment_type") == F.col("node_type")).select(*INTENT, *_row(F.col("node"), F.col("node_type"), F.col("name"), None)))
+    called = lambda df: df.select(F.col("tag").alias("node"), F.col("equipment_type").alias("node_type"), "name")
+    lists = of("list")
+    lists = F.broadcast(lists) if lists.count() <= read.FEW else lists
+    parts.append(lists.join(called(nodes), F.col("equipment_type") == F.col("node_type")).select(*INTENT, *_row(F.col("node"), F.col("node_type"), F.col("name"), None)))
     counts = nodes.groupBy(F.col("equipment_type").alias("node_type")).count()
     typed = of("count").where("equipment_type is not null").join(counts, F.col("equipment_type") == F.col("node_type"), "left")
     parts.append(typed.select(*INTENT, *_row(None, F.col("equipment_type"), None, F.coalesce("count", F.lit(0)))))
     parts.append(of("count").where("equipment_type is null").join(counts, F.lit(True)).select(*INTENT, *_row(None, F.col("node_type"), None, F.col("count"))))  # a few types for at most one intent
-    ways = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").count()
-    told = of("info").join(named, F.col("tag") == F.col("node")).join(ways, "node", "left")
+    told = of("info").join(called(named), F.col("tag") == F.col("node")).join(ways, "tag", "left")
     fact = lambda name, value: F.struct(F.lit(name).alias("p"), value.alias("v"))
     facts = F.explode(F.array(fact("equipment_type", F.col("node_type")), fact("name", F.col("name")), fact("connections", F.coalesce("count", F.lit(0)).cast("string"))))
     parts.append(told.select(*INTENT, F.col("node"), facts.alias("f")).select(*INTENT, *_row(F.col("node"), F.col("f.p"), F.col("f.v"), None)))

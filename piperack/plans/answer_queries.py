@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from piperack.checkpoints import cut
+from piperack.checkpoints import cut, stored
 from piperack.operators import answers
 from piperack.plans import standins as s
 
@@ -39,11 +39,11 @@ _ASKED = {
 
 
 def _answered(spark, sf_dir):
-    chains = cut(s.chains(spark, sf_dir))
+    chains = stored(s.chains(spark, sf_dir))
     tag = lambda pos: F.concat_ws("-", F.lit("Q"), "chain", pos)
-    nodes = cut(chains.select(F.col("chain").alias("plant"), tag(F.col("pos")).alias("tag"), "equipment_type", F.concat(F.lit("item "), "tag").alias("name")))
-    edges = cut(chains.where("next is not null").select(F.col("chain").alias("plant"), tag(F.col("pos")).alias("src"), tag(F.col("pos") + 1).alias("dst"), "verified"))
-    sizes = chains.groupBy("chain").agg(F.max("pos").alias("n")).where("n > 1").withColumn("k", F.col("chain") % len(_ASKED))
+    nodes = chains.select(F.col("chain").alias("plant"), tag(F.col("pos")).alias("tag"), "equipment_type", F.concat(F.lit("item "), "tag").alias("name"))
+    edges = chains.where("next is not null").select(F.col("chain").alias("plant"), tag(F.col("pos")).alias("src"), tag(F.col("pos") + 1).alias("dst"), "verified")
+    sizes = cut(chains.groupBy("chain").agg(F.max("pos").alias("n")).where("n > 1").withColumn("k", F.col("chain") % len(_ASKED)))
     words = F.element_at(F.create_map(*[F.lit(x) for k, (_, text) in _ASKED.items() for x in (k, text)]), F.col("k").cast("int"))
     asked = sizes.select(F.col("chain").alias("question_id"), F.replace(F.replace(words, F.lit("@"), tag(F.lit(1))), F.lit("$"), tag(F.col("n"))).alias("question"))
     # parts of tags, which are in the graph for even orders only

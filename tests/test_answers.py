@@ -2,7 +2,8 @@
 
 import random
 
-from piperack.operators import answers, graph
+from piperack.functions import questions
+from piperack.operators import answers, graph, plants
 
 NODES = [("2401-K-001", "compressor"), ("2401-V-001", "vessel"), ("2401-V-002", "vessel"), ("2401-PSV-001", "relief_valve"), ("2401-FT-001", "instrument"), ("2401-V-009", "vessel"), ("2401-XV-9", "valve"), ("2401-PSV-002", "relief_valve")]
 EDGES = [("2401-K-001", "2401-V-001", True), ("2401-V-001", "2401-PSV-001", True), ("2401-V-001", "2401-V-002", False), ("2401-FT-001", "2401-V-002", False), ("2401-V-009", "2401-XV-9", True), ("2401-XV-9", "2401-PSV-002", True)]
@@ -115,3 +116,33 @@ def test_items_of_plants_are_walked_within_their_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "spread_bits", levels)
     at = "case when {0} rlike '(V-009|XV-9|PSV-002)$' then 2 else 1 end as plant"
     assert told(answers.answers(asked, nodes.selectExpr("*", at.format("tag")), edges.selectExpr("*", at.format("src")))) == expected
+
+
+def test_all_walks_share_the_rows_of_plants(spark, monkeypatch):
+    """Plants are put into rows once for all kinds of questions, and large plants are answered alike."""
+    nodes, edges = plant(spark)
+    edges = edges.union(spark.createDataFrame([("2401-V-002", "2401-GONE-1", False), ("2401-FT-001", "2401-FT-001", True)], edges.schema))  # an end that is no node, and a loop
+    more = ["tell me about 2401-FT-001", "what is connected to 2401-V-002?", "what is downstream of 2401-FT-001?", "what feeds 2401-PSV-002"]
+    asked = spark.createDataFrame(list(enumerate([q for q in ASKED if q] + more)), "question_id long, question string")
+    told = lambda found: (sorted(map(repr, found.envelopes.collect())), sorted(map(repr, found.rows.collect())))
+    expected = told(answers.answers(asked, nodes, edges))
+    at = "case when {0} rlike '(V-009|XV-9|PSV-002)$' then 2 else 1 end as plant"
+    nodes, edges = nodes.selectExpr("*", at.format("tag")), edges.selectExpr("*", at.format("src"))
+    made, plain = [], plants._rows
+    monkeypatch.setattr(plants, "_rows", lambda *args: made.append(1) or plain(*args))
+    assert told(answers.answers(asked, nodes, edges)) == expected and len(made) == 1
+    monkeypatch.setattr(plants, "MOST", 12)  # the second plant's row holds its four items and edges, the first is large
+    assert told(answers.answers(asked, nodes, edges)) == expected
+
+
+def test_questions_are_weighed_by_their_shapes(spark, monkeypatch):
+    """Questions alike but for their tags are weighed once; where shapes are many, each question is, with the same result."""
+    nodes, _ = plant(spark)
+    many = [f"what is downstream of 2401-V-{k}?" for k in ("001", "002", "009")] + [q for q in ASKED if q]
+    asked = spark.createDataFrame(list(enumerate([*many, "", None])), "question_id long, question string")
+    weighed, plain = [], questions._weighed
+    monkeypatch.setattr(questions, "_weighed", lambda shapes: weighed.append(shapes.count()) or plain(shapes))
+    got = sorted(map(repr, questions.intents(asked, nodes).collect()))
+    assert weighed[0] <= len(many) - 2
+    monkeypatch.setattr(questions, "FEW", 0)
+    assert sorted(map(repr, questions.intents(asked, nodes).collect())) == got and weighed[1] == len(many) + 2
