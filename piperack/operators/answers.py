@@ -154,7 +154,7 @@ def answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, translated
     sums = rows.groupBy(*INTENT).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(sure, 1)).alias("verified"), F.min("number").alias("least"), F.sum("number").alias("total"))
     same = [wanted[c].eqNullSafe(sums[c]) for c in INTENT]
     known = wanted.join(sums, same[0] & same[1] & same[2] & same[3], "left").select(*[wanted[c] for c in INTENT], "rows", "verified", "least", "total").join(outcomes, ["kind", "tag"], "left")
-    known = cut(known.select(*INTENT, F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("verified", F.lit(0)).alias("verified"), "least", "total", "outcome"))
+    known = known.select(*INTENT, F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("verified", F.lit(0)).alias("verified"), "least", "total", "outcome")
     same = [asked[c].eqNullSafe(known[c]) for c in INTENT]
     told = asked.join(known, (asked.status == "ok") & same[0] & same[1] & same[2] & same[3], "left")
     envelopes = told.select("question_id", "status", *[asked[c] for c in INTENT], "rows", "verified", "outcome", _sentence(asked, cutoff).alias("answer"))

@@ -146,3 +146,11 @@ def test_questions_are_weighed_by_their_shapes(spark, monkeypatch):
     assert weighed[0] <= len(many) - 2
     monkeypatch.setattr(questions, "FEW", 0)
     assert sorted(map(repr, questions.intents(asked, nodes).collect())) == got and weighed[1] == len(many) + 2
+
+
+def test_rows_alone_need_no_envelopes(spark, monkeypatch):
+    nodes, edges = plant(spark)
+    asked = spark.createDataFrame([(1, "does 2401-V-001 have a relief path?"), (2, "what is connected to 2401-V-001?")], "question_id long, question string")
+    kept, plain = [], answers.cut
+    monkeypatch.setattr(answers, "cut", lambda df: kept.append(df.columns) or plain(df))
+    assert answers.answers(asked, nodes, edges).rows.count() == 4 and not any("outcome" in c for c in kept)
